@@ -1 +1,48 @@
-"""Registered queries (filled per area)."""
+"""Registered clickstream queries."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.operators import events, kpi
+from shelfwise.plans.catalog import register
+from shelfwise.plans.warehouse import Warehouse
+
+
+@register("c9_mapped_events")
+def q_mapped_events(spark, sf_dir):
+    return events.map_event_types(Warehouse(spark, sf_dir).clicks)
+
+
+@register("e4_fact_web_events")
+def q_fact_web_events(spark, sf_dir):
+    return Warehouse(spark, sf_dir).web_events
+
+
+@register("e3_sessions")
+def q_sessions(spark, sf_dir):
+    """One row per session: size, first and last event time."""
+    ev = Warehouse(spark, sf_dir).web_events
+    return ev.groupBy("visitor_id", "session_id").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.min("event_time").alias("session_start"),
+        F.max("event_time").alias("session_end"))
+
+
+@register("e5_event_type_counts")
+def q_event_type_counts(spark, sf_dir):
+    return events.event_type_counts(Warehouse(spark, sf_dir).web_events)
+
+
+@register("e6_item_categories")
+def q_item_categories(spark, sf_dir):
+    return Warehouse(spark, sf_dir).item_categories
+
+
+@register("c11_interactions")
+def q_interactions(spark, sf_dir):
+    return Warehouse(spark, sf_dir).interactions
+
+
+@register("k7_sample_visitors")
+def q_sample_visitors(spark, sf_dir):
+    return kpi.sample_visitor_ids(Warehouse(spark, sf_dir).interactions, n=10)
