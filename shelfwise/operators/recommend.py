@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.numeric import RANDOM_SEED
 from shelfwise.functions.positions import dense_position, exact_quantile
-from shelfwise.session import scratch_path
+from shelfwise.session import materialize, scratch_path
 
 # Fixed values from the reference.
 TEST_FRACTION = 0.2
@@ -147,6 +147,7 @@ def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS):
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 
     spark = matrix.sparkSession
+    matrix = materialize(matrix.select("visitor_ix", "item_ix", "weight"))
     shape = matrix.agg((F.max("visitor_ix") + 1).alias("m"), (F.max("item_ix") + 1).alias("n")).first()
     r = min(n_components, min(shape["m"], shape["n"]) - 1)
     if r < 1:

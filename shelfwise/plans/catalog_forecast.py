@@ -1 +1,111 @@
-"""Registered queries (filled per area)."""
+"""Registered forecasting queries."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.functions.numeric import round_half_up
+from shelfwise.operators import forecast as fc
+from shelfwise.plans.catalog import register
+from shelfwise.plans.warehouse import Warehouse
+from shelfwise.session import materialize
+
+
+def _r6(df, *cols):
+    return df.withColumns({c: round_half_up(c, 6) for c in cols})
+
+
+def _panel(wh):
+    return fc.fill_missing_dates(fc.daily_demand_by_product(wh.fact_sales, wh.dim_date), group_col="product_id")
+
+
+def _aggregate(wh):
+    return fc.fill_missing_dates(fc.daily_demand(wh.fact_sales, wh.dim_date))
+
+
+@register("f1_daily_demand")
+def q_daily(spark, sf_dir):
+    wh = Warehouse(spark, sf_dir)
+    return fc.daily_demand(wh.fact_sales, wh.dim_date)
+
+
+@register("f2_product_daily_demand")
+def q_daily_product(spark, sf_dir):
+    wh = Warehouse(spark, sf_dir)
+    return fc.daily_demand_by_product(wh.fact_sales, wh.dim_date)
+
+
+@register("f3_filled_panel")
+def q_filled(spark, sf_dir):
+    return _panel(Warehouse(spark, sf_dir))
+
+
+@register("f3_filled_aggregate")
+def q_filled_total(spark, sf_dir):
+    return _aggregate(Warehouse(spark, sf_dir))
+
+
+@register("f6_features")
+def q_features(spark, sf_dir):
+    f = fc.add_time_series_features(_panel(Warehouse(spark, sf_dir)))
+    return _r6(f, *[f"rolling_mean_{w}" for w in fc.ROLLING_WINDOWS])
+
+
+@register("f8_split_summary")
+def q_split(spark, sf_dir):
+    f = fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir))))
+    s = fc.temporal_split(f)
+    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.min("ds").alias("first_ds"),
+                                    F.max("ds").alias("last_ds"))
+
+
+def _baseline_aggregate(wh):
+    s = fc.temporal_split(_aggregate(wh))
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    return fc.moving_average_forecast(train, test.select("ds", "y"))
+
+
+@register("f9_baseline_aggregate")
+def q_baseline(spark, sf_dir):
+    return _r6(_baseline_aggregate(Warehouse(spark, sf_dir)), "yhat")
+
+
+@register("f10_baseline_metrics")
+def q_baseline_metrics(spark, sf_dir):
+    return _r6(fc.forecast_metrics(_baseline_aggregate(Warehouse(spark, sf_dir))), "mae", "rmse", "mape")
+
+
+@register("f10_baseline_metrics_by_product")
+def q_baseline_metrics_product(spark, sf_dir):
+    s = fc.temporal_split(_panel(Warehouse(spark, sf_dir)))
+    train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    pred = fc.moving_average_forecast(train, test.select("product_id", "ds", "y"), keys=("product_id",))
+    return _r6(fc.forecast_metrics(pred, keys=("product_id",)), "mae", "rmse", "mape")
+
+
+@register("f11_trend_seasonal_forecast")
+def q_trend_seasonal(spark, sf_dir):
+    s = materialize(fc.temporal_split(materialize(_aggregate(Warehouse(spark, sf_dir)))))
+    pred = fc.fit_trend_seasonal(s.where(~F.col("is_test")), s.where(F.col("is_test")))
+    return pred
+
+
+@register("f11_trend_seasonal_metrics")
+def q_trend_seasonal_metrics(spark, sf_dir):
+    return fc.forecast_metrics(q_trend_seasonal(spark, sf_dir))
+
+
+@register("f12_gbt_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    f = materialize(fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir)))))
+    return fc.evaluate_global_model(f)
+
+
+@register("f14_recursive_forecast")
+def q_recursive(spark, sf_dir):
+    """F13 + F14: refit on every complete-feature row, then 7 recursive steps
+    for every product of the warehouse (baseline for short/unknown ones)."""
+    wh = Warehouse(spark, sf_dir)
+    features = materialize(fc.drop_incomplete(fc.add_time_series_features(_panel(wh))))
+    model, enc = fc.fit_global_model(features)
+    all_daily = fc.daily_demand_by_product(wh.fact_sales, wh.dim_date, min_days_with_sales=1)
+    return fc.recursive_forecast(all_daily, model, enc)

@@ -82,3 +82,11 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from the
+    written copy: cuts the lineage before iterative work (model fits, loops),
+    survives executor loss (a reliable checkpoint, never a local one)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
