@@ -54,19 +54,29 @@ def dense_position(df: DataFrame, order_cols, out: str = "position",
             .drop("_pid", "_idx", "_off"))
 
 
-def exact_quantile(df: DataFrame, value_col: str, q: float, out: str = "quantile") -> DataFrame:
-    """One-row DataFrame with the linearly interpolated ``q`` quantile of a
-    numeric column (pandas/NumPy 'linear', DuckDB ``quantile_cont``).
+def exact_quantiles(df: DataFrame, value_col: str, qs, prefix: str = "q") -> DataFrame:
+    """One-row DataFrame with columns ``q0, q1, ...``: the linearly
+    interpolated quantiles ``qs`` of a numeric column (pandas/NumPy 'linear',
+    DuckDB ``quantile_cont``).
 
-    Only two rows are selected after the distributed positioning; no value
-    list is gathered into one task. The row count enters as a scalar subquery.
+    One distributed positioning, then only the two neighbouring rows of each
+    quantile are kept; no value list is gathered into one task. The row count
+    enters as a scalar subquery.
     """
     vals = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    pos = dense_position(vals, ["_v"], out="_pos")
-    h = F.lit(q) * (vals.select(F.count(F.lit(1))).scalar() - 1)
-    picked = (pos.withColumn("_h", h)
-              .where((F.col("_pos") == F.floor("_h")) | (F.col("_pos") == F.ceil("_h"))))
-    lo_v = F.max(F.when(F.col("_pos") == F.floor("_h"), F.col("_v")))
-    hi_v = F.max(F.when(F.col("_pos") == F.ceil("_h"), F.col("_v")))
-    frac = F.max(F.col("_h") - F.floor("_h"))
-    return picked.agg((lo_v + frac * (hi_v - lo_v)).alias(out))
+    pos = dense_position(vals, ["_v"], out="_pos").withColumn("_n", vals.select(F.count(F.lit(1))).scalar())
+    keep = F.lit(False)
+    aggs = []
+    for i, q in enumerate(qs):
+        h = F.lit(float(q)) * (F.col("_n") - 1)
+        keep = keep | (F.col("_pos") == F.floor(h)) | (F.col("_pos") == F.ceil(h))
+        lo = F.max(F.when(F.col("_pos") == F.floor(h), F.col("_v")))
+        hi = F.max(F.when(F.col("_pos") == F.ceil(h), F.col("_v")))
+        frac = F.max(h - F.floor(h))
+        aggs.append((lo + frac * (hi - lo)).alias(f"{prefix}{i}"))
+    return pos.where(keep).agg(*aggs)
+
+
+def exact_quantile(df: DataFrame, value_col: str, q: float, out: str = "quantile") -> DataFrame:
+    """One-row DataFrame with the single quantile ``q`` in column ``out``."""
+    return exact_quantiles(df, value_col, [q]).select(F.col("q0").alias(out))

@@ -27,7 +27,8 @@ def register(name: str):
 
 def queries() -> dict[str, QueryFn]:
     # import side effects register the remaining areas
-    from shelfwise.plans import catalog_events, catalog_forecast, catalog_pricing, catalog_recommend  # noqa: F401
+    from shelfwise.plans import (catalog_events, catalog_extras, catalog_forecast,  # noqa: F401
+                                 catalog_pricing, catalog_recommend)
     return dict(_REGISTRY)
 
 
