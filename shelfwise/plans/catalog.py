@@ -28,7 +28,7 @@ def register(name: str):
 def queries() -> dict[str, QueryFn]:
     # import side effects register the remaining areas
     from shelfwise.plans import (catalog_events, catalog_extras, catalog_forecast,  # noqa: F401
-                                 catalog_pricing, catalog_recommend)
+                                 catalog_pricing, catalog_recommend, catalog_streaming)
     return dict(_REGISTRY)
 
 
