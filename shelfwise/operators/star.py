@@ -45,11 +45,20 @@ def _non_null_last(value: str, order: Column) -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), order))
 
 
-def span_days(sales: DataFrame) -> Column:
-    """max(1, whole days between the first and the last sale) as a scalar
-    subquery (computed once, a 1-row aggregate)."""
+def sales_bounds(sales: DataFrame) -> Column:
+    """One scalar subquery with every whole-table bound the builders need:
+    first/last sale (t0, t1), span = max(1, whole days between them) and the
+    snapshot date id. Identical subqueries are computed once per query."""
     secs = F.unix_seconds(F.max("invoice_date")) - F.unix_seconds(F.min("invoice_date"))
-    return sales.select(F.greatest(F.lit(1), F.floor(secs / _SECONDS_PER_DAY)).cast("int")).scalar()
+    return sales.select(F.struct(
+        F.min("invoice_date").alias("t0"), F.max("invoice_date").alias("t1"),
+        F.greatest(F.lit(1), F.floor(secs / _SECONDS_PER_DAY)).cast("int").alias("span"),
+        F.date_format(F.max("invoice_date"), "yyyyMMdd").cast("int").alias("snap"))).scalar()
+
+
+def span_days(sales: DataFrame) -> Column:
+    """max(1, whole days between the first and the last sale)."""
+    return sales_bounds(sales).getField("span")
 
 
 def build_dim_customer(sales: DataFrame) -> DataFrame:
@@ -125,9 +134,8 @@ def build_dim_promotion(dim_product: DataFrame, sales: DataFrame) -> DataFrame:
     """One draw per product (p = 0.15, discount 5-30 %), start offset in
     [0, span-1] days, length 3-14 days, end capped at the last sale; the id
     is the product's position in product_id order."""
-    start = sales.select(F.min("invoice_date")).scalar()
-    end = sales.select(F.max("invoice_date")).scalar()
-    span = span_days(sales)
+    bounds = sales_bounds(sales)
+    start, end, span = bounds.getField("t0"), bounds.getField("t1"), bounds.getField("span")
     pid = "product_id"
     positioned = dense_position(dim_product.select(pid), [pid], out="_i")
     drawn = positioned.where(hash_uniform(pid, tag="promo") < PROMO_PROBABILITY)
@@ -154,8 +162,8 @@ def build_fact_inventory(sales: DataFrame, dim_product: DataFrame) -> DataFrame:
     avg * U{3..21}, in = avg * U(0.5, 1.5), sold = avg * U(0.7, 1.3), each
     rounded half-even; closing = max(0, opening + in - sold).
     """
-    span = span_days(sales)
-    snapshot = sales.select(F.date_format(F.max("invoice_date"), "yyyyMMdd").cast("int")).scalar()
+    bounds = sales_bounds(sales)
+    span, snapshot = bounds.getField("span"), bounds.getField("snap")
     qty = sales.groupBy("product_id").agg(F.sum("quantity").alias("_q"))
     pid = "product_id"
     avg = F.greatest(F.coalesce(F.col("_q") / span, F.lit(0.1)), F.lit(MIN_AVG_DAILY_SALES))
