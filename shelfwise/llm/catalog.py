@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import decontaminate, mix, urlfilter
+import corpus_pipeline
+from shelfwise.llm import decontaminate, linededup, mix, simhash, toxicity, urlfilter
 from shelfwise.llm.oracle import ORACLES
 
 URL_RULES = [
@@ -37,15 +38,38 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.transform("deleted_spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return (linededup.delete_repeats(docs)
+            .select("doc_id", "text", "deleted_words", F.array_join(spans, ",").alias("deleted_spans")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op8_simhash": op8_simhash,
+    "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 

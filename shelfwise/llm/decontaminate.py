@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from shelfwise.llm import textbytes as tb
 
@@ -27,7 +28,7 @@ _FOLD[0x41:0x5B] += 0x20
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
-_STATE = "__n_words long, __longest int, __hits binary, __items array<string>"
+_STATE = {"__n_words": "long", "__longest": "integer", "__hits": "binary", "__items": "array<string>"}
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +210,11 @@ def _pack(hit: np.ndarray, bounds: np.ndarray, old: list[bytes | None]) -> list[
 
 def _scan(docs: DataFrame, block, text: str) -> DataFrame:
     """Adds, or goes on with, the state columns by one block of test items (a broadcast TestBlock)."""
-    keep = [c for c in docs.columns if not c.startswith("__")]
+    keep = [c for c in docs.columns if c not in _STATE]
     again = "__hits" in docs.columns
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    from pyspark.sql.types import StructType, _parse_datatype_string
-    schema = StructType([*fields, *_parse_datatype_string(_STATE).fields])
+    schema = StructType([f for f in docs.schema.fields if f.name in keep])
+    for name, kind in _STATE.items():
+        schema = schema.add(name, kind if "<" not in kind else ArrayType(StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches, text):
@@ -262,20 +263,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text
     """
     names = ("n_words", "n_hit", "n_items", "longest", "hit_spans", "items", "contaminated")
     docs = docs.drop(*names)
-    columns = docs.columns
-    out = docs
+    out = _searched(docs, items, window, text, item_id, item_text)
+    schema = StructType([*docs.schema.fields])
+    for name in ("n_words", "n_hit", "n_items"):
+        schema = schema.add(name, "long")
+    span = StructType().add("start", "integer").add("end", "integer")
+    schema = (schema.add("longest", "integer").add("hit_spans", ArrayType(span)).add("items", ArrayType(StringType()))
+              .add("contaminated", "boolean"))
+    return out.mapInArrow(_finish(docs.columns), schema)
+
+
+def _searched(docs: DataFrame, items: DataFrame, window: int, text: str, item_id: str, item_text: str) -> DataFrame:
+    """``docs`` with the state columns after all blocks of items."""
     context = docs.sparkSession.sparkContext
     for ids, texts in [*_blocks(items, item_id, item_text)] or [([], [])]:
-        out = _scan(out, context.broadcast(TestBlock.of(ids, texts, window)), text)
-    return (out.mapInArrow(_finish(columns), _finished_schema(docs)))
-
-
-def _finished_schema(docs: DataFrame):
-    from pyspark.sql.types import StructType, _parse_datatype_string
-    more = _parse_datatype_string("n_words long, n_hit long, n_items long, longest int, "
-                                  "hit_spans array<struct<start:int,end:int>>, items array<string>, "
-                                  "contaminated boolean")
-    return StructType([*docs.schema.fields, *more.fields])
+        docs = _scan(docs, context.broadcast(TestBlock.of(ids, texts, window)), text)
+    return docs
 
 
 def _finish(columns: list[str]):
@@ -299,5 +302,5 @@ def _finish(columns: list[str]):
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` (all columns) in which no window of an item occurs."""
-    found = find_contamination(docs, items, window)
-    return found.where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns if c in found.columns])
+    searched = _searched(docs, items, window, "text", "item_id", "text")
+    return searched.where(F.length("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
