@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwise.llm import decontaminate, linededup, mix, simhash, toxicity, urlfilter
+from shelfwise.llm import decontaminate, langid, linededup, mix, quality_lm, secrets, simhash, topk, toxicity, urlfilter
 from shelfwise.llm.oracle import ORACLES
 
 URL_RULES = [
@@ -38,6 +38,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def _span_list(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "guess")
+    number = [_count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex", "guess")]
+    return found.select("doc_id", *number[:3], F.sha2(_span_list(base), 256).alias("base_sha256"),
+                        _span_list(F.col("secrets")).alias("spans"), number[3])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -51,10 +67,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.integer_vectors(_read(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, 5)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.transform("deleted_spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
@@ -65,9 +96,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_top_k": op6_top_k,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }

@@ -90,4 +90,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES = {"op1_mix": OP1, "op2_decontaminate": OP2, "op5_url_filter": OP5}
+OP6 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT * FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM scored)
+WHERE rank <= 5
+"""
+
+ORACLES = {"op1_mix": OP1, "op2_decontaminate": OP2, "op5_url_filter": OP5, "op6_top_k": OP6}
