@@ -120,11 +120,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
                  .withColumn("weight", F.coalesce("weight", F.lit(0.0))))
     sizes = materialize(sizes.select("source", "source_size", "weight"))
     plan = materialize(repetition_plan(slim, water_fill(sizes, max_epochs)))
-    plan = plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "whole", "cut")])
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    out = (docs.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__source")))
-           .withColumn("size", word_count(F.col("text"))))
-    repeats = F.col("whole") + F.when(bucket(F.col("doc_id"), seed) < F.col("cut"), 1).otherwise(0)
-    return (out.withColumn("repeats", repeats.cast("long"))
-            .withColumn("taken", F.col("repeats") * F.col("size"))
-            .select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "repeats", "taken"))
+    out = docs.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__source")))
+    repeats = F.col("__whole") + F.when(bucket(F.col("doc_id"), seed) < F.col("__cut"), 1).otherwise(0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = out.select(*columns, word_count(F.col("text")).alias("size"), F.col("__source_size").alias("source_size"),
+                     F.col("__target").alias("target"), repeats.cast("long").alias("repeats"))
+    return out.withColumn("taken", F.col("repeats") * F.col("size"))
