@@ -103,9 +103,9 @@ class Tree:
     def unpack(cls, packed: dict, dim: int) -> Tree:
         tree = cls.__new__(cls)
         tree.ids = np.frombuffer(packed["ids"], np.int64)
-        tree.vectors = np.frombuffer(packed["vectors"], np.float64).reshape(-1, dim)
+        tree.vectors = np.frombuffer(packed["vectors"], np.float64).reshape(len(tree.ids), dim)
         tree.start, tree.end, tree.first_id = np.frombuffer(packed["nodes"], np.int64).reshape(3, -1)
-        tree.low, tree.high = np.frombuffer(packed["boxes"], np.float64).reshape(2, -1, dim)
+        tree.low, tree.high = np.frombuffer(packed["boxes"], np.float64).reshape(2, len(tree.start), dim)
         tree.leaf = len(tree.start) // 2
         return tree
 
