@@ -247,6 +247,8 @@ def _score(shards: DataFrame, slices: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.column("part")[i].values
+                if part is None:  # the shard has empty texts only
+                    part = pa.array([], batch.column("part").type.value_type)
                 keys = part.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
                 logs = part.field("logp").to_numpy(zero_copy_only=False)
                 order = np.argsort(keys)
@@ -265,7 +267,7 @@ def _score(shards: DataFrame, slices: DataFrame) -> DataFrame:
                      pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))],
                     names=["id", "lang", "log_sum", "n"])
 
-    joined = shards.select("shard", "ids", "langs", "blob", "sizes").join(slices, "shard")
+    joined = shards.select("shard", "ids", "langs", "blob", "sizes").join(slices, "shard", "left")
     return joined.mapInArrow(run, "id long, lang string, log_sum double, n long")
 
 
