@@ -2,7 +2,8 @@
 
 The network is trained in numpy on a bounded sample of labelled documents and then scores all overlapping windows of
 every text; the score of a document is that of its highest window. A label belongs to a document and not to a window,
-so training starts with every sampled window under its document's label and goes on with the highest windows only.
+so training starts with the windows that have words which stand out in documents of label 1, and goes on with the windows
+that score highest.
 """
 from __future__ import annotations
 
@@ -34,18 +35,19 @@ CUT_LOGIT = float(np.log(0.7 / 0.3))
 class Settings:
     """per_label: labelled documents of each label that training may use, chosen by a hash of doc_id. windows: windows of
     each of them, spread evenly over its text. vocabulary: words with an embedding of their own, the most frequent by
-    document among those in MIN_DOCS sampled documents at least; other words have their characters only. One document in
-    four of the sample is not trained on: it places the cut between the labels."""
+    document among those in MIN_DOCS sampled documents at least; other words have their characters only. A round goes
+    through its windows as often as it takes for ``steps`` steps of 256. One document in four of the sample is not trained on: it places the cut between the labels."""
 
-    per_label: int = 1200
+    per_label: int = 2400
     windows: int = 24
     vocabulary: int = 8192
     word_dim: int = 8
     char_dim: int = 8
     hidden: int = 8
     attention: int = 8
-    first_rounds: int = 2
+    first_rounds: int = 1
     later_rounds: int = 8
+    steps: int = 24
     rate: float = 0.01
     seed: int = 7
 
@@ -60,21 +62,25 @@ class Words:
     """The words of some texts: vocabulary ids, and character vectors as sums over byte trigrams."""
 
     def __init__(self, column: pa.Array) -> None:
-        raw, offsets = tb.utf8(column)
+        raw, self.offsets = tb.utf8(column)
         raw = _FOLD[raw]
-        self.starts, self.ends = tb.spans(_WORD[raw], offsets)
-        self.first = tb.rows_of(self.starts, offsets)
+        self.starts, self.ends = tb.spans(_WORD[raw], self.offsets)
+        self.first = tb.rows_of(self.starts, self.offsets)
         self.hashes = tb.PrefixHash(raw).of(self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
         self.raw = raw
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """(row of the trigram table for every byte of a word with its neighbours, first of them for every word)."""
-        padded = np.concatenate([[0x20], np.where(_WORD[self.raw], self.raw, 0x20), [0x20]]).astype(np.uint32)
-        code = (padded[:-2] * np.uint32(0x10001) ^ padded[1:-1] * np.uint32(0x101) ^ padded[2:]) * np.uint32(0x9E3779B1)
+        here = np.where(_WORD[self.raw], self.raw, 0x20).astype(np.uint32)
+        before, after = np.roll(here, 1), np.roll(here, -1)
+        edges = self.offsets[:-1][np.diff(self.offsets) > 0]
+        before[edges] = 0x20
+        after[edges - 1] = 0x20
+        code = (before * np.uint32(0x10001) ^ here * np.uint32(0x101) ^ after) * np.uint32(0x9E3779B1)
         code >>= np.uint32(32 - TRIGRAMS.bit_length() + 1)
         inside = _WORD[self.raw]
-        before = np.concatenate([[0], np.cumsum(inside)])
-        return code[inside].astype(np.int64), before[self.starts]
+        upto = np.concatenate([[0], np.cumsum(inside)])
+        return code[inside].astype(np.int64), upto[self.starts]
 
 
 def _char_vectors(table: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -183,8 +189,11 @@ def train(sample: list[tuple[int, list[bytes]]], settings: Settings = Settings()
         return x, mask, (used, back, mine, at, chars)
 
     def learn(windows: np.ndarray) -> None:
-        for k in range(0, len(windows), 256):
-            part = windows[k:k + 256]
+        size = min(256, len(windows))
+        turns = max(1, -(-settings.steps * size // len(windows)))
+        order = np.concatenate([rng.permutation(windows) for _ in range(turns)])
+        for k in range(0, len(order), size):
+            part = order[k:k + size]
             x, mask, (used, back, mine, at, chars) = inputs(part)
             logit, kept = gru.forward(p, x, mask, keep=True)
             y = label[owner[part]]
@@ -212,12 +221,20 @@ def train(sample: list[tuple[int, list[bytes]]], settings: Settings = Settings()
         rank = np.arange(len(own)) - np.searchsorted(doc, doc, "left")
         return own[order[(rank == 0) | ((label[doc] == 0) & (rank < each))]]
 
+    # a start: words that stand out in documents of label 1, and the windows that have most of them
+    trained = ~aside
+    z = _standing_out(ids, doc_of_word, label, trained, len(vocabulary) + 1)
+    marks = np.bincount(np.repeat(np.arange(n_windows), length), np.maximum(z[ids] - 2, 0), n_windows)
+    toxic_windows = own[label[owner[own]] == 1]
+    marked = toxic_windows[marks[toxic_windows] > 0]
+    start = np.concatenate([marked if len(marked) else toxic_windows, own[label[owner[own]] == 0]])
     for _ in range(settings.first_rounds):
-        learn(rng.permutation(own))
+        learn(start)
+        learn(own)
+        learn(start)
     for k in range(settings.later_rounds):
         adam.rate = settings.rate * (0.5 if k < settings.later_rounds // 2 else 0.2)
-        for _ in range(2):
-            learn(rng.permutation(highest(4)))
+        learn(highest(4))
     judged = aside if aside.any() else np.ones(len(sample), bool)
     windows = np.flatnonzero(judged[owner])
     top = np.full(len(sample), -np.inf, np.float32)
@@ -226,6 +243,21 @@ def train(sample: list[tuple[int, list[bytes]]], settings: Settings = Settings()
     return model
 
 
+def _standing_out(ids: np.ndarray, doc: np.ndarray, label: np.ndarray, trained: np.ndarray, size: int) -> np.ndarray:
+    """For each vocabulary word, by how many standard errors its share of the label-1 documents is above that of the others;
+    0 for words outside the vocabulary."""
+    pair = np.unique(ids * len(label) + doc)
+    word, at = pair // len(label), pair % len(label)
+    keep = trained[at]
+    word, one = word[keep], label[at[keep]]
+    n1, n0 = label[trained].sum(), (1 - label[trained]).sum()
+    a, b = np.bincount(word, one, size), np.bincount(word, 1 - one, size)
+    share = (a + b + 0.5) / (n1 + n0 + 1)
+    z = (a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    z[0] = 0
+    return z
+
+
 def _cut(logit: np.ndarray, label: np.ndarray) -> float:
     """The middle of the gap between two documents that parts the labels best, a false alarm counting twice."""
     order = np.argsort(logit, kind="stable")
