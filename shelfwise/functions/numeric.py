@@ -30,6 +30,19 @@ def round_half_up(c, digits: int = 2) -> Column:
     return F.floor(_col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def round_cents(c, digits: int = 2) -> Column:
+    """Nearest, ties to even on the scaled binary value: what NumPy and pandas
+    do with a column of doubles (DuckDB: round_even(x * 10^d, 0) / 10^d)."""
+    scale = float(10 ** digits)
+    return F.rint(_col(c) * F.lit(scale)) / F.lit(scale)
+
+
+def round_half_away(c, digits: int = 2) -> Column:
+    """Nearest, ties away from zero, as a SQL warehouse rounds NUMERIC."""
+    scale, x = float(10 ** digits), _col(c)
+    return F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def safe_div(num, den) -> Column:
     """num / NULLIF(den, 0)."""
     den = _col(den)

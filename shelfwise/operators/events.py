@@ -68,7 +68,8 @@ def build_fact_web_events(clicks: DataFrame, gap_minutes: int = SESSION_GAP_MINU
     ev = map_event_types(clicks)
     sess = sessionize(ev, gap_minutes=gap_minutes)
     sess = sess.withColumn("session_id", F.concat("visitor_id", F.lit("_S"), F.col("session_seq").cast("string")))
-    pos = dense_position(sess, ["visitor_id", "event_time", "item_id", "event_type"], out="_pos")
+    # counted on the raw clicks: for files that is a footer count
+    pos = dense_position(sess, ["visitor_id", "event_time", "item_id", "event_type"], out="_pos", rows=clicks.count())
     return pos.withColumn("event_id", F.concat(F.lit("EVT_"), F.col("_pos").cast("string"))).select(*WEB_EVENT_COLUMNS)
 
 
@@ -94,10 +95,10 @@ def filter_min_activity(events: DataFrame, min_visitor: int = MIN_INTERACTIONS_P
             .join(i.select("item_id"), "item_id", "left_semi"))
 
 
-def load_interactions(fact_web_events: DataFrame, min_visitor: int = MIN_INTERACTIONS_PER_VISITOR,
+def load_interactions(mapped: DataFrame, min_visitor: int = MIN_INTERACTIONS_PER_VISITOR,
                       min_item: int = MIN_INTERACTIONS_PER_ITEM) -> DataFrame:
-    """C10 + C11 on the event table: visitor_id, item_id, event_type, event_time, weight."""
-    ev = fact_web_events.select("visitor_id", "item_id", "event_type", "event_time")
+    """C10 + C11 on mapped events (C9; session and event ids are not used): visitor_id, item_id, event_type, event_time, weight."""
+    ev = mapped.select("visitor_id", "item_id", "event_type", "event_time")
     return add_weights(filter_min_activity(ev, min_visitor, min_item))
 
 

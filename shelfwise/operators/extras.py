@@ -4,51 +4,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import round_half_up
-from shelfwise.functions.positions import exact_quantiles
+from shelfwise.functions.numeric import round_cents, round_half_up
+from shelfwise.functions.positions import exact_quantiles_of
+from shelfwise.session import materialize
 
 
-def dated_discount_sales(sales: DataFrame, dim_product: DataFrame, dim_promotion: DataFrame) -> DataFrame:
+def dated_discount_sales(sales: DataFrame, side: DataFrame) -> DataFrame:
     """Discount only when the sale falls inside its product's promotion
-    window -- an equi join on product plus a range condition (one promotion
-    per product, so no fan-out). Revenue/cost/margin as in B6."""
-    # renamed keys: both sides descend from the same sales lineage (self-join)
-    promo = dim_promotion.select(F.col("product_id").alias("_pp"), F.col("start_date").alias("_ps"),
-                                 F.col("end_date").alias("_pe"), F.col("discount_percentage").alias("_d"))
-    cond = ((F.col("product_id") == F.col("_pp"))
-            & F.col("invoice_date").between(F.col("_ps"), F.col("_pe")))
-    df = (sales.join(promo, cond, "left")
-          .join(dim_product.select("product_id", F.col("cost_price").alias("_cp")), "product_id", "left"))
-    disc = F.coalesce(F.col("_d"), F.lit(0.0))
-    revenue = round_half_up(F.col("quantity") * F.col("unit_price") * (1 - disc), 2)
-    cost = round_half_up(F.col("quantity") * F.col("_cp"), 2)
+    window. ``side``: the product side of B6 (one promotion per product at
+    most), so one equi join; the window is checked in the row.
+    Revenue/cost/margin as in B6."""
+    df = sales.join(side, "product_id", "left")
+    inside = F.col("invoice_date").between(F.col("_ps"), F.col("_pe"))
+    disc = F.coalesce(F.when(inside, F.col("_d")), F.lit(0.0))
+    revenue = round_cents(F.col("quantity") * F.col("unit_price") * (1 - disc))
+    cost = round_cents(F.col("quantity") * F.col("_cp"))
     return df.select("order_id", "customer_id", "product_id", "date_id", "quantity", "unit_price",
                      disc.alias("discount"), revenue.alias("revenue"), cost.alias("cost"),
-                     round_half_up(revenue - cost, 2).alias("margin"))
+                     round_cents(revenue - cost).alias("margin"))
 
 
 def rfm_segments(sales: DataFrame, fact_sales: DataFrame) -> DataFrame:
     """Recency (days since the customer's last order, to the last sale
     date), frequency (distinct orders), monetary (revenue); each scored 1-5
     by the exact 20/40/60/80 % cut points (a global NTILE would run in one
-    task); recency scores high when recent. segment = 'R F M' digits."""
+    task); recency scores high when recent. segment = 'R F M' digits.
+
+    The three measures are computed once and written out; the twelve cut
+    points come from one ranking of their distinct values."""
     last_day = sales.select(F.max("invoice_date").cast("date")).scalar()
-    per = (fact_sales.groupBy("customer_id").agg(
-        F.count_distinct("order_id").alias("frequency"),
-        F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("monetary"))
+    per = (fact_sales.groupBy("customer_id", "order_id").agg(
+        F.sum(F.col("revenue").cast("decimal(18,2)")).alias("_r"))
+        .groupBy("customer_id").agg(F.count(F.lit(1)).alias("frequency"), F.sum("_r").cast("double").alias("monetary"))
         .join(sales.groupBy("customer_id").agg(F.max("invoice_date").cast("date").alias("_last")), "customer_id")
         .withColumn("recency", F.datediff(F.lit(last_day), F.col("_last")))
         .drop("_last"))
-    qs = [0.2, 0.4, 0.6, 0.8]
+    per = materialize(per)
+    names, qs = ["recency", "frequency", "monetary"], [0.2, 0.4, 0.6, 0.8]
+    cuts = exact_quantiles_of(per, names, qs).select(F.struct(*names)).scalar()
 
     def score(col: str) -> Column:
-        cuts = exact_quantiles(per, col, qs)
-        return 1 + sum((F.col(col) > cuts.select(F.col(f"q{i}")).scalar()).cast("int") for i in range(len(qs)))
+        return 1 + sum((F.col(col) > F.col("_cuts")[col][i]).cast("int") for i in range(len(qs)))
 
-    return per.select("customer_id", "recency", "frequency", "monetary",
-                      (6 - score("recency")).alias("r_score"), score("frequency").alias("f_score"),
-                      score("monetary").alias("m_score")) \
-        .withColumn("segment", F.concat_ws("", "r_score", "f_score", "m_score"))
+    return (per.withColumn("_cuts", cuts)
+            .select("customer_id", "recency", "frequency", "monetary",
+                    (6 - score("recency")).alias("r_score"), score("frequency").alias("f_score"),
+                    score("monetary").alias("m_score"))
+            .withColumn("segment", F.concat_ws("", "r_score", "f_score", "m_score")))
 
 
 # Keyword taxonomy for product names (first match wins).

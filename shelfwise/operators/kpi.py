@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import round_half_up, safe_div
+from shelfwise.functions.numeric import round_half_away, safe_div
 
 
 def money_sum(c) -> Column:
@@ -28,9 +28,9 @@ def global_kpis(fact_sales: DataFrame) -> DataFrame:
                         F.sum("_m").cast("double").alias("margin_total"))
     return agg.select(
         "orders_total",
-        round_half_up("revenue_total", 2).alias("revenue_total"),
-        round_half_up("margin_total", 2).alias("margin_total"),
-        round_half_up(safe_div(F.col("revenue_total"), F.col("orders_total")), 2).alias("average_order_value"))
+        round_half_away("revenue_total", 2).alias("revenue_total"),
+        round_half_away("margin_total", 2).alias("margin_total"),
+        round_half_away(safe_div(F.col("revenue_total"), F.col("orders_total")), 2).alias("average_order_value"))
 
 
 def catalogue_counts(spark: SparkSession, dim_product: DataFrame, dim_customer: DataFrame) -> DataFrame:
@@ -40,29 +40,35 @@ def catalogue_counts(spark: SparkSession, dim_product: DataFrame, dim_customer:
         dim_customer.select(F.count(F.lit(1))).scalar().alias("n_customers"))
 
 
-def inventory_risk(fact_inventory: DataFrame, dim_product: DataFrame, fact_sales: DataFrame,
+def sale_days(sales: DataFrame) -> Column:
+    """Scalar: the number of days with a sale, at least 1. Only date_id is read."""
+    return F.greatest(F.lit(1), sales.select(F.count_distinct("date_id")).scalar())
+
+
+def inventory_risk(fact_inventory: DataFrame, dim_product: DataFrame, sales: DataFrame,
                    limit: int | None = 20, exact: bool = True) -> DataFrame:
     """K3: days of stock = closing / (units sold per product / distinct sale
-    days), rounded to 1 decimal, smallest first (NULL last), top ``limit``.
+    days), rounded to 1 decimal. With ``limit`` the smallest first (NULL last),
+    without it all products in no order. ``sales``: the cleaned sales, whose
+    quantities are those of the fact table.
 
     ``exact=False`` keeps the warehouse's integer arithmetic (K3a): integer
     sum DIV integer day count, then integer closing DIV that; products under
     one unit a day then have no estimate (NULL).
     """
-    n_days = F.greatest(F.lit(1), fact_sales.select(F.count_distinct("date_id")).scalar())
-    per_product = fact_sales.groupBy("product_id").agg(F.sum("quantity").cast("long").alias("_q"))
+    per_product = sales.groupBy("product_id").agg(F.sum("quantity").cast("long").alias("_q"))
+    per_product = per_product.withColumn("_n", sale_days(sales).cast("long"))
     if exact:
-        avg = F.col("_q") / n_days
-        days = round_half_up(safe_div(F.col("closing_stock"), F.col("_avg")), 1)
-    else:  # non-negative operands: floor division == integer division
-        avg = F.floor(F.col("_q") / n_days)
-        days = F.floor(safe_div(F.col("closing_stock"), F.col("_avg"))).cast("double")
+        avg = F.expr("_q / _n")
+        days = round_half_away(safe_div(F.col("closing_stock"), F.col("_avg")), 1)
+    else:
+        avg = F.expr("_q div _n")
+        days = F.expr("CASE WHEN _avg <> 0 THEN closing_stock div _avg END").cast("double")
     out = (fact_inventory.select("product_id", "closing_stock").where(F.col("closing_stock") > 0)
            .join(dim_product.select("product_id", "product_name"), "product_id")
            .join(per_product.withColumn("_avg", avg), "product_id")
            .select("product_id", "product_name", "closing_stock", days.alias("days_of_stock_estimated")))
-    out = out.orderBy(F.asc_nulls_last("days_of_stock_estimated"), "product_id")
-    return out.limit(limit) if limit else out
+    return out.orderBy(F.asc_nulls_last("days_of_stock_estimated"), "product_id").limit(limit) if limit else out
 
 
 # Stock-risk thresholds in days and their labels.
@@ -91,7 +97,7 @@ def lake_kpis(fact_sales: DataFrame) -> DataFrame:
 
 
 def raw_row_count(raw: DataFrame) -> DataFrame:
-    """K6: COUNT(*) of the raw layer (Parquet answers it from footers)."""
+    """K6: COUNT(*) of one raw table (Parquet answers it from footers)."""
     return raw.agg(F.count(F.lit(1)).alias("n"))
 
 

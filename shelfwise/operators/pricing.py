@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import round_half_up, safe_div
+from shelfwise.functions.numeric import round_cents, safe_div
 from shelfwise.functions.positions import exact_quantile
 
 # Fixed values from the reference.
@@ -131,14 +131,14 @@ def recommend_price(df: DataFrame, current_price: str = "current_price", base_de
         F.abs(c["price"] - p0).alias("dist"), c["i"].alias("i"), c["estimated_margin"].alias("m"))))
     return (df.withColumn("_best", best).withColumn("_near", near)
             .withColumns({
-                "recommended_price": round_half_up(F.col("_best.price"), 2),
-                "price_difference": round_half_up(F.col("_best.price") - p0, 2),
-                "estimated_demand_at_recommended_price": round_half_up(F.col("_best.demand"), 2),
-                "estimated_margin_at_current_price": round_half_up(F.col("_near.m"), 2),
-                "estimated_margin_at_recommended_price": round_half_up(F.col("_best.m"), 2),
+                "recommended_price": round_cents(F.col("_best.price"), 2),
+                "price_difference": round_cents(F.col("_best.price") - p0, 2),
+                "estimated_demand_at_recommended_price": round_cents(F.col("_best.demand"), 2),
+                "estimated_margin_at_current_price": round_cents(F.col("_near.m"), 2),
+                "estimated_margin_at_recommended_price": round_cents(F.col("_best.m"), 2),
             })
-            .withColumn("elasticity_rounded", round_half_up(F.col(elasticity), 3))
-            .withColumn("current_price_rounded", round_half_up(p0, 2))
+            .withColumn("elasticity_rounded", round_cents(F.col(elasticity), 3))
+            .withColumn("current_price_rounded", round_cents(p0, 2))
             .drop("_best", "_near"))
 
 
@@ -178,26 +178,44 @@ def pricing_summary(pricing_table: DataFrame) -> DataFrame:
     ).withColumn("median_margin_uplift_pct", med)
 
 
+# The grid sizes that a request may ask for.
+REQUEST_POINTS = (3, 50)
+
+
 def simulate_requests(pricing_table: DataFrame, requests: DataFrame) -> DataFrame:
     """Custom grids (product_id, lo, hi, n) on the stored (rounded) price
     and elasticity; one row per grid point, all values rounded to cents.
-    Grid sizes are limited to 3..50 points."""
-    req = requests.where((F.col("n") >= 3) & (F.col("n") <= 50))
-    t = pricing_table.select("product_id", "current_price", "avg_daily_demand", "cost_price", "elasticity")
-    df = req.join(t, "product_id")
-    i = F.col("_i")
-    pct = F.when(F.col("n") == 1, F.col("lo")).when(i == F.col("n") - 1, F.col("hi")).otherwise(
+
+    Every request is answered. ``status`` is ``ok``; ``bad_grid`` if n is not
+    within 3..50 or a bound is missing; ``unknown_product`` if the table does
+    not have the product. The last two give one row with NULL values.
+    """
+    t = pricing_table.select("product_id", "current_price", "avg_daily_demand", "cost_price", "elasticity",
+                             F.lit(True).alias("_known"))
+    good = F.coalesce(F.col("n").between(*REQUEST_POINTS) & F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.lit(False))
+    df = requests.select("product_id", "lo", "hi", "n").join(t, "product_id", "left").withColumn(
+        "status", F.when(~good, "bad_grid").when(F.col("_known").isNull(), "unknown_product").otherwise("ok"))
+    i, ok = F.col("_i"), F.col("status") == "ok"
+    pct = F.when(i == F.col("n") - 1, F.col("hi")).otherwise(
         i * ((F.col("hi") - F.col("lo")) / (F.col("n") - 1)) + F.col("lo"))
     price = F.col("current_price") * (F.lit(1.0) + pct)
     valid = (F.col("current_price") > 0) & (F.col("avg_daily_demand") > 0)
     demand = F.when(valid, F.col("avg_daily_demand") * F.pow(price / F.col("current_price"), F.col("elasticity"))) \
               .otherwise(F.lit(0.0))
-    pts = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pts = pts.withColumn("_p", price).withColumn("_d", demand)
+    points = F.when(ok, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(None).cast("int")))
+    pts = df.withColumn("_i", F.explode(points)).withColumn("_p", F.when(ok, price)).withColumn("_d", F.when(ok, demand))
     return pts.select(
-        "product_id", F.col("_i").alias("point"),
-        round_half_up("_p", 2).alias("price"),
-        round_half_up("_d", 2).alias("estimated_demand"),
-        round_half_up(F.col("_p") * F.col("_d"), 2).alias("estimated_revenue"),
-        round_half_up(F.col("cost_price") * F.col("_d"), 2).alias("estimated_cost"),
-        round_half_up(F.col("_p") * F.col("_d") - F.col("cost_price") * F.col("_d"), 2).alias("estimated_margin"))
+        "product_id", "lo", "hi", "n", "status", F.col("_i").alias("point"),
+        round_cents("_p").alias("price"),
+        round_cents("_d").alias("estimated_demand"),
+        round_cents(F.col("_p") * F.col("_d")).alias("estimated_revenue"),
+        round_cents(F.col("cost_price") * F.col("_d")).alias("estimated_cost"),
+        round_cents(F.col("_p") * F.col("_d") - F.col("cost_price") * F.col("_d")).alias("estimated_margin"))
+
+
+def pricing_lookup(pricing_table: DataFrame, requests: DataFrame) -> DataFrame:
+    """Pricing answers by product id: every requested id once, ``found`` false
+    and NULL values where the table does not have it."""
+    asked = requests.select("product_id").distinct()
+    return (asked.join(pricing_table.withColumn("found", F.lit(True)), "product_id", "left")
+            .withColumn("found", F.coalesce("found", F.lit(False))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numeric import (RANDOM_SEED, hash_uniform, randint_between,
+from shelfwise.functions.numeric import (RANDOM_SEED, hash_uniform, randint_between, round_cents,
                                          round_half_up, uniform_between)
 from shelfwise.functions.positions import dense_position
 
@@ -130,29 +130,32 @@ def build_dim_date(sales: DataFrame) -> DataFrame:
     )
 
 
-def build_dim_promotion(dim_product: DataFrame, sales: DataFrame) -> DataFrame:
-    """One draw per product (p = 0.15, discount 5-30 %), start offset in
-    [0, span-1] days, length 3-14 days, end capped at the last sale; the id
-    is the product's position in product_id order."""
+def promotion_draws(products: DataFrame, sales: DataFrame) -> DataFrame:
+    """The promoted products with their window and discount, without an id:
+    one draw per product (p = 0.15, discount 5-30 %), start offset in
+    [0, span-1] days, length 3-14 days, end capped at the last sale. Lazy; the
+    other columns of ``products`` stay."""
     bounds = sales_bounds(sales)
     start, end, span = bounds.getField("t0"), bounds.getField("t1"), bounds.getField("span")
     pid = "product_id"
-    positioned = dense_position(dim_product.select(pid), [pid], out="_i")
-    drawn = positioned.where(hash_uniform(pid, tag="promo") < PROMO_PROBABILITY)
     offset = F.floor(hash_uniform(pid, tag="promo_offset") * span)
     length = randint_between(*PROMO_DURATION_DAYS, pid, tag="promo_length")
-    start_date = F.timestamp_seconds(F.unix_seconds(start) + offset * _SECONDS_PER_DAY)
-    return (drawn
-            .withColumn("start_date", start_date)
-            .select(
-                F.format_string("PROMO_%06d", F.col("_i")).alias("promotion_id"),
-                pid,
-                "start_date",
-                F.least(F.timestamp_seconds(F.unix_seconds("start_date") + length * _SECONDS_PER_DAY),
-                        end).alias("end_date"),
-                round_half_up(uniform_between(*PROMO_DISCOUNT_RANGE, pid, tag="discount"), 2)
-                .alias("discount_percentage"),
-            ))
+    return (products.where(hash_uniform(pid, tag="promo") < PROMO_PROBABILITY)
+            .withColumn("start_date", F.timestamp_seconds(F.unix_seconds(start) + offset * _SECONDS_PER_DAY))
+            .withColumn("end_date", F.least(
+                F.timestamp_seconds(F.unix_seconds("start_date") + length * _SECONDS_PER_DAY), end))
+            .withColumn("discount_percentage",
+                        round_half_up(uniform_between(*PROMO_DISCOUNT_RANGE, pid, tag="discount"), 2)))
+
+
+def build_dim_promotion(dim_product: DataFrame, sales: DataFrame) -> DataFrame:
+    """The draws with an id, which is the product's position in product_id
+    order. The position is the one part that runs jobs (U2); callers that need
+    only discounts or windows use :func:`promotion_draws`."""
+    positioned = dense_position(dim_product.select("product_id"), ["product_id"], out="_i")
+    return promotion_draws(positioned, sales).select(
+        F.format_string("PROMO_%06d", F.col("_i")).alias("promotion_id"),
+        "product_id", "start_date", "end_date", "discount_percentage")
 
 
 def build_fact_inventory(sales: DataFrame, dim_product: DataFrame) -> DataFrame:
@@ -188,37 +191,43 @@ FACT_SALES_COLUMNS = ["order_id", "customer_id", "product_id", "date_id", "quant
                       "discount", "revenue", "cost", "margin"]
 
 
-def build_fact_sales(sales: DataFrame, dim_product: DataFrame, dim_promotion: DataFrame) -> DataFrame:
+def product_side(dim_product: DataFrame, draws: DataFrame) -> DataFrame:
+    """What a sale looks up by product: cost, and the promotion's window and
+    discount if there is one. One row per product, so that the sales need one
+    join; written out first, that join has two shuffled inputs and AQE can
+    split a hot product."""
+    promo = draws.select(F.col("product_id").alias("_pp"), F.col("start_date").alias("_ps"),
+                         F.col("end_date").alias("_pe"), F.col("discount_percentage").alias("_d"))
+    return (dim_product.select("product_id", F.col("cost_price").alias("_cp"))
+            .join(promo, F.col("product_id") == F.col("_pp"), "left").drop("_pp"))
+
+
+def build_fact_sales(sales: DataFrame, side: DataFrame) -> DataFrame:
     """Discount of the product's promotion (every sale of a promoted
     product, as coded in the reference; see D1 for the dated variant), cost by
-    product, revenue/cost/margin rounded to cents.
-
-    Both lookups are keyed by product and grow with the catalogue, so no
-    broadcast hint: AQE switches to a broadcast hash join at runtime when the
-    measured side is under the threshold.
-    """
-    disc = dim_promotion.select("product_id", F.col("discount_percentage").alias("_d"))
-    cost = dim_product.select("product_id", F.col("cost_price").alias("_cp"))
-    df = (sales.join(disc, "product_id", "left").join(cost, "product_id", "left")
+    product, revenue/cost/margin rounded to cents. ``side``: :func:`product_side`;
+    it grows with the catalogue, so no broadcast hint."""
+    df = (sales.join(side.select("product_id", "_cp", "_d"), "product_id", "left")
           .withColumn("discount", F.coalesce(F.col("_d"), F.lit(0.0))))
-    revenue = round_half_up(F.col("quantity") * F.col("unit_price") * (1 - F.col("discount")), 2)
-    cost_c = round_half_up(F.col("quantity") * F.col("_cp"), 2)
+    revenue = round_cents(F.col("quantity") * F.col("unit_price") * (1 - F.col("discount")))
+    cost_c = round_cents(F.col("quantity") * F.col("_cp"))
     return (df.withColumn("revenue", revenue).withColumn("cost", cost_c)
-            .withColumn("margin", round_half_up(F.col("revenue") - F.col("cost"), 2))
+            .withColumn("margin", round_cents(F.col("revenue") - F.col("cost")))
             .select(*FACT_SALES_COLUMNS))
 
 
 def build_star_schema(sales: DataFrame) -> dict[str, DataFrame]:
-    """The six tables from cleaned sales, all lazy. A caller that writes
-    all six should first persist or write ``sales`` (it is read six times)."""
+    """The six tables from cleaned sales. Building runs the jobs of the
+    promotion ids (B4); a caller that writes all six should first write or
+    materialise ``sales``, which every table reads."""
     dim_product = build_dim_product(sales)
-    dim_promotion = build_dim_promotion(dim_product, sales)
+    draws = promotion_draws(dim_product.select("product_id"), sales)
     return {
         "dim_customer": build_dim_customer(sales),
         "dim_product": dim_product,
         "dim_date": build_dim_date(sales),
-        "dim_promotion": dim_promotion,
-        "fact_sales": build_fact_sales(sales, dim_product, dim_promotion),
+        "dim_promotion": build_dim_promotion(dim_product, sales),
+        "fact_sales": build_fact_sales(sales, product_side(dim_product, draws)),
         "fact_inventory": build_fact_inventory(sales, dim_product),
     }
 

@@ -10,7 +10,7 @@ from shelfwise.plans.warehouse import Warehouse
 
 @register("c9_mapped_events")
 def q_mapped_events(spark, sf_dir):
-    return events.map_event_types(Warehouse(spark, sf_dir).clicks)
+    return Warehouse(spark, sf_dir).mapped_events
 
 
 @register("e4_fact_web_events")
@@ -30,7 +30,7 @@ def q_sessions(spark, sf_dir):
 
 @register("e5_event_type_counts")
 def q_event_type_counts(spark, sf_dir):
-    return events.event_type_counts(Warehouse(spark, sf_dir).web_events)
+    return events.event_type_counts(Warehouse(spark, sf_dir).mapped_events)
 
 
 @register("e6_item_categories")

@@ -24,35 +24,35 @@ def _aggregate(wh):
 
 @register("f1_daily_demand")
 def q_daily(spark, sf_dir):
-    wh = Warehouse(spark, sf_dir)
+    wh = Warehouse(spark, sf_dir, reuse=True)
     return fc.daily_demand(wh.fact_sales, wh.dim_date)
 
 
 @register("f2_product_daily_demand")
 def q_daily_product(spark, sf_dir):
-    wh = Warehouse(spark, sf_dir)
+    wh = Warehouse(spark, sf_dir, reuse=True)
     return fc.daily_demand_by_product(wh.fact_sales, wh.dim_date)
 
 
 @register("f3_filled_panel")
 def q_filled(spark, sf_dir):
-    return _panel(Warehouse(spark, sf_dir))
+    return _panel(Warehouse(spark, sf_dir, reuse=True))
 
 
 @register("f3_filled_aggregate")
 def q_filled_total(spark, sf_dir):
-    return _aggregate(Warehouse(spark, sf_dir))
+    return _aggregate(Warehouse(spark, sf_dir, reuse=True))
 
 
 @register("f6_features")
 def q_features(spark, sf_dir):
-    f = fc.add_time_series_features(_panel(Warehouse(spark, sf_dir)))
+    f = fc.add_time_series_features(_panel(Warehouse(spark, sf_dir, reuse=True)))
     return _r6(f, *[f"rolling_mean_{w}" for w in fc.ROLLING_WINDOWS])
 
 
 @register("f8_split_summary")
 def q_split(spark, sf_dir):
-    f = fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir))))
+    f = fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir, reuse=True))))
     s = fc.temporal_split(f)
     return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.min("ds").alias("first_ds"),
                                     F.max("ds").alias("last_ds"))
@@ -66,17 +66,17 @@ def _baseline_aggregate(wh):
 
 @register("f9_baseline_aggregate")
 def q_baseline(spark, sf_dir):
-    return _r6(_baseline_aggregate(Warehouse(spark, sf_dir)), "yhat")
+    return _r6(_baseline_aggregate(Warehouse(spark, sf_dir, reuse=True)), "yhat")
 
 
 @register("f10_baseline_metrics")
 def q_baseline_metrics(spark, sf_dir):
-    return _r6(fc.forecast_metrics(_baseline_aggregate(Warehouse(spark, sf_dir))), "mae", "rmse", "mape")
+    return _r6(fc.forecast_metrics(_baseline_aggregate(Warehouse(spark, sf_dir, reuse=True))), "mae", "rmse", "mape")
 
 
 @register("f10_baseline_metrics_by_product")
 def q_baseline_metrics_product(spark, sf_dir):
-    s = fc.temporal_split(_panel(Warehouse(spark, sf_dir)))
+    s = fc.temporal_split(_panel(Warehouse(spark, sf_dir, reuse=True)))
     train, test = s.where(~F.col("is_test")), s.where(F.col("is_test"))
     pred = fc.moving_average_forecast(train, test.select("product_id", "ds", "y"), keys=("product_id",))
     return _r6(fc.forecast_metrics(pred, keys=("product_id",)), "mae", "rmse", "mape")
@@ -84,7 +84,7 @@ def q_baseline_metrics_product(spark, sf_dir):
 
 @register("f11_trend_seasonal_forecast")
 def q_trend_seasonal(spark, sf_dir):
-    s = materialize(fc.temporal_split(materialize(_aggregate(Warehouse(spark, sf_dir)))))
+    s = materialize(fc.temporal_split(materialize(_aggregate(Warehouse(spark, sf_dir, reuse=True)))))
     pred = fc.fit_trend_seasonal(s.where(~F.col("is_test")), s.where(F.col("is_test")))
     return pred
 
@@ -96,7 +96,7 @@ def q_trend_seasonal_metrics(spark, sf_dir):
 
 @register("f12_gbt_metrics")
 def q_gbt_metrics(spark, sf_dir):
-    f = materialize(fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir)))))
+    f = materialize(fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir, reuse=True)))))
     return fc.evaluate_global_model(f)
 
 
@@ -104,7 +104,7 @@ def q_gbt_metrics(spark, sf_dir):
 def q_recursive(spark, sf_dir):
     """F13 + F14: refit on every complete-feature row, then 7 recursive steps
     for every product of the warehouse (baseline for short/unknown ones)."""
-    wh = Warehouse(spark, sf_dir)
+    wh = Warehouse(spark, sf_dir, reuse=True)
     features = materialize(fc.drop_incomplete(fc.add_time_series_features(_panel(wh))))
     model, enc = fc.fit_global_model(features)
     all_daily = fc.daily_demand_by_product(wh.fact_sales, wh.dim_date, min_days_with_sales=1)

@@ -1,43 +1,84 @@
 """Oracle SQL for the data-quality and extension queries."""
-from shelfwise.plans.oracle import _K3_EXACT, R, cte, oracle
-
-_NOT_NULL_UNIQUE = "count(*) FILTER (WHERE {k} IS NULL) + count({k}) - count(DISTINCT {k})"
-
-
-def _orphans(child: str, parent: str, key: str) -> str:
-    return f"(SELECT count(*) FROM {child} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{key}))"
-
-
-oracle("q1_q8_quality_report", f"""
-SELECT 'q1_customer_key' AS "check", CAST(({_NOT_NULL_UNIQUE.format(k='customer_id')}) AS BIGINT) AS violations
-FROM dim_customer
-UNION ALL SELECT 'q1_product_key', CAST(({_NOT_NULL_UNIQUE.format(k='product_id')}) AS BIGINT) FROM dim_product
-UNION ALL SELECT 'q1_date_key', CAST(({_NOT_NULL_UNIQUE.format(k='date_id')}) AS BIGINT) FROM dim_date
-UNION ALL SELECT 'q2_sales_ranges', count(*) FILTER (WHERE NOT (quantity > 0 AND unit_price >= 0 AND revenue >= 0
-                                                    AND discount BETWEEN 0 AND 1)) FROM fact_sales
-UNION ALL SELECT 'q2_product_prices', count(*) FILTER (WHERE NOT (cost_price >= 0 AND base_price >= 0
-                                                       AND current_price >= 0)) FROM dim_product
-UNION ALL SELECT 'q2_stock_ranges', count(*) FILTER (WHERE NOT (opening_stock >= 0 AND stock_in >= 0
-                                                     AND quantity_sold >= 0 AND closing_stock >= 0)) FROM fact_inventory
-UNION ALL SELECT 'q3_revenue_margin', count(*) FILTER (
-    WHERE abs(revenue - {R('quantity * unit_price * (1 - discount)')}) > 0.005
-       OR abs(margin - {R('revenue - cost')}) > 0.005) FROM fact_sales
-UNION ALL SELECT 'q4_closing_stock', count(*) FILTER (
-    WHERE closing_stock <> greatest(0, opening_stock + stock_in - quantity_sold)) FROM fact_inventory
-UNION ALL SELECT 'q5_sales_customer_fk', {_orphans('fact_sales', 'dim_customer', 'customer_id')}
-UNION ALL SELECT 'q5_sales_product_fk', {_orphans('fact_sales', 'dim_product', 'product_id')}
-UNION ALL SELECT 'q5_sales_date_fk', {_orphans('fact_sales', 'dim_date', 'date_id')}
-UNION ALL SELECT 'q5_inventory_product_fk', {_orphans('fact_inventory', 'dim_product', 'product_id')}
-UNION ALL SELECT 'q5_promotion_product_fk', {_orphans('dim_promotion', 'dim_product', 'product_id')}
-UNION ALL SELECT 'q6_calendar_gaps', count(*) FILTER (WHERE gap <> 1)
-    FROM (SELECT date - lag(date) OVER (ORDER BY date) AS gap FROM dim_date)
-UNION ALL SELECT 'q7_promotion_rules', count(*) FILTER (WHERE NOT (discount_percentage > 0
-                                                        AND discount_percentage <= 0.30 AND start_date <= end_date))
-    FROM dim_promotion
-UNION ALL SELECT 'q1_event_key', CAST(({_NOT_NULL_UNIQUE.format(k='event_id')}) AS BIGINT) FROM fact_web_events
-UNION ALL SELECT 'q8_event_types', count(*) FILTER (
-    WHERE event_type NOT IN ('view', 'add_to_cart', 'remove_from_cart', 'purchase') OR event_time IS NULL)
-    FROM fact_web_events""")
+from shelfwise.plans.oracle import _K3_EXACT, R, RE, cte, oracle
+
+def _report(t: dict[str, str]) -> str:
+    """The quality report over tables of the given names. NOT coalesce(..., false): a NULL breaks a rule."""
+    def key(name: str, table: str, *cols: str) -> str:
+        whole = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+        one = f"CASE WHEN {whole} THEN ({', '.join(cols)}) END" if len(cols) > 1 else cols[0]
+        return (f"SELECT '{name}' AS \"check\", CAST(count(*) FILTER (WHERE NOT ({whole})) + count({one})"
+                f" - count(DISTINCT {one}) AS BIGINT) AS violations FROM {t[table]}")
+
+    def rule(name: str, table: str, condition: str) -> str:
+        return f"SELECT '{name}', count(*) FILTER (WHERE NOT coalesce({condition}, false)) FROM {t[table]}"
+
+    def orphans(name: str, child: str, parent: str, col: str) -> str:
+        return (f"SELECT '{name}', (SELECT count(*) FROM {t[child]} c"
+                f" WHERE NOT EXISTS (SELECT 1 FROM {t[parent]} p WHERE p.{col} = c.{col}))")
+
+    return "\nUNION ALL ".join([
+        key("q1_customer_key", "dim_customer", "customer_id"),
+        key("q1_product_key", "dim_product", "product_id"),
+        key("q1_date_key", "dim_date", "date_id"),
+        key("q1_inventory_key", "fact_inventory", "product_id", "date_id"),
+        key("q1_promotion_key", "dim_promotion", "promotion_id"),
+        key("q1_event_key", "fact_web_events", "event_id"),
+        rule("q2_sales_ranges", "fact_sales",
+             "quantity > 0 AND unit_price >= 0 AND revenue >= 0 AND discount BETWEEN 0 AND 1"),
+        rule("q2_product_prices", "dim_product", "cost_price >= 0 AND base_price >= 0 AND current_price >= 0"),
+        rule("q2_stock_ranges", "fact_inventory",
+             "opening_stock >= 0 AND stock_in >= 0 AND quantity_sold >= 0 AND closing_stock >= 0"),
+        rule("q3_revenue_margin", "fact_sales",
+             f"abs(revenue - {RE('quantity * unit_price * (1 - discount)')}) <= 0.005"
+             f" AND abs(margin - {RE('revenue - cost')}) <= 0.005"),
+        rule("q4_closing_stock", "fact_inventory",
+             "closing_stock = CASE WHEN opening_stock + stock_in - quantity_sold < 0 THEN 0"
+             " ELSE opening_stock + stock_in - quantity_sold END"),
+        orphans("q5_sales_customer_fk", "fact_sales", "dim_customer", "customer_id"),
+        orphans("q5_sales_product_fk", "fact_sales", "dim_product", "product_id"),
+        orphans("q5_sales_date_fk", "fact_sales", "dim_date", "date_id"),
+        orphans("q5_inventory_product_fk", "fact_inventory", "dim_product", "product_id"),
+        orphans("q5_promotion_product_fk", "dim_promotion", "dim_product", "product_id"),
+        f"SELECT 'q6_calendar_gaps', count(*) FILTER (WHERE gap <> 1)"
+        f" FROM (SELECT date - lag(date) OVER (ORDER BY date) AS gap FROM {t['dim_date']})",
+        rule("q7_promotion_rules", "dim_promotion",
+             "discount_percentage > 0 AND discount_percentage <= 0.30 AND start_date <= end_date"),
+        rule("q8_event_types", "fact_web_events",
+             "event_type IN ('view', 'add_to_cart', 'remove_from_cart', 'purchase') AND event_time IS NOT NULL")])
+
+
+_TABLES = ("fact_sales", "fact_inventory", "dim_product", "dim_date", "dim_promotion", "dim_customer", "fact_web_events")
+oracle("q1_q8_quality_report", _report({t: t for t in _TABLES}))
+
+# the same tables with faults planted by rule, so that every check has something to count
+for _t, _sql in {
+    "fact_sales": """
+SELECT * REPLACE (CASE WHEN date_id % 29 = 0 THEN NULL ELSE quantity END AS quantity,
+                  CASE WHEN date_id % 31 = 0 THEN 1.5 ELSE discount END AS discount,
+                  CASE WHEN date_id % 37 = 0 THEN revenue + 1 ELSE revenue END AS revenue,
+                  CASE WHEN date_id % 41 = 0 THEN 'nobody' ELSE customer_id END AS customer_id,
+                  CASE WHEN date_id % 43 = 0 THEN NULL ELSE product_id END AS product_id) FROM fact_sales""",
+    "fact_inventory": """
+SELECT * REPLACE (CASE WHEN product_id LIKE '%5' THEN closing_stock + 1 ELSE closing_stock END AS closing_stock,
+                  CASE WHEN product_id LIKE '%9' THEN -1 ELSE stock_in END AS stock_in,
+                  CASE WHEN product_id LIKE '%4' THEN NULL ELSE date_id END AS date_id,
+                  CASE WHEN product_id LIKE '%2' THEN 'no product' ELSE product_id END AS product_id) FROM fact_inventory""",
+    "dim_product": """
+SELECT * REPLACE (CASE WHEN product_id LIKE '%3' THEN NULL ELSE cost_price END AS cost_price) FROM dim_product
+UNION ALL SELECT * FROM dim_product WHERE product_id LIKE '%7'""",
+    "dim_date": "SELECT * FROM dim_date WHERE day <> 13 UNION ALL SELECT * FROM dim_date WHERE day = 14",
+    "dim_promotion": """
+SELECT * REPLACE (CASE WHEN product_id LIKE '%1' THEN 0.31 ELSE discount_percentage END AS discount_percentage,
+                  CASE WHEN product_id LIKE '%6' THEN NULL ELSE promotion_id END AS promotion_id,
+                  CASE WHEN product_id LIKE '%8' THEN 'no product' ELSE product_id END AS product_id) FROM dim_promotion""",
+    "dim_customer": """
+SELECT * REPLACE (CASE WHEN customer_id LIKE '%8' THEN NULL ELSE customer_id END AS customer_id) FROM dim_customer""",
+    "fact_web_events": """
+SELECT * REPLACE (CASE WHEN event_id LIKE '%9' THEN 'hover' WHEN event_id LIKE '%3' THEN NULL ELSE event_type END AS event_type,
+                  CASE WHEN event_id LIKE '%4' THEN NULL ELSE event_time END AS event_time,
+                  CASE WHEN event_id LIKE '%0' THEN 'EVT_0' ELSE event_id END AS event_id) FROM fact_web_events"""}.items():
+    cte(f"faulty_{_t}", _sql)
+oracle("q1_q8_planted_faults", _report({t: f"faulty_{t}" for t in _TABLES}))
 
 oracle("q9_leakage", """
 SELECT 'q9_forecast_split' AS "check",
@@ -50,9 +91,9 @@ SELECT 'q9_recommendation_split',
 oracle("d1_dated_discount_sales", f"""
 SELECT s.order_id, s.customer_id, s.product_id, s.date_id, s.quantity, s.unit_price,
        coalesce(pr.discount_percentage, 0.0) AS discount,
-       {R('s.quantity * s.unit_price * (1 - coalesce(pr.discount_percentage, 0.0))')} AS revenue,
-       {R('s.quantity * dp.cost_price')} AS cost,
-       {R(R('s.quantity * s.unit_price * (1 - coalesce(pr.discount_percentage, 0.0))') + ' - ' + R('s.quantity * dp.cost_price'))} AS margin
+       {RE('s.quantity * s.unit_price * (1 - coalesce(pr.discount_percentage, 0.0))')} AS revenue,
+       {RE('s.quantity * dp.cost_price')} AS cost,
+       {RE(RE('s.quantity * s.unit_price * (1 - coalesce(pr.discount_percentage, 0.0))') + ' - ' + RE('s.quantity * dp.cost_price'))} AS margin
 FROM sales s
 LEFT JOIN dim_promotion pr ON s.product_id = pr.product_id AND s.invoice_date BETWEEN pr.start_date AND pr.end_date
 LEFT JOIN dim_product dp ON s.product_id = dp.product_id""")

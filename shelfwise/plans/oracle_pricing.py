@@ -1,5 +1,5 @@
 """Oracle SQL for the pricing queries."""
-from shelfwise.plans.oracle import R, cte, dbl, oracle
+from shelfwise.plans.oracle import RE, R, cte, dbl, oracle
 
 cte("price_history", """
 SELECT fs.product_id, d.date AS ds, fs.unit_price, fs.quantity
@@ -54,13 +54,13 @@ FROM (
     FROM pricing_input p, (SELECT unnest(range(0, 13)) AS i) g))""")
 
 cte("pricing_table", f"""
-SELECT product_id, {R('current_price')} AS current_price,
-       {R('best.price')} AS recommended_price,
-       {R('best.price - current_price')} AS price_difference,
-       {R('best.demand')} AS estimated_demand_at_recommended_price,
-       {R('near_margin')} AS estimated_margin_at_current_price,
-       {R('best.margin')} AS estimated_margin_at_recommended_price,
-       {R('elasticity', 3)} AS elasticity, is_estimated, r_squared, cost_price, avg_daily_demand
+SELECT product_id, {RE('current_price')} AS current_price,
+       {RE('best.price')} AS recommended_price,
+       {RE('best.price - current_price')} AS price_difference,
+       {RE('best.demand')} AS estimated_demand_at_recommended_price,
+       {RE('near_margin')} AS estimated_margin_at_current_price,
+       {RE('best.margin')} AS estimated_margin_at_recommended_price,
+       {RE('elasticity', 3)} AS elasticity, is_estimated, r_squared, cost_price, avg_daily_demand
 FROM (
   SELECT product_id, current_price, elasticity, is_estimated, r_squared, cost_price, avg_daily_demand,
          arg_max({{'price': price, 'demand': demand, 'margin': margin}}, (margin, -i)) AS best,
@@ -91,15 +91,27 @@ SELECT count(*) AS n_products, count(*) FILTER (WHERE is_estimated) AS n_estimat
        {R('quantile_cont((estimated_margin_at_recommended_price - estimated_margin_at_current_price)'
           ' / nullif(abs(estimated_margin_at_current_price), 0) * 100, 0.5)', 6)} AS median_margin_uplift_pct
 FROM pricing_table""")
+cte("price_requests", f"""
+SELECT product_id, {dbl(-0.2)} AS lo, {dbl(0.2)} AS hi, n FROM pricing_table, (VALUES (5), (2), (51)) AS sizes(n)
+UNION ALL SELECT 'no such product', {dbl(-0.2)}, {dbl(0.2)}, 5
+UNION ALL SELECT 'no such product', {dbl(-0.2)}, {dbl(0.2)}, 2""")
 oracle("p12_custom_simulation", f"""
-SELECT product_id, CAST(point AS INTEGER) AS point, {R('price')} AS price, {R('demand')} AS estimated_demand,
-       {R('price * demand')} AS estimated_revenue, {R('cost_price * demand')} AS estimated_cost,
-       {R('price * demand - cost_price * demand')} AS estimated_margin
+SELECT product_id, lo, hi, n, status, coalesce(CAST(point AS INTEGER), -1) AS point, {RE('price')} AS price,
+       {RE('demand')} AS estimated_demand, {RE('price * demand')} AS estimated_revenue,
+       {RE('cost_price * demand')} AS estimated_cost, {RE('price * demand - cost_price * demand')} AS estimated_margin
 FROM (
-  SELECT *, CASE WHEN current_price > 0 AND avg_daily_demand > 0
-                 THEN avg_daily_demand * pow(price / current_price, elasticity) ELSE 0.0 END AS demand
+  SELECT *, CASE WHEN status = 'ok' THEN CASE WHEN current_price > 0 AND avg_daily_demand > 0
+                 THEN avg_daily_demand * pow(price / current_price, elasticity) ELSE 0.0 END END AS demand
   FROM (
-    SELECT t.*, g.point,
-           t.current_price * (1.0 + CASE WHEN g.point = 4 THEN {dbl(0.2)}
-                                         ELSE g.point * (({dbl(0.2)} - {dbl(-0.2)}) / (5 - 1)) + {dbl(-0.2)} END) AS price
-    FROM pricing_table t, (SELECT unnest(range(0, 5)) AS point) g))""")
+    SELECT *, CASE WHEN status = 'ok' THEN
+             current_price * (1.0 + CASE WHEN point = n - 1 THEN hi ELSE point * ((hi - lo) / (n - 1)) + lo END) END AS price
+    FROM (
+      SELECT r.*, t.current_price, t.avg_daily_demand, t.cost_price, t.elasticity,
+             CASE WHEN n < 3 OR n > 50 THEN 'bad_grid' WHEN t.product_id IS NULL THEN 'unknown_product' ELSE 'ok' END AS status,
+             unnest(CASE WHEN n < 3 OR n > 50 OR t.product_id IS NULL THEN [NULL] ELSE range(0, n) END) AS point
+      FROM price_requests r LEFT JOIN pricing_table t USING (product_id))))""")
+oracle("p10_pricing_lookup", f"""
+SELECT r.product_id, t.product_id IS NOT NULL AS found, t.current_price, t.recommended_price, t.elasticity,
+       coalesce(t.is_estimated, false) AS is_estimated
+FROM (SELECT DISTINCT product_id FROM raw_sales UNION ALL SELECT 'no such product') r
+LEFT JOIN pricing_table t USING (product_id)""")

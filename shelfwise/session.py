@@ -16,6 +16,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Set when a session is built here: checkpoint files go once nothing refers to
+# their DataFrame any more (a cluster sets the same in its own configuration).
+CLEAN_CHECKPOINTS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def build_session(master: str = "local[8]", app: str = "shelfwise", shuffle_partitions: int = 8,
@@ -23,7 +26,7 @@ def build_session(master: str = "local[8]", app: str = "shelfwise", shuffle_part
     """Local/test session. On a cluster, ``spark-submit`` provides the session
     and only :data:`BASE_CONF` matters."""
     b = SparkSession.builder.master(master).appName(app)
-    conf = dict(BASE_CONF)
+    conf = BASE_CONF | CLEAN_CHECKPOINTS
     conf.update({
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
@@ -52,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
     The folder named by ``spark.checkpoint.dir`` (or already set on the
-    context) is used as is. Only when nothing is configured -- a laptop or a
-    test -- a fresh local folder is created.
+    context) is used as is. Where nothing is configured, a local session (a
+    laptop, a test) gets a fresh local folder; any other master is refused,
+    because its executors would not share such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not (sc.master or "").split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-ckpt-"))
     return sc.getCheckpointDir()
