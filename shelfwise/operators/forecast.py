@@ -22,7 +22,9 @@ TEST_DAYS = 30
 MA_WINDOW = 7
 MAPE_EPSILON = 1.0
 HORIZON = 7
-MIN_HISTORY_DAYS = max(max(LAGS), max(ROLLING_WINDOWS)) + 1
+# F14 builds every feature of the day after the history: the longest window of
+# past days must be there, and the last known day itself.
+MIN_HISTORY_DAYS = 1 + max(*ROLLING_WINDOWS, *LAGS)
 CALENDAR_FEATURES = ["day_of_week", "day_of_month", "month", "is_weekend"]
 LAG_FEATURES = [f"lag_{k}" for k in LAGS] + [f"rolling_mean_{w}" for w in ROLLING_WINDOWS]
 
@@ -256,11 +258,36 @@ def recursive_forecast(daily_by_product: DataFrame, model, encoding: DataFrame,
                  .checkpoint(eager=True))
     modelled = (state.select(P, "last_ds", F.posexplode("preds").alias("_i", "yhat"))
                 .select(P, (F.col("_i") + 1).alias("step"), F.date_add("last_ds", F.col("_i") + 1).alias("ds"),
-                        "yhat", F.lit("gbt_global").alias("model_used")))
+                        "yhat", F.lit(getattr(model, "name", "gbt_global")).alias("model_used")))
     out = modelled.unionByName(baseline)
     return out.withColumn("predicted_demand", F.floor(F.col("yhat") * 100 + 0.5) / 100).drop("yhat")
 
 
 def forecast_lookup(forecasts: DataFrame, requests: DataFrame) -> DataFrame:
-    """the forecast rows of the requested products (keyed table join)."""
-    return forecasts.join(requests.select(P).distinct(), P, "left_semi")
+    """the forecast rows of the requested products, ``found`` true; a
+    product without a forecast answers one row with ``found`` false."""
+    asked = requests.select(P).distinct()
+    return (asked.join(forecasts.withColumn("found", F.lit(True)), P, "left")
+            .withColumn("found", F.coalesce("found", F.lit(False))))
+
+
+class RollingMeanModel:
+    """A step model for F14 with the interface of a fitted one: the mean of the last seven days, its own predictions
+    included. It needs no fit, so its recursion can be checked exactly."""
+
+    name = "rolling_mean_7"
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return features.withColumn("prediction", F.col("rolling_mean_7"))
+
+
+def save_global_model(model, encoding: DataFrame, path: str) -> None:
+    """The refitted model and the product levels it was fitted with."""
+    model.write().overwrite().save(f"{path}/model")
+    encoding.write.mode("overwrite").parquet(f"{path}/product_level")
+
+
+def load_global_model(spark, path: str):
+    """(model, encoding) as :func:`save_global_model` wrote them."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/product_level")

@@ -25,7 +25,6 @@ UNINTERACTED_ITEM_WEIGHT = 0.01
 N_COMPONENTS = 50
 CANDIDATE_POOL = 50
 RRF_K = 60
-MAX_EVAL_VISITORS = 5000
 
 V, I = "visitor_id", "item_id"
 
@@ -135,37 +134,104 @@ def interaction_matrix(train: DataFrame) -> DataFrame:
     return cells.join(vix, V).join(iix, I).select(V, I, "visitor_ix", "item_ix", "weight")
 
 
-def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS):
+# Directions followed beyond the asked ones, so that these settle quickly.
+OVERSAMPLE = 10
+
+
+def _times_cells(cells: DataFrame, to: str, along: str, vectors: DataFrame, width: int) -> DataFrame:
+    """The product of the sparse matrix (or its transpose) with ``vectors`` (ix, vec): one row per value of ``to``.
+    A join on ``along`` and sums that are combined before the shuffle."""
+    pairs = cells.join(vectors.select(F.col("ix").alias(along), "vec"), along)
+    sums = pairs.groupBy(to).agg(*[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"c{i}") for i in range(width)])
+    return sums.select(F.col(to).alias("ix"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("vec"))
+
+
+def _gram(vectors: DataFrame, width: int):
+    """The width x width matrix of inner products of the columns; the one thing that comes to the driver, and its size
+    does not depend on the data."""
+    import numpy as np
+
+    def part(batches):
+        import pyarrow as pa
+        total = np.zeros((width, width))
+        for b in batches:
+            x = np.asarray(b.column("vec").flatten(), dtype=np.float64).reshape(-1, width)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["at", "v"])
+
+    out = np.zeros(width * width)
+    for r in vectors.select("vec").mapInArrow(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out.reshape(width, width)
+
+
+def _rotated(vectors: DataFrame, matrix) -> DataFrame:
+    """Every vector times a small matrix."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            x = np.asarray(b.column("vec").flatten(), dtype=np.float64).reshape(-1, matrix.shape[0]) @ matrix
+            yield pa.RecordBatch.from_arrays([b.column("ix"), pa.array(list(x), pa.list_(pa.float64()))], names=["ix", "vec"])
+
+    return vectors.mapInArrow(run, "ix long, vec array<double>")
+
+
+def _orthonormal(vectors: DataFrame, width: int, passes: int = 1):
+    """(the same column space with orthonormal columns, the eigenvalues of the Gram matrix found first). Directions that
+    are not there become zero; a second pass removes what rounding left in the first."""
+    import numpy as np
+    first = None
+    for _ in range(passes):
+        values, q = np.linalg.eigh(_gram(vectors, width))
+        first = values if first is None else first
+        scale = np.where(values > 1e-13 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        vectors = materialize(_rotated(vectors, q * scale))
+    return vectors, first
+
+
+def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, max_rounds: int = 5, tolerance: float = 1e-9):
     """Rank r = min(n, min(shape) - 1) truncated SVD of the sparse matrix.
 
-    Returns (visitor_factors, item_factors) DataFrames with
-    ``(visitor_ix, vec)`` = rows of U·Σ and ``(item_ix, vec)`` = rows of V,
-    so that U·Σ·Vᵀ (the scores) does not depend on the sign choice.
-    Uses MLlib's distributed ``computeSVD`` (ARPACK on distributed
-    matrix-vector products); V (items x r) is the one local factor it returns.
+    Returns (visitor_factors, item_factors) DataFrames with ``(visitor_ix, vec)`` = rows of U·Σ and
+    ``(item_ix, vec)`` = rows of V; the largest entry of each column of V is positive, so the signs are fixed.
+
+    Block subspace iteration over the cells: r + OVERSAMPLE hashed start vectors are multiplied by the matrix and its
+    transpose until the singular values move by less than ``tolerance`` (``max_rounds`` at most; the exact answer after
+    one round where the block is as wide as the matrix). The factors stay distributed tables; the driver sees Gram
+    matrices of the block's width only.
     """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    import numpy as np
 
-    spark = matrix.sparkSession
-    matrix = materialize(matrix.select("visitor_ix", "item_ix", "weight"))
-    shape = matrix.agg((F.max("visitor_ix") + 1).alias("m"), (F.max("item_ix") + 1).alias("n")).first()
-    r = min(n_components, min(shape["m"], shape["n"]) - 1)
-    if r < 1:
+    cells = materialize(matrix.select("visitor_ix", "item_ix", F.col("weight").cast("double").alias("weight")))
+    shape = cells.agg((F.max("visitor_ix") + 1).alias("m"), (F.max("item_ix") + 1).alias("n")).first()
+    if not shape["m"] or min(shape["m"], shape["n"]) < 2:
         raise ValueError("interaction matrix too small for a factorisation")
-    entries = matrix.select("visitor_ix", "item_ix", "weight").rdd.map(
-        lambda row: MatrixEntry(row[0], row[1], float(row[2])))
-    mat = CoordinateMatrix(entries, shape["m"], shape["n"]).toIndexedRowMatrix()
-    svd = mat.computeSVD(r, computeU=True)
-    s = svd.s.toArray()
-    vis = svd.U.rows.map(lambda row: (int(row.index), [float(x) * float(si) for x, si in zip(row.vector.toArray(), s)]))
-    schema = T.StructType([T.StructField("visitor_ix", T.LongType()),
-                           T.StructField("vec", T.ArrayType(T.DoubleType()))])
-    visitor_factors = spark.createDataFrame(vis, schema)
-    v = svd.V.toArray()
-    item_factors = spark.createDataFrame([(int(j), [float(x) for x in v[j]]) for j in range(v.shape[0])],
-                                         T.StructType([T.StructField("item_ix", T.LongType()),
-                                                       T.StructField("vec", T.ArrayType(T.DoubleType()))]))
-    return visitor_factors, item_factors
+    r = min(n_components, min(shape["m"], shape["n"]) - 1)
+    width = min(r + OVERSAMPLE, min(shape["m"], shape["n"]))
+    start = F.array(*[F.xxhash64(F.col("item_ix"), F.lit(i)) / F.lit(2.0 ** 63) for i in range(width)])
+    items = cells.select("item_ix").distinct().select(F.col("item_ix").alias("ix"), start.alias("vec"))
+    items, _ = _orthonormal(materialize(items), width)
+    before = np.zeros(r)
+    for _ in range(max_rounds):
+        visitors, _ = _orthonormal(materialize(_times_cells(cells, "visitor_ix", "item_ix", items, width)), width)
+        items, squares = _orthonormal(materialize(_times_cells(cells, "item_ix", "visitor_ix", visitors, width)), width)
+        now = np.sqrt(np.sort(np.maximum(squares, 0))[::-1][:r])
+        if np.abs(now - before).max() <= tolerance * now.max():
+            break
+        before = now
+    items, _ = _orthonormal(items, width)
+    visitors = materialize(_times_cells(cells, "visitor_ix", "item_ix", items, width))
+    values, q = np.linalg.eigh(_gram(visitors, width))
+    top = np.argsort(-values)[:r]
+    q = q[:, top]
+    v = materialize(_rotated(items, q))
+    peaks = v.agg(*[F.max(F.struct(F.abs(F.col("vec")[i]).alias("a"), F.col("vec")[i].alias("x"))).alias(f"p{i}")
+                    for i in range(r)]).first()
+    sign = np.array([-1.0 if peaks[f"p{i}"]["x"] < 0 else 1.0 for i in range(r)])
+    return (_rotated(visitors, q * sign).withColumnRenamed("ix", "visitor_ix"),
+            _rotated(v, np.diag(sign)).withColumnRenamed("ix", "item_ix"))
 
 
 def exact_top_k_inner_product(queries: DataFrame, items: DataFrame, k: int = CANDIDATE_POOL,

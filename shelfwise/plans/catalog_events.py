@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import events, kpi
+from shelfwise.operators import events
 from shelfwise.plans.catalog import register
 from shelfwise.plans.warehouse import Warehouse
 
@@ -41,8 +41,3 @@ def q_item_categories(spark, sf_dir):
 @register("c11_interactions")
 def q_interactions(spark, sf_dir):
     return Warehouse(spark, sf_dir).interactions
-
-
-@register("k7_sample_visitors")
-def q_sample_visitors(spark, sf_dir):
-    return kpi.sample_visitor_ids(Warehouse(spark, sf_dir).interactions, n=10)

@@ -109,3 +109,26 @@ def q_recursive(spark, sf_dir):
     model, enc = fc.fit_global_model(features)
     all_daily = fc.daily_demand_by_product(wh.fact_sales, wh.dim_date, min_days_with_sales=1)
     return fc.recursive_forecast(all_daily, model, enc)
+
+
+def _recursive_mean(spark, sf_dir):
+    """F14's recursion with the seven-day mean as step model for the products of the panel, the baseline for the others."""
+    wh = Warehouse(spark, sf_dir, reuse=True)
+    daily = materialize(fc.daily_demand_by_product(wh.fact_sales, wh.dim_date, min_days_with_sales=1))
+    regular = daily.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fc.MIN_DAYS_WITH_SALES)
+    level = regular.select("product_id", F.lit(0.0).alias("product_level"))
+    return fc.recursive_forecast(daily, fc.RollingMeanModel(), level)
+
+
+@register("f14_recursive_mean")
+def q_recursive_mean(spark, sf_dir):
+    return _recursive_mean(spark, sf_dir).select("product_id", "step", "ds", "predicted_demand", "model_used")
+
+
+@register("f15_forecast_lookup")
+def q_forecast_lookup(spark, sf_dir):
+    """Answers for every part of the catalogue and for an id that does not exist."""
+    asked = Warehouse(spark, sf_dir).table("part").select(F.col("p_partkey").cast("string").alias("product_id"))
+    asked = asked.unionByName(spark.createDataFrame([("no such product",)], "product_id string"))
+    found = fc.forecast_lookup(_recursive_mean(spark, sf_dir), asked)
+    return found.select("product_id", "found", F.coalesce("step", F.lit(0)).alias("step"), "predicted_demand")

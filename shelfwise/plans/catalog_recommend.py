@@ -7,20 +7,24 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import round_half_up
+from shelfwise.operators import kpi
 from shelfwise.operators import recommend as rec
 from shelfwise.plans.catalog import register
 from shelfwise.plans.warehouse import Warehouse
+from shelfwise.session import materialize
 
 
 class Recsys:
-    """The recommendation plan of one data folder, built lazily."""
+    """The recommendation plan of one data folder; the split, the matrix and the lists are each written once."""
 
     def __init__(self, spark, sf_dir):
         self.wh = Warehouse(spark, sf_dir)
 
     @cached_property
     def split(self):
-        return rec.train_test(self.wh.interactions)
+        # written once: every branch starts from it
+        marked = materialize(rec.temporal_split(materialize(self.wh.interactions)))
+        return marked.where(~F.col("is_test")).drop("is_test"), marked.where(F.col("is_test")).drop("is_test")
 
     @property
     def train(self):
@@ -44,11 +48,20 @@ class Recsys:
 
     @cached_property
     def content_recs(self):
-        return rec.recommend_content(self.train, self.wh.item_categories, self.visitors)
+        return materialize(rec.recommend_content(self.train, self.item_categories, self.visitors))
+
+    @cached_property
+    def item_categories(self):
+        return materialize(self.wh.item_categories)
+
+    @cached_property
+    def fused_recs(self):
+        """R12 on the two lists that need no factors: content and popular."""
+        return materialize(rec.reciprocal_rank_fusion([self.content_recs, self.popular_recs]))
 
     @cached_property
     def matrix(self):
-        return rec.interaction_matrix(self.train)
+        return materialize(rec.interaction_matrix(self.train))
 
     @cached_property
     def factors(self):
@@ -60,7 +73,7 @@ class Recsys:
         eval_ix = vf.join(self.matrix.select("visitor_id", "visitor_ix").distinct()
                           .join(self.visitors, "visitor_id", "left_semi"), "visitor_ix", "left_semi")
         cands = rec.exact_top_k_inner_product(eval_ix, itf, k=rec.CANDIDATE_POOL)
-        return rec.recommend_collaborative(cands, self.matrix, self.train)
+        return materialize(rec.recommend_collaborative(cands, self.matrix, self.train))
 
     @cached_property
     def hybrid_recs(self):
@@ -91,19 +104,19 @@ def q_popular_recs(spark, sf_dir):
 @register("r4_category_popularity")
 def q_cat_pop(spark, sf_dir):
     r = Recsys(spark, sf_dir)
-    return rec.category_item_popularity(r.train, r.wh.item_categories)
+    return rec.category_item_popularity(r.train, r.item_categories)
 
 
 @register("r5_category_top_items")
 def q_cat_top(spark, sf_dir):
     r = Recsys(spark, sf_dir)
-    return rec.top_items_per_category(rec.category_item_popularity(r.train, r.wh.item_categories))
+    return rec.top_items_per_category(rec.category_item_popularity(r.train, r.item_categories))
 
 
 @register("r6_visitor_category_affinity")
 def q_affinity(spark, sf_dir):
     r = Recsys(spark, sf_dir)
-    return rec.visitor_category_affinity(r.train, r.wh.item_categories)
+    return rec.visitor_category_affinity(r.train, r.item_categories)
 
 
 @register("r7_content_recs")
@@ -118,8 +131,10 @@ def q_matrix(spark, sf_dir):
 
 @register("r9_svd_visitor_factors")
 def q_svd(spark, sf_dir):
-    vf, _ = Recsys(spark, sf_dir).factors
-    return vf
+    """Rows of U·Σ by visitor."""
+    r = Recsys(spark, sf_dir)
+    vf, _ = r.factors
+    return vf.join(r.matrix.select("visitor_id", "visitor_ix").distinct(), "visitor_ix").select("visitor_id", "vec")
 
 
 @register("r10_embedding_search")
@@ -187,3 +202,36 @@ def q_serve(spark, sf_dir):
     r = Recsys(spark, sf_dir)
     requests = r.wh.clicks.select(F.col("visitorid").cast("string").alias("visitor_id"))
     return rec.serve_recommendations(requests, rec.visitor_lookup(r.hybrid_recs), r.popular)
+
+
+@register("r12_fused_content_popular")
+def q_fused(spark, sf_dir):
+    """R12 on the content and the popular list."""
+    return _r6(Recsys(spark, sf_dir).fused_recs, "rrf_score")
+
+
+@register("r13_eval_fused")
+def q_eval_fused(spark, sf_dir):
+    return _metrics(spark, sf_dir, "fused")
+
+
+@register("r15_fused_lookup")
+def q_fused_lookup(spark, sf_dir):
+    """R15 on the fused lists, one row per place (the lists in order)."""
+    lookup = rec.visitor_lookup(Recsys(spark, sf_dir).fused_recs)
+    return lookup.select("visitor_id", F.array_join("recommended_items", ",").alias("items"))
+
+
+@register("r16_serve_fused")
+def q_serve_fused(spark, sf_dir):
+    """R16 on the fused lists, for every visitor of the raw clickstream and one that does not exist."""
+    r = Recsys(spark, sf_dir)
+    asked = r.wh.clicks.select(F.col("visitorid").cast("string").alias("visitor_id")).distinct()
+    asked = asked.unionByName(spark.createDataFrame([("stranger",)], "visitor_id string"))
+    return rec.serve_recommendations(asked, rec.visitor_lookup(r.fused_recs), r.popular)
+
+
+@register("k7_sample_visitors")
+def q_sample_visitors(spark, sf_dir):
+    """K7: the first ten visitors that have a stored list."""
+    return kpi.sample_visitor_ids(rec.visitor_lookup(Recsys(spark, sf_dir).fused_recs), n=10)

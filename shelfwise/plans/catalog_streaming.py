@@ -1,4 +1,5 @@
-"""Registered streaming queries (T1, T2): run over every event file available."""
+"""Registered streaming queries (T1, T2): every event file available, in append mode, so the result holds the sessions and
+hours that the watermark (one hour behind the last event) has closed."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -6,24 +7,16 @@ from pyspark.sql import functions as F
 from shelfwise.plans.catalog import register
 from shelfwise.streaming import sessions as st
 
-_RUN = {"n": 0}
-
-
-def _name(prefix: str) -> str:
-    _RUN["n"] += 1
-    return f"{prefix}_{_RUN['n']}"
-
 
 @register("t1_stream_sessions")
 def q_stream_sessions(spark, sf_dir):
     ev = st.clickstream_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet")
-    out = st.run_to_table(st.stream_sessions(ev), _name("t1_sessions"), ["visitor_id", "session_start"], "n_events",
-                         mode="complete")
+    out = st.run_to_files(st.stream_sessions(ev), "t1_sessions")
     return out.select("visitor_id", "session_start", "session_end", F.col("n_events").cast("long").alias("n_events"))
 
 
 @register("t2_stream_hourly_counts")
 def q_stream_hourly(spark, sf_dir):
     ev = st.clickstream_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet")
-    out = st.run_to_table(st.stream_hourly_counts(ev), _name("t2_hourly"), ["hour", "event_type"], "n")
+    out = st.run_to_files(st.stream_hourly_counts(ev), "t2_hourly")
     return out.select("hour", "event_type", F.col("n").cast("long").alias("n"))

@@ -53,4 +53,3 @@ FROM fact_web_events GROUP BY visitor_id, session_id""")
 oracle("e5_event_type_counts", "SELECT event_type, count(*) AS n FROM fact_web_events GROUP BY event_type")
 oracle("e6_item_categories", "SELECT * FROM item_categories")
 oracle("c11_interactions", "SELECT * FROM interactions")
-oracle("k7_sample_visitors", "SELECT DISTINCT visitor_id FROM interactions ORDER BY visitor_id LIMIT 10")

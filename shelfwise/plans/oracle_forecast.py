@@ -69,3 +69,34 @@ SELECT product_id, {_METRICS} FROM (
                FROM panel_split WHERE NOT is_test) WHERE rn <= 7 GROUP BY product_id) l USING (product_id)
   WHERE t.is_test)
 GROUP BY product_id""")
+
+# ---- the recursion of F14 with the seven-day mean as step model, and the lookup of F15
+cte("daily_any", "SELECT product_id, ds, CAST(sum(quantity) AS DOUBLE) AS y FROM sales_days GROUP BY product_id, ds")
+cte("history", """
+SELECT g.product_id, any_value(g.last_ds) AS last_ds, any_value(g.n_days) AS n_days,
+       any_value(g.n_sale_days) AS n_sale_days, list(coalesce(d.y, 0.0) ORDER BY g.ds) AS hist
+FROM (SELECT product_id, last_ds, n_days, n_sale_days,
+             CAST(unnest(generate_series(last_ds - 27, last_ds, INTERVAL 1 DAY)) AS DATE) AS ds
+      FROM (SELECT product_id, max(ds) AS last_ds, max(ds) - min(ds) + 1 AS n_days, count(*) AS n_sale_days
+            FROM daily_any GROUP BY product_id)) g
+LEFT JOIN daily_any d ON d.product_id = g.product_id AND d.ds = g.ds
+GROUP BY g.product_id""")
+cte("mean_forecast", f"""
+SELECT product_id, CAST(step AS INTEGER) AS step, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS ds,
+       {R('p')} AS predicted_demand, model_used
+FROM (
+  WITH RECURSIVE walk AS (
+    SELECT product_id, last_ds, 0 AS step, hist, 0.0::DOUBLE AS p FROM history WHERE n_days >= 29 AND n_sale_days >= 30
+    UNION ALL
+    SELECT product_id, last_ds, step + 1, list_append(hist, list_sum(hist[-7:]) / 7.0), list_sum(hist[-7:]) / 7.0
+    FROM walk WHERE step < 7)
+  SELECT product_id, last_ds, step, p, 'rolling_mean_7' AS model_used FROM walk WHERE step > 0
+  UNION ALL
+  SELECT product_id, last_ds, unnest(range(1, 8)), list_sum(hist[-least(n_days, 7):]) / least(n_days, 7),
+         'baseline_moving_average'
+  FROM history WHERE NOT (n_days >= 29 AND n_sale_days >= 30))""")
+oracle("f14_recursive_mean", "SELECT * FROM mean_forecast")
+oracle("f15_forecast_lookup", """
+SELECT a.product_id, f.product_id IS NOT NULL AS found, coalesce(f.step, 0) AS step, f.predicted_demand
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS product_id FROM part UNION ALL SELECT 'no such product') a
+LEFT JOIN mean_forecast f USING (product_id)""")

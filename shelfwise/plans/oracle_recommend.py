@@ -81,3 +81,27 @@ WHERE rank <= 50""")
 oracle("r13_eval_popular", _metrics("popular_recs"))
 oracle("r13_eval_content", _metrics("content_recs"))
 oracle("r14_eval_visitors", "SELECT * FROM eval_visitors")
+
+# ---- fusion, lookup and serving on the lists that need no factors
+cte("fused_recs", """
+SELECT visitor_id, item_id, rrf_score,
+       CAST(row_number() OVER (PARTITION BY visitor_id ORDER BY rrf_score DESC, first_list, first_rank) AS INTEGER) AS rank
+FROM (SELECT visitor_id, item_id, sum(1.0 / (60 + rank)) AS rrf_score, min(list) AS first_list,
+             arg_min(rank, list) AS first_rank
+      FROM (SELECT visitor_id, item_id, rank, 0 AS list FROM content_recs
+            UNION ALL SELECT visitor_id, item_id, rank, 1 FROM popular_recs)
+      GROUP BY visitor_id, item_id)
+QUALIFY rank <= 10""")
+oracle("r12_fused_content_popular", f"SELECT visitor_id, rank, item_id, {R('rrf_score', 6)} AS rrf_score FROM fused_recs")
+oracle("r13_eval_fused", _metrics("fused_recs"))
+oracle("r15_fused_lookup", """
+SELECT visitor_id, string_agg(item_id, ',' ORDER BY rank) AS items FROM fused_recs GROUP BY visitor_id""")
+oracle("r16_serve_fused", """
+SELECT a.visitor_id, f.visitor_id IS NULL AS is_cold_start_fallback,
+       coalesce(f.rank, p.rank) AS score_rank, coalesce(f.item_id, p.item_id) AS item_id,
+       CASE WHEN f.visitor_id IS NULL THEN 'unknown visitor: most-popular fallback'
+            ELSE 'hybrid recommendation (content-based + collaborative filtering)' END AS reason
+FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS visitor_id FROM events UNION ALL SELECT 'stranger') a
+LEFT JOIN fused_recs f USING (visitor_id)
+LEFT JOIN (SELECT * FROM popular WHERE rank <= 10) p ON f.visitor_id IS NULL""")
+oracle("k7_sample_visitors", "SELECT DISTINCT visitor_id FROM fused_recs ORDER BY visitor_id LIMIT 10")

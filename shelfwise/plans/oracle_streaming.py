@@ -1,4 +1,4 @@
-"""Oracle SQL for the streaming queries (the batch answer over all events)."""
+"""Oracle SQL for the streaming queries: what the watermark, one hour behind the last event, has closed."""
 from shelfwise.plans.oracle import oracle
 
 oracle("t1_stream_sessions", """
@@ -9,7 +9,10 @@ FROM (SELECT *, sum(brk) OVER (PARTITION BY visitor_id ORDER BY event_time, item
       FROM (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY visitor_id
                                    ORDER BY event_time, item_id, event_type) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk
             FROM mapped_events))
-GROUP BY visitor_id, s""")
+GROUP BY visitor_id, s
+HAVING max(event_time) + INTERVAL 30 MINUTE <= (SELECT max(event_time) - INTERVAL 1 HOUR FROM mapped_events)""")
 
 oracle("t2_stream_hourly_counts", """
-SELECT date_trunc('hour', event_time) AS hour, event_type, count(*) AS n FROM mapped_events GROUP BY 1, 2""")
+SELECT date_trunc('hour', event_time) AS hour, event_type, count(*) AS n FROM mapped_events
+GROUP BY 1, 2
+HAVING date_trunc('hour', any_value(event_time)) + INTERVAL 1 HOUR <= (SELECT max(event_time) - INTERVAL 1 HOUR FROM mapped_events)""")

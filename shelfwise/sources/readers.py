@@ -28,16 +28,20 @@ def strip_column_names(df: DataFrame) -> DataFrame:
 
 
 def read_raw_sales(spark: SparkSession, paths: list[str], fmt: str = "csv",
-                   schema: T.StructType | None = None) -> DataFrame:
-    """Several sheets/files of order lines as one table (UNION ALL by
-    name; a file may use the older header spelling, C1 unifies them)."""
+                   schema: T.StructType | list[T.StructType] | None = None) -> DataFrame:
+    """Several sheets/files of order lines as one table (UNION ALL by name). CSV needs a ``schema``, or a list with
+    one for each file where the sheets differ. Each part gets the model's column names (C1) before the union, so files
+    with the older and the newer header spelling go together."""
+    from shelfwise.operators.clean import normalise_headers
+    if fmt == "csv" and schema is None:
+        raise ValueError("CSV order lines need a schema: inferring one reads the files twice and guesses the types")
+    schemas = schema if isinstance(schema, list) else [schema] * len(paths)
     parts = []
-    for p in paths:
+    for path, own in zip(paths, schemas, strict=True):
         reader = spark.read.format(fmt)
         if fmt == "csv":
-            reader = reader.option("header", "true")
-            reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-        parts.append(strip_column_names(reader.load(p)))
+            reader = reader.option("header", "true").option("enforceSchema", "true").schema(own)
+        parts.append(normalise_headers(strip_column_names(reader.load(path))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

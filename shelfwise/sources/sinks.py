@@ -72,10 +72,11 @@ def to_warehouse_types(name: str, df: DataFrame) -> DataFrame:
     return df.select([F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
-def load_warehouse(tables: dict[str, DataFrame], base: str, quality: DataFrame | None = None,
+def load_warehouse(tables: dict[str, DataFrame], base: str, quality: DataFrame | None,
                    fact_partition: bool = True) -> dict[str, str]:
-    """Typed tables written dimensions first; the data-quality report (if
-    given) must be all zeros, otherwise nothing is written. fact_sales is
+    """Typed tables written dimensions first; the data-quality report must
+    be all zeros, otherwise nothing is written. Only an explicit None, for
+    tables that were checked before, loads without a report. fact_sales is
     partitioned by month (date_id // 100) for time pruning."""
     if quality is not None:
         bad = quality.where(F.col("violations") != 0).limit(20).collect()

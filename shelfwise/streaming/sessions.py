@@ -6,7 +6,8 @@ T1: sessions per visitor with ``session_window`` (30-minute gap) behind a
 T2: event counts per type and hour (tumbling ``window``) behind a watermark.
 
 Both read the clickstream as a file stream (new files are new micro-batches)
-and keep only bounded state: open sessions / open hours.
+and keep only bounded state: open sessions / open hours. They run in append
+mode, so a session or hour appears once the watermark has passed its end.
 """
 from __future__ import annotations
 
@@ -56,20 +57,16 @@ def stream_hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFr
             .select(F.col("w.start").alias("hour"), "event_type", "n"))
 
 
-def run_to_table(result: DataFrame, name: str, keys: list[str], order_col: str,
-                 mode: str = "update") -> DataFrame:
-    """Run a streaming aggregate over everything available (into an in-memory
-    table; checkpoint in the shared folder) and return the final row per key
-    (the last update of each group)."""
+def run_to_files(result: DataFrame, name: str) -> DataFrame:
+    """Run a windowed aggregate over everything available, in append mode: a row is written once, when the watermark has
+    passed its window, and its state is released. The rows go to Parquet files under the shared folder (which also
+    holds the stream's checkpoint) and are read back from there."""
     spark = result.sparkSession
-    q = (result.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
-         .trigger(availableNow=True).start())
+    path = scratch_path(spark, f"stream-{name}")
+    q = (result.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out")
+         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    table = spark.table(name)
-    return (table.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in table.columns if c not in keys]),
-                                              F.col(order_col)).alias("_r"))
-            .select(*keys, "_r.*"))
+    return spark.read.schema(result.schema).parquet(f"{path}/out")

@@ -84,7 +84,7 @@ def test_latest_property_wins(spark):
 def test_warehouse_quality_is_clean(spark):
     from shelfwise.operators.quality import quality_report
     from shelfwise.plans.warehouse import Warehouse
-    wh = Warehouse(spark, SF_SMALL)
+    wh = Warehouse(spark, SF_SMALL, reuse=True)
     bad = quality_report(wh.star, wh.web_events).where("violations <> 0").collect()
     assert bad == []
 
@@ -96,7 +96,111 @@ def test_entry_and_contract(spark):
     assert "recommended_price" in df.columns
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert len(qs) >= 76
+    assert len(qs) >= 84
+
+
+def test_planted_faults_stop_the_load(spark, tmp_path):
+    from shelfwise.operators.quality import quality_report
+    from shelfwise.plans.warehouse import Warehouse
+    from shelfwise.sources import sinks
+    tables = dict(Warehouse(spark, SF_SMALL, reuse=True).star)
+    tables["fact_sales"] = tables["fact_sales"].withColumn("quantity", F.when(F.col("date_id") % 2 == 0, F.col("quantity")))
+    report = quality_report(tables)
+    broken = {r["check"] for r in report.where("violations > 0").collect()}
+    assert broken == {"q2_sales_ranges", "q3_revenue_margin"}  # a NULL is a broken rule
+    with pytest.raises(ValueError, match="q2_sales_ranges"):
+        sinks.load_warehouse(tables, str(tmp_path / "lake"), report)
+    with pytest.raises(RuntimeError):
+        sinks.check_lake(spark, str(tmp_path))
+
+
+def test_building_a_lazy_table_runs_no_job(spark, monkeypatch):
+    from shelfwise.plans.catalog import queries
+    from shelfwise.sources import adapters
+    # opening a Parquet file runs a job for its schema, so the tables are opened before
+    tables = {name: adapters.table(spark, SF_SMALL, name) for name in adapters.TABLES}
+    monkeypatch.setattr(adapters, "table", lambda spark, sf_dir, name: tables[name])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "building only")
+    try:
+        for name in ("b1_dim_customer", "b3_dim_date", "c12_product_search", "k2_catalogue_counts", "d3_product_classes",
+                     "c11_interactions", "b2_dim_product"):
+            queries()[name](spark, SF_SMALL)
+        assert tracker.getJobIdsForGroup("lazy") == ()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_quantiles_of_a_column_that_is_nearly_constant(spark):
+    from shelfwise.functions.positions import exact_quantiles_of, value_ranks
+    values = [7.0] * 9000 + [float(i) for i in range(1000)] + [None] * 10
+    df = spark.createDataFrame([(v, -v if v is not None else None) for v in values], "a double, b double").repartition(6)
+    got = exact_quantiles_of(df, ["a", "b"], [0.0, 0.05, 0.5, 0.97, 1.0]).first()
+    clean = [v for v in values if v is not None]
+    assert list(got["a"]) == pytest.approx(list(np.quantile(clean, [0, .05, .5, .97, 1])))
+    assert list(got["b"]) == pytest.approx(list(np.quantile([-v for v in clean], [0, .05, .5, .97, 1])))
+    assert value_ranks(df, ["a"]).count() == 1000  # a row per distinct value, however many share it
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from shelfwise import session
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+    if spark.conf.get("spark.checkpoint.dir", None):
+        pytest.skip("a folder is configured")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_readers_join_header_spellings_and_files(spark, tmp_path):
+    from shelfwise.operators.clean import clean_sales
+    from shelfwise.sources import readers
+    (tmp_path / "new.csv").write_text("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+                                      "9,K1,kettle,2,2024-02-03 10:00:00,4.5,17,France\n")
+    (tmp_path / "old.csv").write_text("InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+                                      "8,K1,kettle,1,2024-02-01 09:00:00,4.0,17,France\nC8,K1,kettle,1,2024-02-01 09:00:00,4.0,17,France\n")
+    kinds = "{} string, StockCode string, Description string, Quantity int, InvoiceDate timestamp, {} double, {} double, Country string"
+    schemas = [spark.createDataFrame([], kinds.format(*names)).schema
+               for names in (("Invoice", "Price", "`Customer ID`"), ("InvoiceNo", "UnitPrice", "CustomerID"))]
+    raw = readers.read_raw_sales(spark, [str(tmp_path / "new.csv"), str(tmp_path / "old.csv")], schema=schemas)
+    assert sorted(r["order_id"] for r in clean_sales(raw).collect()) == ["8", "9"]
+    with pytest.raises(ValueError):
+        readers.read_raw_sales(spark, [str(tmp_path / "new.csv")])
+    for k, line in enumerate(("1,5,categoryid,a", "2,5,categoryid,b\n3,5,available,1")):
+        (tmp_path / f"props{k}.csv").write_text(f"timestamp,itemid,property,value\n{line}\n")
+    props = readers.read_item_properties(spark, [str(tmp_path / f"props{k}.csv") for k in (0, 1)])
+    assert sorted(r["value"] for r in props.collect()) == ["a", "b"]
+    (tmp_path / "clicks.csv").write_text("timestamp,visitorid,event,itemid,transactionid\n1500,3,view,4,\n")
+    row = readers.read_clickstream(spark, str(tmp_path / "clicks.csv")).first()
+    assert (row["visitorid"], row["transactionid"], row["event_time"].microsecond) == (3, None, 500000)
+
+
+def test_streams_drop_late_rows_and_close_with_the_watermark(spark, tmp_path):
+    from shelfwise.streaming import sessions as st
+    schema = "visitor_id string, item_id string, event_type string, event_time timestamp"
+    t0 = dt.datetime(2024, 3, 1, 8)
+
+    def write(no, rows):
+        table = spark.createDataFrame([(v, "i", "view", t0 + dt.timedelta(minutes=m)) for v, m in rows], schema)
+        table.coalesce(1).write.parquet(str(tmp_path / f"in/{no}"))
+    write(1, [("a", 0), ("a", 20), ("b", 5), ("z", 400)])  # the watermark goes to minute 340
+    write(2, [("z", 401)])                                 # and holds for late rows from the next file on
+    write(3, [("a", 30), ("c", 350), ("z", 900)])          # a is late by now; c is not
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true") \
+        .parquet(str(tmp_path / "in"))
+    got = {(r["visitor_id"], r["n_events"]) for r in st.run_to_files(st.stream_sessions(events), "late").collect()}
+    assert got == {("a", 2), ("b", 1), ("c", 1), ("z", 2)}  # the last session of z is still open
 
 
 def test_sinks_roundtrip(spark, tmp_path):
@@ -105,7 +209,7 @@ def test_sinks_roundtrip(spark, tmp_path):
     wh = Warehouse(spark, SF_SMALL)
     base = str(tmp_path / "lake")
     sinks.write_table(sinks.raw_layer(wh.raw_sales), base, "raw", "orders")
-    paths = sinks.load_warehouse({"dim_product": wh.dim_product, "fact_sales": wh.fact_sales}, base)
+    paths = sinks.load_warehouse({"dim_product": wh.dim_product, "fact_sales": wh.fact_sales}, base, None)
     assert spark.read.parquet(paths["fact_sales"]).count() == wh.fact_sales.count()
     assert dict(spark.read.parquet(paths["dim_product"]).dtypes)["cost_price"] == "decimal(12,2)"
     assert sinks.check_lake(spark, base).first()["objects"] > 0

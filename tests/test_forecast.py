@@ -1,84 +1,141 @@
-"""Forecasting: split, metrics, moving average, lags without leakage."""
+"""Forecasting: several products at once, gaps and single days; every feature against plain Python."""
 import datetime as dt
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import forecast as fc
 
-
-def test_split_has_no_leakage(spark):
-    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(60)]
-    df = spark.createDataFrame(rows, "ds date, y double")
-    s = fc.temporal_split(df, 14)
-    assert s.where(~F.col("is_test")).count() == 46
-    assert s.where(F.col("is_test")).count() == 14
-    tr = s.where(~F.col("is_test")).agg(F.max("ds")).first()[0]
-    te = s.where(F.col("is_test")).agg(F.min("ds")).first()[0]
-    assert tr < te
-
-
-def test_metrics(spark):
-    df = spark.createDataFrame([(10.0, 12.0), (10.0, 8.0), (10.0, 10.0)], "y double, yhat double")
-    m = fc.forecast_metrics(df).first()
-    assert m["mae"] == pytest.approx(4 / 3)
-    assert m["rmse"] == pytest.approx(math.sqrt(8 / 3))
-    z = fc.forecast_metrics(spark.createDataFrame([(0.0, 1.0), (0.0, 2.0), (0.0, 0.0)], "y double, yhat double"))
-    mape = z.first()["mape"]
-    assert math.isfinite(mape) and mape > 0
-    perfect = fc.forecast_metrics(spark.createDataFrame([(3.0, 3.0)], "y double, yhat double")).first()
-    assert perfect["mae"] == 0 and perfect["rmse"] == 0 and perfect["mape"] == 0
-
-
-def test_moving_average_is_constant(spark):
-    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), 0.0 if i < 5 else 10.0) for i in range(10)]
-    train = spark.createDataFrame(rows, "ds date, y double")
-    horizon = spark.createDataFrame([(dt.date(2024, 1, 11) + dt.timedelta(days=i),) for i in range(3)], "ds date")
-    out = fc.moving_average_forecast(train, horizon, window=5).collect()
-    assert [r["yhat"] for r in out] == [10.0, 10.0, 10.0]
-    empty = fc.moving_average_forecast(train.limit(0), horizon).collect()
-    assert all(r["yhat"] == 0.0 for r in empty)
-
-
-def _panel(spark, rows):
-    return spark.createDataFrame(rows, "product_id string, ds date, y double")
-
-
-def test_lags_use_past_only(spark):
-    rows = [("P1", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i + 1)) for i in range(5)]
-    f = fc.add_time_series_features(_panel(spark, rows)).orderBy("ds").collect()
-    assert [r["lag_1"] for r in f] == [None, 1.0, 2.0, 3.0, 4.0]
-
-
-def test_lags_do_not_cross_products(spark):
-    d0 = dt.date(2024, 1, 1)
-    rows = [("P1", d0, 100.0), ("P1", d0 + dt.timedelta(days=1), 200.0),
-            ("P2", d0, 1.0), ("P2", d0 + dt.timedelta(days=1), 2.0)]
-    f = fc.add_time_series_features(_panel(spark, rows)).where("product_id = 'P2'").orderBy("ds").collect()
-    assert f[0]["lag_1"] is None and f[1]["lag_1"] == 1.0
-
-
-def test_rolling_mean_needs_full_window(spark):
-    rows = [("P1", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(10)]
-    f = fc.add_time_series_features(_panel(spark, rows)).orderBy("ds").collect()
-    assert f[6]["rolling_mean_7"] is None
-    assert f[7]["rolling_mean_7"] == pytest.approx(sum(range(7)) / 7)
-
-
-def test_fill_missing_dates_by_key(spark):
-    d0 = dt.date(2024, 1, 1)
-    rows = [("P1", d0, 1.0), ("P1", d0 + dt.timedelta(days=3), 2.0), ("P2", d0 + dt.timedelta(days=1), 5.0)]
-    out = fc.fill_missing_dates(_panel(spark, rows), group_col="product_id")
-    assert out.where("product_id = 'P1'").count() == 4
-    assert out.where("product_id = 'P2'").count() == 1
-    assert out.where("product_id = 'P1' AND y = 0").count() == 2
-
-
-def test_history_tail_fills_zeros(spark):
-    d0 = dt.date(2024, 1, 1)
-    daily = spark.createDataFrame([("P1", d0, 1), ("P1", d0 + dt.timedelta(days=2), 3)],
+PANEL = "product_id string, ds date, y double"
+DAY = dt.date(2022, 11, 7)
+
+
+def day(n):
+    return DAY + dt.timedelta(days=n)
+
+
+def series(seed, length, name="p"):
+    rng = random.Random(seed)
+    return [(name, day(i), float(rng.randrange(0, 30))) for i in range(length)]
+
+
+@pytest.mark.parametrize("length, test_days", [(41, 10), (9, 3), (30, 1)])
+def test_split_takes_the_last_days_of_the_calendar(spark, length, test_days):
+    rows = series(1, length, "long") + [("short", day(k), 1.0) for k in (0, 2, length - 1)]
+    split = fc.temporal_split(spark.createDataFrame(rows, PANEL), test_days).collect()
+    first = day(length - test_days)
+    assert len(split) == len(rows)
+    assert all(r["is_test"] == (r["ds"] >= first) for r in split)
+
+
+def test_error_measures_follow_their_formulas(spark):
+    rng = random.Random(6)
+    pairs = [(float(rng.randrange(1, 50)), rng.random() * 60) for _ in range(64)]
+    got = fc.forecast_metrics(spark.createDataFrame(pairs, "y double, yhat double")).first()
+    errors = [a - b for a, b in pairs]
+    assert got["mae"] == pytest.approx(sum(map(abs, errors)) / 64)
+    assert got["rmse"] == pytest.approx(math.sqrt(sum(e * e for e in errors) / 64))
+    assert got["mape"] == pytest.approx(100 * sum(abs(e) / (a + 1) for e, (a, _) in zip(errors, pairs, strict=True)) / 64)
+    zero = fc.forecast_metrics(spark.createDataFrame([(0.0, 4.0), (8.0, 8.0)], "y double, yhat double")).first()
+    assert math.isfinite(zero["mape"]) and zero["mae"] == 2.0
+
+
+@pytest.mark.parametrize("window", [1, 4, 100])
+def test_moving_average_is_the_mean_of_the_last_days(spark, window):
+    rows = [(d, y) for _, d, y in series(2, 23)]
+    out = fc.moving_average_forecast(spark.createDataFrame(rows, "ds date, y double"),
+                                     spark.createDataFrame([(day(23 + i),) for i in range(5)], "ds date"), window=window)
+    want = np.mean([y for _, y in rows[-window:]])
+    assert [r["yhat"] for r in out.collect()] == pytest.approx([want] * 5)
+
+
+def test_every_feature_of_interleaved_products(spark):
+    rows = series(3, 40, "a") + series(4, 33, "b") + [("c", day(0), 5.0)]
+    random.Random(0).shuffle(rows)
+    got = {(r["product_id"], r["ds"]): r for r in fc.add_time_series_features(spark.createDataFrame(rows, PANEL)).collect()}
+    assert len(got) == len(rows)
+    for name in "abc":
+        own = [y for _, y in sorted((d, y) for p, d, y in rows if p == name)]
+        for i in range(len(own)):
+            r = got[name, day(i)]
+            for column in [c for c in r.asDict() if c.startswith("lag_")]:
+                back = int(column.split("_")[1])
+                assert r[column] == (own[i - back] if i >= back else None), (name, i, column)
+            for column in [c for c in r.asDict() if c.startswith("rolling_mean_")]:
+                size = int(column.split("_")[2])
+                want = np.mean(own[i - size:i]) if i >= size else None
+                assert r[column] == (pytest.approx(want) if want is not None else None), (name, i, column)
+
+
+def test_gaps_are_filled_within_each_product_only(spark):
+    rows = [("a", day(0), 1.0), ("a", day(6), 2.0), ("b", day(3), 5.0), ("b", day(4), 6.0), ("once", day(9), 7.0)]
+    out = fc.fill_missing_dates(spark.createDataFrame(rows, PANEL), group_col="product_id").collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["ds"]):
+        got.setdefault(r["product_id"], []).append((r["ds"], r["y"]))
+    assert got == {"a": [(day(i), {0: 1.0, 6: 2.0}.get(i, 0.0)) for i in range(7)],
+                   "b": [(day(3), 5.0), (day(4), 6.0)], "once": [(day(9), 7.0)]}
+
+
+@pytest.mark.parametrize("n", [3, 6, 12])
+def test_tail_of_the_history(spark, n):
+    sales = {1: 4, 2: 1, 5: 9}
+    daily = spark.createDataFrame([("a", day(k), v) for k, v in sales.items()] + [("b", day(7), 2)],
                                   "product_id string, ds date, y long")
-    t = fc._history_tail(daily, n=4).first()
-    assert t["hist"] == [0.0, 1.0, 0.0, 3.0]
-    assert t["n_days"] == 3
+    got = {r["product_id"]: list(r["hist"]) for r in fc._history_tail(daily, n=n).collect()}
+    last = {"a": 5, "b": 7}
+    for name, values in got.items():
+        own = sales if name == "a" else {7: 2}
+        assert values == [float(own.get(last[name] - n + 1 + i, 0)) for i in range(n)]
+
+
+def test_trend_model_follows_a_line_with_a_weekly_wave(spark):
+    def y(i):
+        return 200 + 0.8 * i + 25 * math.sin(2 * math.pi * i / 7)
+    rows = [(day(i), y(i)) for i in range(420)]
+    train, test = (spark.createDataFrame(r, "ds date, y double") for r in (rows[:390], rows[390:]))
+    got = {r["ds"]: r["yhat"] for r in fc.fit_trend_seasonal(train, test).collect()}
+    error = np.mean([abs(got[d] - v) for d, v in rows[390:]])
+    flat = np.mean([abs(np.mean([v for _, v in rows[383:390]]) - v) for d, v in rows[390:]])
+    assert error < 0.5 * flat
+
+
+def test_recursion_feeds_on_its_own_output(spark):
+    rows = [(p, d, int(v)) for p, d, v in series(8, 45, "long") + series(9, 12, "short")]
+    daily = spark.createDataFrame(rows + [("fresh", day(3), 6)], "product_id string, ds date, y long")
+    level = spark.createDataFrame([("long", 1.0), ("short", 1.0)], "product_id string, product_level double")
+    out = fc.recursive_forecast(daily, fc.RollingMeanModel(), level, horizon=9).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: r["step"]):
+        got.setdefault(r["product_id"], []).append((r["ds"], r["predicted_demand"], r["model_used"]))
+    values = [v for p, _, v in rows if p == "long"]
+    for _ in range(9):
+        values.append(sum(values[-7:]) / 7)
+    assert [p for _, p, _ in got["long"]] == pytest.approx(values[45:], abs=0.0051)
+    assert [d for d, _, _ in got["long"]] == [day(45 + k) for k in range(9)]
+    mean = sum(v for p, _, v in rows[45:][-7:]) / 7
+    assert [p for _, p, _ in got["short"]] == pytest.approx([mean] * 9, abs=0.0051)
+    assert {(p, m) for _, p, m in got["fresh"]} == {(6.0, "baseline_moving_average")}
+    asked = spark.createDataFrame([("fresh",), ("nobody",)], "product_id string")
+    answers = fc.forecast_lookup(fc.recursive_forecast(daily, fc.RollingMeanModel(), level, horizon=2), asked).collect()
+    assert sorted((r["product_id"], r["found"], r["step"]) for r in answers if r["found"]) == [("fresh", True, 1), ("fresh", True, 2)]
+    assert [(r["product_id"], r["step"]) for r in answers if not r["found"]] == [("nobody", None)]
+
+
+def test_saved_model_predicts_the_same_and_beats_the_baseline(spark, tmp_path):
+    rows = [(p, day(i), 20.0 + 15 * ((i + k) % 7 == 0) + 5 * ((i + k) % 7 == 3)) for k, p in enumerate("abcd") for i in range(120)]
+    features = fc.drop_incomplete(fc.add_time_series_features(spark.createDataFrame(rows, PANEL)))
+    model, level = fc.fit_global_model(features, max_iter=15)
+    fc.save_global_model(model, level, str(tmp_path / "gbt"))
+    again, level_again = fc.load_global_model(spark, str(tmp_path / "gbt"))
+
+    def predict(m, enc):
+        return {(r["product_id"], r["ds"]): r["prediction"] for r in m.transform(features.join(enc, "product_id")).collect()}
+    assert predict(model, level) == predict(again, level_again)
+    mae = fc.evaluate_global_model(features, test_days=20, max_iter=15).first()["mae"]
+    flat = 20 + 20 / 7
+    base = np.mean([abs(y - flat) for _, d, y in rows if d >= day(100)])
+    assert mae < 0.5 * base

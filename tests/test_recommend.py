@@ -1,6 +1,6 @@
-"""Recommendation: split, metrics, popularity, content, matrix, fusion and
-the exact inner-product search (vs NumPy brute force)."""
+"""Recommendation: several visitors at a time, ties, empty lists; metrics and searches against plain Python or NumPy."""
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -8,122 +8,183 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import recommend as rec
 
+RECS = "visitor_id string, rank int, item_id string"
+WEIGHTS = "visitor_id string, item_id string, weight double"
 
-def _list(spark, visitor, items):
-    return spark.createDataFrame([(visitor, i + 1, it) for i, it in enumerate(items)],
-                                 "visitor_id string, rank int, item_id string")
 
-
-def test_temporal_split_no_leakage(spark):
-    rows = [("V1", f"I{i}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 1.0) for i in range(10)]
-    df = spark.createDataFrame(rows, "visitor_id string, item_id string, event_time timestamp, weight double")
-    train, test = rec.train_test(df, 0.3)
-    assert train.count() + test.count() == 10
-    assert train.agg(F.max("event_time")).first()[0] < test.agg(F.min("event_time")).first()[0]
-    # pandas quantile(0.7) of 10 daily points lands between day 6 and day 7
-    assert train.count() == 7
-
-
-def _metrics(spark, recs, relevant, k):
-    recs_df = _list(spark, "V1", recs)
-    test = spark.createDataFrame([("V1", r) for r in relevant], "visitor_id string, item_id string")
-    vis = spark.createDataFrame([("V1",)], "visitor_id string")
-    return rec.ranking_metrics(recs_df, test, vis, k=k).first()
-
-
-def test_precision_recall(spark):
-    m = _metrics(spark, ["A", "X", "B", "Y"], ["A", "B"], 4)
-    assert m["precision_at_4"] == pytest.approx(0.5)
-    assert m["recall_at_4"] == pytest.approx(1.0)
-    m = _metrics(spark, ["A", "B", "C"], ["A", "B", "C"], 3)
-    assert m["precision_at_3"] == 1.0 and m["recall_at_3"] == 1.0
-
-
-def test_average_precision_rewards_early_hits(spark):
-    early = _metrics(spark, ["A", "X", "B"], ["A", "B"], 3)["map_at_3"]
-    late = _metrics(spark, ["X", "A", "B"], ["A", "B"], 3)["map_at_3"]
-    assert early > late
-
-
-def test_visitor_without_recommendations_scores_zero(spark):
-    recs_df = spark.createDataFrame([], "visitor_id string, rank int, item_id string")
-    test = spark.createDataFrame([("V1", "A")], "visitor_id string, item_id string")
-    vis = spark.createDataFrame([("V1",)], "visitor_id string")
-    m = rec.ranking_metrics(recs_df, test, vis, k=10).first()
-    assert m["precision_at_10"] == 0.0 and m["map_at_10"] == 0.0
-
-
-def test_most_popular_order(spark):
-    train = spark.createDataFrame([(i, w) for i, w in zip("AABCCC", [1.0, 1.0, 5.0, 1.0, 1.0, 1.0])],
-                                  "item_id string, weight double")
-    top = rec.most_popular(train, 3).orderBy("rank").collect()
-    assert [r["item_id"] for r in top] == ["B", "C", "A"]
+def lists(spark, by_visitor):
+    rows = [(v, k + 1, i) for v, items in by_visitor.items() for k, i in enumerate(items)]
+    return spark.createDataFrame(rows, RECS)
 
 
-def test_popular_excludes_seen(spark):
-    train = spark.createDataFrame([("V1", "A", 4.0), ("V1", "C", 3.0), ("V2", "B", 2.0), ("V2", "D", 1.0)],
-                                  "visitor_id string, item_id string, weight double")
-    pop = rec.most_popular(train, 200)
-    recs = rec.recommend_popular(spark.createDataFrame([("V1",)], "visitor_id string"), train, pop, k=2)
-    assert [r["item_id"] for r in recs.orderBy("rank").collect()] == ["B", "D"]
+def random_log(seed=9, visitors=14, items=12, n=160):
+    rng = random.Random(seed)
+    return [(f"v{rng.randrange(visitors):02d}", f"i{rng.randrange(items):02d}", float(rng.choice([1, 3, 5]))) for _ in range(n)]
 
 
-def test_content_favors_top_category(spark):
-    train = spark.createDataFrame([("V1", "I1", 5.0), ("V1", "I2", 1.0), ("V2", "I3", 1.0)],
-                                  "visitor_id string, item_id string, weight double")
-    cats = spark.createDataFrame([("I1", "cat1"), ("I2", "cat2"), ("I3", "cat1"), ("I4", "cat1")],
-                                 "item_id string, category_id string")
-    recs = [r["item_id"] for r in rec.recommend_content(train, cats, k=5).where("visitor_id = 'V1'").collect()]
-    assert "I4" in recs and "I1" not in recs
-
-
-def test_interaction_matrix_cell(spark):
-    train = spark.createDataFrame([("V1", "I1", 2.0), ("V1", "I2", 1.0), ("V2", "I1", 3.0)],
-                                  "visitor_id string, item_id string, weight double")
-    m = rec.interaction_matrix(train)
-    assert m.agg(F.max("visitor_ix"), F.max("item_ix")).first() == (1, 1)
-    cell = m.where("visitor_id = 'V1' AND item_id = 'I1'").first()
-    assert (cell["visitor_ix"], cell["item_ix"], cell["weight"]) == (0, 0, 2.0)
-
-
-def test_rrf_favors_items_high_in_both(spark):
-    fused = rec.reciprocal_rank_fusion([_list(spark, "V", ["A", "B", "C"]), _list(spark, "V", ["B", "A", "D"])])
-    first = fused.where("rank = 1").first()["item_id"]
-    assert first in {"A", "B"}
-    # A and B tie: the first appearance (content list, rank 1) wins
-    assert first == "A"
-
-
-def test_hybrid_respects_k(spark):
-    fused = rec.reciprocal_rank_fusion([_list(spark, "V", ["A", "B", "C"]), _list(spark, "V", ["D", "E", "F"])], k=2)
-    assert fused.count() == 2
-
-
-def test_exact_inner_product_matches_numpy(spark):
-    rng = np.random.default_rng(0)
-    items = rng.normal(size=(300, 8))
-    queries = rng.normal(size=(40, 8))
-    it = spark.createDataFrame([(i, items[i].tolist()) for i in range(len(items))], "item_ix long, vec array<double>")
-    q = spark.createDataFrame([(i, queries[i].tolist()) for i in range(len(queries))],
-                              "visitor_ix long, vec array<double>").repartition(3)
-    got = rec.exact_top_k_inner_product(q, it, k=5, block_rows=64).toPandas()
+def test_cutoff_is_the_interpolated_quantile_even_with_ties(spark):
+    rng = random.Random(1)
+    start = dt.datetime(2023, 5, 1)
+    hours = [rng.randrange(40) for _ in range(97)] + [17] * 30  # many events in the same hour
+    rows = [(f"v{k % 7}", f"i{k % 5}", start + dt.timedelta(hours=h), 1.0) for k, h in enumerate(hours)]
+    df = spark.createDataFrame(rows, "visitor_id string, item_id string, event_time timestamp, weight double")
+    for fraction in (0.1, 0.25, 0.6):
+        cut = np.quantile(hours, 1 - fraction)
+        train, test = rec.train_test(df, fraction)
+        assert train.count() == sum(h < cut for h in hours)
+        assert test.count() == sum(h >= cut for h in hours)
+
+
+def plain_metrics(recs, relevant, visitors, k):
+    p = r = m = 0.0
+    for v in visitors:
+        rel, hits, precision_sum = relevant.get(v, set()), 0, 0.0
+        for place, item in enumerate(recs.get(v, [])[:k], 1):
+            if item in rel:
+                hits += 1
+                precision_sum += hits / place
+        p += hits / k
+        r += hits / len(rel) if rel else 0
+        m += precision_sum / min(len(rel), k) if rel else 0
+    return [x / len(visitors) for x in (p, r, m)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_metrics_of_many_visitors(spark, k):
+    rng = random.Random(k)
+    items = [f"i{x}" for x in range(15)]
+    visitors = [f"v{x}" for x in range(9)]
+    recs = {v: rng.sample(items, rng.randrange(1, 12)) for v in visitors[:7]}  # two have no list
+    relevant = {v: set(rng.sample(items, rng.randrange(1, 14))) for v in visitors[1:]}  # one has nothing relevant
+    test = spark.createDataFrame([(v, i) for v, s in relevant.items() for i in s for _ in range(2)], "visitor_id string, item_id string")
+    who = spark.createDataFrame([(v,) for v in visitors], "visitor_id string")
+    got = rec.ranking_metrics(lists(spark, recs), test, who, k=k).first()
+    want = plain_metrics(recs, relevant, visitors, k)
+    assert [got[f"{n}_at_{k}"] for n in ("precision", "recall", "map")] == pytest.approx(want)
+    assert got["n_visitors_evaluated"] == len(visitors)
+
+
+def test_popularity_and_unseen_lists(spark):
+    log = random_log()
+    train = spark.createDataFrame(log, WEIGHTS)
+    score = {}
+    for _, i, w in log:
+        score[i] = score.get(i, 0) + w
+    order = sorted(score, key=lambda i: (-score[i], i))
+    top = rec.most_popular(train, 6)
+    assert [r["item_id"] for r in top.orderBy("rank").collect()] == order[:6]
+    visitors = sorted({v for v, _, _ in log}) + ["newcomer"]
+    got = rec.recommend_popular(spark.createDataFrame([(v,) for v in visitors], "visitor_id string"), train, top, k=4)
+    have = {}
+    for r in got.orderBy("visitor_id", "rank").collect():
+        have.setdefault(r["visitor_id"], []).append(r["item_id"])
+    seen = {v: {i for w, i, _ in log if w == v} for v in visitors}
+    assert have == {v: x for v in visitors if (x := [i for i in order[:6] if i not in seen[v]][:4])}
+
+
+def test_content_lists_follow_their_definition(spark):
+    log = random_log(seed=3, n=70)
+    category = {f"i{x:02d}": f"c{x % 3}" for x in range(12)} | {"new1": "c0", "new2": "c2"}
+    cats = spark.createDataFrame(list(category.items()), "item_id string, category_id string")
+    got = {}
+    for r in rec.recommend_content(spark.createDataFrame(log, WEIGHTS), cats, k=5, top_n=4).orderBy("visitor_id", "rank").collect():
+        got.setdefault(r["visitor_id"], []).append(r["item_id"])
+    weight = {i: sum(w for _, j, w in log if j == i) or 0.01 for i in category}
+    tops = {c: sorted((i for i in category if category[i] == c), key=lambda i: (-weight[i], i))[:4] for c in ("c0", "c1", "c2")}
+    want = {}
+    for v in {v for v, _, _ in log}:
+        affinity, seen = {}, {i for w, i, _ in log if w == v}
+        for w, i, x in log:
+            if w == v:
+                affinity[category[i]] = affinity.get(category[i], 0) + x
+        scored = {i: a * weight[i] for c, a in affinity.items() for i in tops[c] if i not in seen}
+        if scored:
+            want[v] = sorted(scored, key=lambda i: (-scored[i], i))[:5]
+    assert got == want
+
+
+def test_matrix_sums_cells_and_codes_ids_in_order(spark):
+    log = random_log(seed=5)
+    cells = {}
+    for v, i, w in log:
+        cells[v, i] = cells.get((v, i), 0) + w
+    code_v = {v: k for k, v in enumerate(sorted({v for v, _ in cells}))}
+    code_i = {i: k for k, i in enumerate(sorted({i for _, i in cells}))}
+    got = rec.interaction_matrix(spark.createDataFrame(log, WEIGHTS)).collect()
+    assert {(r["visitor_ix"], r["item_ix"]): r["weight"] for r in got} == \
+        {(code_v[v], code_i[i]): w for (v, i), w in cells.items()}
+
+
+def test_fusion_of_three_lists(spark):
+    a = {"x": ["p", "q", "r"], "y": ["q"], "w": []}
+    b = {"x": ["r", "s"], "y": ["p", "q", "t"]}
+    c = {"z": ["t", "p"], "x": ["s"]}
+    got = {}
+    for r in rec.reciprocal_rank_fusion([lists(spark, x) for x in (a, b, c)], k=3, rrf_k=10).orderBy("visitor_id", "rank").collect():
+        got.setdefault(r["visitor_id"], []).append((r["item_id"], r["rrf_score"]))
+    for v in ("x", "y", "z"):
+        score, first = {}, {}
+        for no, part in enumerate((a, b, c)):
+            for place, item in enumerate(part.get(v, []), 1):
+                score[item] = score.get(item, 0) + 1 / (10 + place)
+                first.setdefault(item, (no, place))
+        want = sorted(score, key=lambda i: (-score[i], first[i]))[:3]
+        assert [i for i, _ in got[v]] == want
+        assert [s for _, s in got[v]] == pytest.approx([score[i] for i in want])
+    assert set(got) == {"x", "y", "z"}
+
+
+def test_collaborative_cuts_before_it_drops_what_was_seen(spark):
+    log = [("v", "a", 1.0), ("v", "b", 1.0), ("u", "c", 1.0), ("u", "d", 1.0), ("u", "e", 1.0)]
+    train = spark.createDataFrame(log, WEIGHTS)
+    matrix = rec.interaction_matrix(train)
+    # candidates of v (code 1): a, c, b, d by rank; a and b are seen
+    cands = spark.createDataFrame([(1, 1, 0, .9), (1, 2, 2, .8), (1, 3, 1, .7), (1, 4, 3, .6)],
+                                  "visitor_ix long, rank int, item_ix long, score double")
+    got = rec.recommend_collaborative(cands, matrix, train, k=10).orderBy("rank").collect()
+    assert [(r["visitor_id"], r["rank"], r["item_id"]) for r in got] == [("v", 1, "c"), ("v", 2, "d")]
+
+
+def test_serving_known_unknown_and_repeated_requests(spark):
+    lookup = rec.visitor_lookup(lists(spark, {"known": ["b", "a", "c"], "short": ["z"]}))
+    popular = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3)], "item_id string, rank int")
+    asked = spark.createDataFrame([("known",), ("stranger",), ("short",), ("known",)], "visitor_id string")
+    got = rec.serve_recommendations(asked, lookup, popular, k=2).orderBy("visitor_id", "score_rank").collect()
+    assert [(r["visitor_id"], r["score_rank"], r["item_id"], r["is_cold_start_fallback"]) for r in got] == [
+        ("known", 1, "b", False), ("known", 2, "a", False), ("short", 1, "z", False),
+        ("stranger", 1, "p", True), ("stranger", 2, "q", True)]
+    assert {r["reason"] for r in got if r["visitor_id"] == "stranger"} == {rec.REASON_FALLBACK}
+
+
+@pytest.mark.parametrize("partitions, block", [(1, 7), (5, 64)])
+def test_inner_product_search_with_ties(spark, partitions, block):
+    rng = np.random.default_rng(partitions)
+    items = rng.integers(-2, 3, (90, 4)).astype(float)  # few values, so many equal scores
+    queries = rng.integers(-2, 3, (25, 4)).astype(float)
+    it = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_ix long, vec array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "visitor_ix long, vec array<double>")
+    got = rec.exact_top_k_inner_product(q.repartition(partitions), it, k=8, block_rows=block).collect()
     scores = queries @ items.T
-    for qi in range(len(queries)):
-        want = list(np.argsort(-scores[qi], kind="stable")[:5])
-        have = got[got.visitor_ix == qi].sort_values("rank").item_ix.tolist()
-        assert have == want
-
-
-def test_svd_scores_reconstruct_matrix(spark):
-    rows = [("V1", "I1", 2.0), ("V1", "I2", 1.0), ("V2", "I1", 3.0), ("V3", "I3", 4.0), ("V2", "I3", 1.0)]
-    train = spark.createDataFrame(rows, "visitor_id string, item_id string, weight double")
-    m = rec.interaction_matrix(train)
-    vf, itf = rec.truncated_svd(m, n_components=50)
+    want = {(k, r + 1): (int(i), scores[k, i]) for k in range(25)
+            for r, i in enumerate(sorted(range(90), key=lambda i: (-scores[k, i], i))[:8])}
+    assert {(r["visitor_ix"], r["rank"]): (r["item_ix"], r["score"]) for r in got} == want
+
+
+@pytest.mark.parametrize("m, n, k", [(30, 12, 5), (9, 25, 4), (6, 6, 50)])
+def test_svd_is_that_of_numpy(spark, m, n, k):
+    rng = np.random.default_rng(m)
+    dense = np.where(rng.random((m, n)) < 0.5, rng.integers(1, 9, (m, n)), 0).astype(float)
+    dense[0, :] += 1
+    dense[:, 0] += 1
+    cells = [(f"v{i}", f"i{j}", i, j, float(dense[i, j])) for i in range(m) for j in range(n) if dense[i, j]]
+    matrix = spark.createDataFrame(cells, "visitor_id string, item_id string, visitor_ix long, item_ix long, weight double")
+    vf, itf = rec.truncated_svd(matrix, n_components=k)
     u = np.array([r["vec"] for r in vf.orderBy("visitor_ix").collect()])
     v = np.array([r["vec"] for r in itf.orderBy("item_ix").collect()])
-    dense = np.zeros((3, 3))
-    for r in m.collect():
-        dense[r["visitor_ix"], r["item_ix"]] = r["weight"]
-    # rank min(shape) - 1 = 2: best rank-2 approximation
-    s = np.linalg.svd(dense, compute_uv=False)
-    assert np.linalg.norm(dense - u @ v.T) == pytest.approx(s[2], abs=1e-6)
+    rank = min(k, min(m, n) - 1)
+    left, s, right = np.linalg.svd(dense, full_matrices=False)
+    assert u.shape == (m, rank) and v.shape == (n, rank)
+    assert np.linalg.norm(u, axis=0) == pytest.approx(s[:rank], rel=1e-6)
+    assert np.abs(u @ v.T - (left[:, :rank] * s[:rank]) @ right[:rank]).max() < 1e-6 * s[0]
+    assert np.abs(v.T @ v - np.eye(rank)).max() < 1e-8
+    assert (np.abs(v).max(0) == v.max(0)).all()  # the largest entry of each column is positive
