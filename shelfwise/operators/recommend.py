@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwise.functions.numeric import RANDOM_SEED
 from shelfwise.functions.positions import dense_position, exact_quantile
-from shelfwise.session import materialize, scratch_path
+from shelfwise.session import materialize
 
 # Fixed values from the reference.
 TEST_FRACTION = 0.2
@@ -234,72 +233,68 @@ def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, max_round
             _rotated(v, np.diag(sign)).withColumnRenamed("ix", "item_ix"))
 
 
+def _packed_blocks(rows: DataFrame, block_rows: int, name: str) -> tuple[DataFrame, int]:
+    """(one row per block of about ``block_rows`` vectors: <name>, <name>_ids, <name>_vecs; number of blocks). Rows are
+    dealt over blocks by a hash of their id."""
+    import numpy as np
+    import pandas as pd
+
+    n = max(1, -(-rows.count() // block_rows))
+
+    def pack(pdf):
+        vecs = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
+        return pd.DataFrame({name: [pdf["_block"].iloc[0]], f"{name}_ids": [pdf["_id"].to_numpy(np.int64).tobytes()],
+                             f"{name}_vecs": [vecs.tobytes()]})
+
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(n)))
+    packed = dealt.groupBy("_block").applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_vecs binary")
+    return materialize(packed), n
+
+
 def exact_top_k_inner_product(queries: DataFrame, items: DataFrame, k: int = CANDIDATE_POOL,
                               qid: str = "visitor_ix", iid: str = "item_ix", vec: str = "vec",
                               block_rows: int = 4096) -> DataFrame:
     """Exact maximum-inner-product top k of every query vector against
-    all item vectors (the brute-force 'flat' search), without a cross join.
+    all item vectors (the brute-force 'flat' search), in float64.
 
-    The item table is written by Spark to the shared checkpoint folder; each
-    query partition (``mapInPandas``) streams it in record batches of
-    ``block_rows`` rows, scores its queries with one matrix product per batch
-    in float64 and keeps a running top k (ties: smaller item id). Memory per
-    task: one batch of items + (queries in the Arrow batch) x (k + block).
+    Queries and items are packed into blocks of ``block_rows`` vectors. Every
+    query block meets every item block by a join on the item block's number;
+    such a pair is one unit of work of a fixed size: a matrix product and a
+    local top k (ties: smaller item id). The local lists are merged per query.
     Output: (qid, rank 1..k, iid, score).
     """
-    path = scratch_path(items.sparkSession, "item_vectors")
-    items.select(F.col(iid).cast("long").alias("_iid"), F.col(vec).cast("array<double>").alias("_vec")) \
-        .write.mode("overwrite").parquet(path)
+    import numpy as np
 
-    out_schema = T.StructType([T.StructField(qid, T.LongType()), T.StructField("rank", T.IntegerType()),
-                               T.StructField(iid, T.LongType()), T.StructField("score", T.DoubleType())])
+    def prepared(df, key):
+        return df.select(F.col(key).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_vec"))
+
+    item_blocks, n = _packed_blocks(prepared(items, iid), block_rows, "item")
+    query_blocks, _ = _packed_blocks(prepared(queries, qid), block_rows, "query")
+    pairs = (query_blocks.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+             .join(item_blocks, "item").repartition("item", "query"))
 
     def search(batches):
-        import numpy as np
-        import pandas as pd
-        import pyarrow.dataset as ds
-
-        dataset = _open_dataset(path, ds)
-        for qdf in batches:
-            if qdf.empty:
-                continue
-            q = np.vstack([np.asarray(v, dtype=np.float64) for v in qdf["_vec"]])
-            best_s = np.full((len(q), 0), -np.inf)
-            best_i = np.zeros((len(q), 0), dtype=np.int64)
-            for rb in dataset.to_batches(columns=["_iid", "_vec"], batch_size=block_rows):
-                if rb.num_rows == 0:
-                    continue
-                ids = rb.column(0).to_numpy()
-                vecs = np.asarray(rb.column(1).flatten().to_numpy(), dtype=np.float64).reshape(rb.num_rows, -1)
-                s = q @ vecs.T
-                all_s = np.hstack([best_s, s])
-                all_i = np.hstack([best_i, np.broadcast_to(ids, s.shape)])
-                # order by score desc, then id asc; keep k
-                order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                best_s = np.take_along_axis(all_s, order, axis=1)
-                best_i = np.take_along_axis(all_i, order, axis=1)
-            n = best_s.shape[1]
-            yield pd.DataFrame({
-                qid: np.repeat(qdf["_qid"].to_numpy(dtype=np.int64), n),
-                "rank": np.tile(np.arange(1, n + 1, dtype=np.int32), len(qdf)),
-                iid: best_i.reshape(-1),
-                "score": best_s.reshape(-1),
-            })
-
-    q = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(vec).cast("array<double>").alias("_vec"))
-    return q.mapInPandas(search, out_schema)
-
-
-def _open_dataset(path: str, ds):
-    """pyarrow dataset on a Hadoop-style URI (file:, hdfs:, s3:...)."""
-    if path.startswith("file:"):
-        return ds.dataset(path[len("file:"):].replace("///", "/", 1) if path.startswith("file:///")
-                          else path[len("file:"):], format="parquet")
-    if "://" in path:
-        from pyarrow import fs
-        filesystem, inner = fs.FileSystem.from_uri(path)
-        return ds.dataset(inner, filesystem=filesystem, format="parquet")
-    return ds.dataset(path, format="parquet")
+        import pyarrow as pa
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+                ids, asked = (np.frombuffer(part[f"{c}_ids"], np.int64) for c in ("item", "query"))
+                x, q = (np.frombuffer(part[f"{c}_vecs"], np.float64).reshape(len(i), -1)
+                        for c, i in (("item", ids), ("query", asked)))
+                by_id = np.argsort(ids, kind="stable")  # a stable sort by score then keeps the smaller id first
+                ids, x = ids[by_id], x[by_id]
+                for at in range(0, len(asked), 256):
+                    scores = q[at:at + 256] @ x.T
+                    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    best = np.take_along_axis(scores, order, axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(asked[at:at + 256], order.shape[1])), pa.array(ids[order].ravel()),
+                         pa.array(best.ravel())], names=[qid, iid, "score"])
+
+    found = pairs.mapInArrow(search, f"{qid} long, {iid} long, score double")
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), iid)
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(qid, F.col("rank").cast("int").alias("rank"), iid, "score"))
 
 
 def recommend_collaborative(candidates: DataFrame, matrix: DataFrame, train: DataFrame,
