@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from shelfwise.llm import textbytes as tb
+from shelfwise.session import materialize
 
 MIN_LINE_WORDS = 8
 #: Words of a run of shared lines from which the run nominates pairs. Less than any block that is deleted, as the
@@ -90,6 +91,8 @@ def nominate(lines: DataFrame, rare: int) -> DataFrame:
     shared = (lines.groupBy("hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"),
                                         F.count(F.lit(1)).alias("n"))
               .where(F.col("last") > F.col("owner")).select("hash", "owner", (F.col("n") <= rare).alias("rare")))
+    # written out, so that the join deals both sides anew and the rows of a very common line can be split over tasks
+    shared = materialize(shared)
     seen = lines.join(shared, "hash").where(F.col("doc") > F.col("owner")).drop("hash")
     in_doc = Window.partitionBy("doc").orderBy("place")
     runs = seen.withColumn("run", F.col("place") - F.row_number().over(in_doc))
