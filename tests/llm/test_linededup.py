@@ -97,6 +97,6 @@ def test_blocks_are_maximal_common_runs(seed):
     a = " ".join(x for s in shared for x in (" ".join(sentences(rng, 2, "a"))[:-1], s))
     b = "\n".join(x for s in shared for x in (s, " ".join(sentences(rng, 3, "b"))))
     blocks = ld.common_blocks(ld._Lines(a.encode()), ld._Lines(b.encode()))
-    runs = {(i, n) for i, n in longest_common(a.split(), b.split()) if n >= 18}
+    runs = longest_common(a.split(), b.split())
     got = {(len(a.encode()[:s].split()), n) for s, _, n in blocks}
-    assert got == runs
+    assert {r for r in runs if r[1] >= 30} <= got <= runs

@@ -62,7 +62,7 @@ def test_scores_do_not_depend_on_neighbours():
 
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(docs, labels, toxicity.Settings(per_label=1000, later_rounds=4))
+    model = toxicity.fit(docs, labels, toxicity.Settings(per_label=600, later_rounds=4, windows=16))
     rows = toxicity.score(docs.join(labels, "doc_id"), model).select("doc_id", "score", "toxic").collect()
     unseen = [(r["score"], r["toxic"]) for r in rows if held(r["doc_id"])]
     pos, neg = np.array([s for s, t in unseen if t == 1]), np.array([s for s, t in unseen if t == 0])

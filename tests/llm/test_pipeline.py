@@ -1,4 +1,6 @@
 """The stages one after another, each against its operator's own decisions."""
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.conftest import SF_SMALL
 
@@ -15,11 +17,24 @@ def test_stages_and_run(spark):
         if k < 4:
             assert docs.columns == before.columns
         if k == 1:
-            assert docs.where("n_chars <> length(text) and text = ''").count() == 0
-            changed = docs.join(before.withColumnRenamed("text", "old"), "doc_id").where("text <> old")
-            assert changed.where("n_chars <> length(text)" if "n_chars" in changed.columns else "false").count() == 0 \
-                if changed.columns.count("n_chars") == 1 else True
+            old = before.select("doc_id", F.col("text").alias("old"), F.col("n_chars").alias("old_n"))
+            both = docs.join(old, "doc_id")
+            assert both.where("text <> old").count() > 0
+            assert both.where("text <> old AND n_chars <> length(text) OR text = old AND n_chars <> old_n").count() == 0
     assert counts[0] > counts[1] and counts[1] == counts[2] and counts[2] > counts[3] >= counts[4] == counts[5]
+    assert {"size", "source_size", "target", "repeats", "taken"} <= set(docs.columns)
+
+
+def test_run_hands_each_result_on(spark, monkeypatch):
+    seen = []
+
+    def stage(name, keep):
+        def f(spark, docs, sf_dir):
+            seen.append((name, docs.count(), sf_dir, docs.columns))
+            return docs.where(keep)
+        return name, f
+    monkeypatch.setattr(cp, "STAGES", [stage("even", "doc_id % 2 = 0"), stage("third", "doc_id % 3 = 0")])
     out = cp.run(spark, SF_SMALL)
-    assert sorted(map(str, out.select("doc_id", "text", "target", "taken").collect())) == \
-        sorted(map(str, docs.select("doc_id", "text", "target", "taken").collect()))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert seen == [("even", 200, SF_SMALL, columns), ("third", 100, SF_SMALL, columns)]
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == list(range(0, 200, 6))
