@@ -5,12 +5,12 @@ aligned with patience diff, common blocks are widened word by word at both ends,
 blocks that are long enough. A document is paired with the first holder of a line and not with every other holder, so
 a line that a third of all documents share gives one pair a document.
 
-A line here ends at a newline, or at '.', '!' or '?' before white space once it has MIN_LINE_WORDS words, because a
-passage often sits inside a paragraph; where a passage begins or ends within a line, the widening finds the rest.
+A line here ends at a newline, at '.', '!' or '?' before white space once it has MIN_LINE_WORDS words, and, once it has
+LONG_LINE_WORDS, after any word of a certain look (one in eight), because a passage often sits inside a paragraph or a very
+long sentence. Where a passage begins or ends within a line, the widening finds the rest.
 """
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +26,7 @@ from shelfwise.llm import textbytes as tb
 from shelfwise.session import materialize
 
 MIN_LINE_WORDS = 8
+LONG_LINE_WORDS = 16
 #: Words of a run of shared lines from which the run nominates pairs. Less than any block that is deleted, as the
 #: widening adds words at both ends.
 MIN_RUN_WORDS = 12
@@ -35,28 +36,28 @@ _STOP[[0x21, 0x2E, 0x3F]] = True
 
 
 def split_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, number of words) of the lines of all rows, white space at both ends left out."""
+    """(starts, ends of the words of all rows; place of the first word of every line, with their number appended)."""
     starts, ends = tb.spans(~tb.SPACE[raw], offsets)
     if not len(starts):
-        return starts, ends, starts
+        return starts, ends, np.zeros(1, np.int64)
     row = np.searchsorted(offsets, starts, "right")
     n = len(starts)
     newlines = np.cumsum(raw == 0x0A)
     hard = np.ones(n, bool)  # a newline or the end of the row follows the word
     hard[:-1] = (row[1:] != row[:-1]) | (newlines[starts[1:]] != newlines[ends[:-1] - 1])
     soft = _STOP[raw[ends - 1]]
-    # a soft end counts if MIN_LINE_WORDS words precede it since the last end; the soft ends of a run of words are few
-    stops = np.flatnonzero(hard | soft)
+    # by the words themselves, so that equal passages are cut alike
+    mark = ((ends - starts) * 37 + raw[starts].astype(np.int64) * 11 + raw[ends - 1].astype(np.int64) * 17) % 8 == 0
+    # how many words must precede an end since the last one
+    least = np.where(hard, 1, np.where(soft, MIN_LINE_WORDS, LONG_LINE_WORDS))
+    stops = np.flatnonzero(hard | soft | mark)
     take = np.zeros(len(stops), bool)
     last = -1
-    is_hard = hard[stops].tolist()
-    for k, at in enumerate(stops.tolist()):
-        if is_hard[k] or at - last >= MIN_LINE_WORDS:
+    for k, (at, need) in enumerate(zip(stops.tolist(), least[stops].tolist(), strict=True)):
+        if at - last >= need:
             take[k] = True
             last = at
-    stops = stops[take]
-    begin = np.concatenate([[0], stops[:-1] + 1])
-    return starts[begin], ends[stops], stops - begin + 1
+    return starts, ends, np.concatenate([[0], stops[take] + 1])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -65,9 +66,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches):
             raw, offsets = tb.utf8(piece.column("text"))
-            starts, ends, words = split_lines(raw, offsets)
+            starts, ends, first = split_lines(raw, offsets)
             if not len(starts):
                 continue
+            starts, ends, words = starts[first[:-1]], ends[first[1:] - 1], np.diff(first)
             first = tb.rows_of(starts, offsets)
             count = np.diff(first)
             doc = np.repeat(piece.column("doc").to_numpy(), count)
@@ -107,14 +109,16 @@ def nominate(lines: DataFrame, rare: int) -> DataFrame:
 
 
 class _Lines:
-    """A text cut into lines, as patience diff wants it."""
+    """A text cut into words and lines, as patience diff wants it."""
 
     def __init__(self, text: bytes) -> None:
         raw = np.frombuffer(text, np.uint8)
-        starts, ends, words = split_lines(raw, np.array([0, len(raw)]))
-        self.text = text
-        self.start, self.end, self.words = starts.tolist(), ends.tolist(), words.tolist()
-        self.line = [text[a:b] for a, b in zip(self.start, self.end, strict=True)]
+        starts, ends, first = split_lines(raw, np.array([0, len(raw)]))
+        self.text, self.words = text, text.split()
+        self.start, self.end = starts, ends
+        self.first = first.tolist()  # the first word of every line, and the number of words
+        edges = zip(starts[first[:-1]].tolist(), ends[first[1:] - 1].tolist(), strict=True)
+        self.line = [text[a:b] for a, b in edges]
         counts = Counter(self.line)
         self.once = {x: i for i, x in enumerate(self.line) if counts[x] == 1}
 
@@ -142,49 +146,34 @@ def _anchors(a: _Lines, b: _Lines) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _word_ends(text: bytes, start: int, end: int) -> list[tuple[bytes, int, int]]:
-    return [(m[0], m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text[start:end])]
-
-
 def common_blocks(later: _Lines, earlier: _Lines) -> list[tuple[int, int, int]]:
-    """(start, end, number of words) of the common blocks in the later text, by patience diff: anchors, equal lines
-    next to them, and equal words at the ends of the lines beyond."""
+    """(start, end, number of words) of the common blocks in the later text, by patience diff: each anchor, widened by the
+    equal words before and behind it, up to the neighbouring blocks."""
     anchors = _anchors(later, earlier)
+    x, y = later.words, earlier.words
     blocks = []
-    done_i = done_j = 0  # lines before these belong to blocks that are finished
+    done_a = done_b = 0  # words before these belong to blocks that are finished
     k = 0
     while k < len(anchors):
         i, j = anchors[k]
-        a, b = i, j
-        while a > done_i and b > done_j and later.line[a - 1] == earlier.line[b - 1]:
-            a, b = a - 1, b - 1
-        i, j = i + 1, j + 1
         k += 1
-        while i < len(later.line) and j < len(earlier.line) and later.line[i] == earlier.line[j]:
-            i, j = i + 1, j + 1
-        while k < len(anchors) and anchors[k][0] < i:
+        if later.first[i] < done_a or earlier.first[j] < done_b:
+            continue
+        a, b = later.first[i], earlier.first[j]
+        end_a, end_b = later.first[i + 1], earlier.first[j + 1]
+        while a > done_a and b > done_b and x[a - 1] == y[b - 1]:
+            a, b = a - 1, b - 1
+        while True:
+            next_a = later.first[anchors[k][0]] if k < len(anchors) else len(x)
+            next_b = earlier.first[anchors[k][1]] if k < len(anchors) else len(y)
+            while end_a < next_a and end_b < next_b and x[end_a] == y[end_b]:
+                end_a, end_b = end_a + 1, end_b + 1
+            if k == len(anchors) or (end_a, end_b) != (next_a, next_b):
+                break
+            end_a, end_b = later.first[anchors[k][0] + 1], earlier.first[anchors[k][1] + 1]  # the next anchor follows at once
             k += 1
-        start, end, words = later.start[a], later.end[i - 1], sum(later.words[a:i])
-        if a > done_i and b > done_j:
-            x = _word_ends(later.text, later.start[a - 1], later.end[a - 1])
-            y = _word_ends(earlier.text, earlier.start[b - 1], earlier.end[b - 1])
-            same = 0
-            while same < min(len(x), len(y)) and x[-1 - same][0] == y[-1 - same][0]:
-                same += 1
-            if same:
-                start, words = later.start[a - 1] + x[-same][1], words + same
-        next_i = anchors[k][0] if k < len(anchors) else len(later.line)
-        next_j = anchors[k][1] if k < len(anchors) else len(earlier.line)
-        if i < next_i and j < next_j:
-            x = _word_ends(later.text, later.start[i], later.end[i])
-            y = _word_ends(earlier.text, earlier.start[j], earlier.end[j])
-            same = 0
-            while same < min(len(x), len(y)) and x[same][0] == y[same][0]:
-                same += 1
-            if same:
-                end, words = later.start[i] + x[same - 1][2], words + same
-        blocks.append((start, end, words))
-        done_i, done_j = i, j
+        blocks.append((int(later.start[a]), int(later.end[end_a - 1]), end_a - a))
+        done_a, done_b = end_a, end_b
     return blocks
 
 
@@ -216,7 +205,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for piece in tb.pieces(batches, max_bytes=16 << 20):
+        for piece in tb.pieces(batches, max_bytes=4 << 20):
             texts = piece.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [*(piece.column(f.name) for f in fields),
