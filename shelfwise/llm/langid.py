@@ -103,9 +103,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def _sample(docs: DataFrame, settings: Settings) -> list:
     """lang, codes, counts of the sampled documents, as sparse vectors."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.select("lang", "doc_id").distinct().withColumn("k", F.row_number().over(order))
-           .where(F.col("k") <= settings.per_language).select("doc_id", "lang"))
+    # the first ids by hash within 64 parts of a language and then among those, so that no task sorts a whole language
+    ids = docs.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.col("h") % 64)
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= settings.per_language)
+    ids = ids.select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
