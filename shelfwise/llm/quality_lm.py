@@ -34,7 +34,7 @@ MIN_DOCS = 20
 #: A text of n characters may lie SLACK / sqrt(n) above the limit: the mean over a few characters says little.
 SLACK = 3.0
 #: Width of the bins of log-perplexity that quantiles are counted in.
-BIN = 1e-4
+BIN = 1e-3
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
