@@ -168,7 +168,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in tb.pieces(batches, text, 16 << 20):
+        for piece in tb.pieces(batches, text, 4 << 20):
             column = pc.fill_null(piece.column(text), "")
             flags = [pc.match_substring_regex(column, p).to_numpy(zero_copy_only=False).tolist()
                      for p in (_NAMES, "AKIA", "[0-9a-f]{16}")]

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataF
     schema = StructType([*(f for f in docs.schema.fields if f.name != text), StructField("__fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.pieces(batches, text, 16 << 20):
+        for batch in tb.pieces(batches, text, 4 << 20):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(text)], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))],
                                              names=[*keep, "__fp"])
