@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once inside a task; the arrays of one piece take about 40 times as much memory.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 #: The ASCII white space \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)

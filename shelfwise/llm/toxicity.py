@@ -144,15 +144,27 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     return text.mapInArrow(_sample_windows(settings), "toxic int, windows array<binary>")
 
 
+def _window_words(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, words of every window, trigrams of every word, trigrams per word); taken piece by piece, as the
+    arrays behind the hashes are many times the text."""
+    text = pa.array([t.decode("utf-8", "replace") for t in windows], pa.string())
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int64))]
+    for piece in tb.pieces([pa.RecordBatch.from_arrays([text], names=["text"])], max_bytes=tb.PIECE_BYTES // 4):
+        words = Words(piece.column("text"))
+        code, first = words.trigrams()
+        out.append((words.hashes, np.diff(words.first), code.astype(np.int16), np.diff(np.append(first, len(code)))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def train(sample: list[tuple[int, list[bytes]]], settings: Settings = Settings()) -> Model:
     """sample: (label, windows) of each document. Without both labels the model gives the share of label 1 to all."""
     sample = sorted((y, list(w)) for y, w in sample if w)
     label = np.array([y for y, _ in sample], np.float32)
     owner = np.repeat(np.arange(len(sample)), [len(w) for _, w in sample])
-    words = Words(pa.array([t.decode("utf-8", "replace") for _, w in sample for t in w], pa.string()))
     n_windows = len(owner)
-    distinct, word = np.unique(words.hashes, return_inverse=True)
-    doc_of_word = owner[np.repeat(np.arange(n_windows), np.diff(words.first))] if n_windows else np.zeros(0, int)
+    hashes, length, code, sizes = _window_words([t for _, w in sample for t in w])
+    distinct, word = np.unique(hashes, return_inverse=True)
+    doc_of_word = owner[np.repeat(np.arange(n_windows), length)] if n_windows else np.zeros(0, int)
     in_docs = np.bincount(np.unique(word.astype(np.int64) * max(1, len(sample)) + doc_of_word) // max(1, len(sample)),
                           minlength=len(distinct)) if len(word) else np.zeros(0, int)
     frequent = np.flatnonzero(in_docs >= MIN_DOCS)
@@ -166,10 +178,9 @@ def train(sample: list[tuple[int, list[bytes]]], settings: Settings = Settings()
         p["out"][:] = 0
         p["out_b"][:] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return model
-    ids = _ids(vocabulary, words.hashes)
-    code, first = words.trigrams()
-    stops = np.append(first, len(code))
-    length = np.diff(words.first)
+    ids = _ids(vocabulary, hashes)
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    begin = np.cumsum(length) - length
     rng = np.random.default_rng(settings.seed)
     adam = gru.Adam(p, settings.rate)
     share = float(label.mean())
@@ -177,7 +188,7 @@ def train(sample: list[tuple[int, list[bytes]]], settings: Settings = Settings()
 
     def inputs(windows: np.ndarray):
         steps = min(WINDOW, int(length[windows].max(initial=1)))
-        place = words.first[windows][None, :] + np.arange(steps)[:, None]
+        place = begin[windows][None, :] + np.arange(steps)[:, None]
         mask = (np.arange(steps)[:, None] < length[windows][None, :]).astype(np.float32)
         place = np.where(mask > 0, place, 0).ravel()
         used, back = np.unique(place, return_inverse=True)
