@@ -169,6 +169,18 @@ def product_encoding(train: DataFrame) -> DataFrame:
     return train.groupBy(P).agg(F.avg("y").alias("product_level"))
 
 
+def out_of_fold_encoding(train: DataFrame, folds: int = 5) -> DataFrame:
+    """``train`` with product_level as a row that is trained on may see it: the mean of the product's other folds (days
+    are dealt by a hash), so that no row's own target is part of its feature. A product with one fold gets its mean."""
+    dealt = train.withColumn("_fold", F.pmod(F.xxhash64("ds"), F.lit(folds)))
+    parts = dealt.groupBy(P, "_fold").agg(F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(P)
+    rest = parts.select(P, "_fold", "_s", "_n", (F.sum("_s").over(whole) - F.col("_s")).alias("_rs"),
+                        (F.sum("_n").over(whole) - F.col("_n")).alias("_rn"))
+    level = F.when(F.col("_rn") > 0, F.col("_rs") / F.col("_rn")).otherwise(F.col("_s") / F.col("_n"))
+    return dealt.join(rest.select(P, "_fold", level.alias("product_level")), [P, "_fold"]).drop("_fold")
+
+
 GBT_FEATURES = LAG_FEATURES + CALENDAR_FEATURES + ["product_level"]
 
 
@@ -182,13 +194,14 @@ def gbt_regressor(max_iter: int = 300, step_size: float = 0.05, max_depth: int =
 
 def fit_global_model(features: DataFrame, max_iter: int = 300):
     """encoder + assembler + GBT fitted on complete-feature rows.
-    Returns (pipeline_model, encoding)."""
+    Returns (pipeline_model, encoding); the encoding, a product's mean over all
+    training rows, is for rows that were not trained on."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     features = materialize(features)
     enc = materialize(product_encoding(features))
-    data = features.join(enc, P)
+    data = out_of_fold_encoding(features)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=GBT_FEATURES, outputCol="features"),
                             gbt_regressor(max_iter=max_iter)])
     return pipe.fit(data), enc
