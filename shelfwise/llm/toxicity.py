@@ -38,7 +38,7 @@ class Settings:
     document among those in MIN_DOCS sampled documents at least; other words have their characters only. A round goes
     through its windows as often as it takes for ``steps`` steps of 256. One document in four of the sample is not trained on: it places the cut between the labels."""
 
-    per_label: int = 2400
+    per_label: int = 1800
     windows: int = 24
     vocabulary: int = 8192
     word_dim: int = 8
