@@ -1,130 +1,137 @@
 """Operator 10, line dedup by pairwise alignment.
 
-Lines that occur in several documents nominate pairs (later document, first document with the line); each pair is
+Places that occur in several documents nominate pairs (later document, first document with the place); each pair is
 aligned with patience diff, common blocks are widened word by word at both ends, and the later document loses the
-blocks that are long enough. A document is paired with the first holder of a line and not with every other holder, so
-a line that a third of all documents share gives one pair a document.
+blocks that are long enough.
 
-A line here ends at a newline, at '.', '!' or '?' before white space once it has MIN_LINE_WORDS words, and, once it has
-LONG_LINE_WORDS, after any word of a certain look (one in eight), because a passage often sits inside a paragraph or a very
-long sentence. Where a passage begins or ends within a line, the widening finds the rest.
+Places are chosen by winnowing: of every window of min_words words the least hash of GRAM_WORDS words. The choice depends on
+nothing outside the window, so documents with a common run of min_words words have a common place, whatever stands before
+the run and whether or not it has sentence ends. The grams at these places are the lines of patience diff.
 """
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from shelfwise.llm import textbytes as tb
 from shelfwise.session import materialize
 
-MIN_LINE_WORDS = 8
-LONG_LINE_WORDS = 16
-#: Words of a run of shared lines from which the run nominates pairs. Less than any block that is deleted, as the
-#: widening adds words at both ends.
-MIN_RUN_WORDS = 12
-
-_STOP = np.zeros(256, bool)
-_STOP[[0x21, 0x2E, 0x3F]] = True
-
-
-def split_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends of the words of all rows; place of the first word of every line, with their number appended)."""
-    starts, ends = tb.spans(~tb.SPACE[raw], offsets)
-    if not len(starts):
-        return starts, ends, np.zeros(1, np.int64)
-    row = np.searchsorted(offsets, starts, "right")
-    n = len(starts)
-    newlines = np.cumsum(raw == 0x0A)
-    hard = np.ones(n, bool)  # a newline or the end of the row follows the word
-    hard[:-1] = (row[1:] != row[:-1]) | (newlines[starts[1:]] != newlines[ends[:-1] - 1])
-    soft = _STOP[raw[ends - 1]]
-    # by the words themselves, so that equal passages are cut alike
-    mark = ((ends - starts) * 37 + raw[starts].astype(np.int64) * 11 + raw[ends - 1].astype(np.int64) * 17) % 8 == 0
-    # how many words must precede an end since the last one
-    least = np.where(hard, 1, np.where(soft, MIN_LINE_WORDS, LONG_LINE_WORDS))
-    stops = np.flatnonzero(hard | soft | mark)
-    take = np.zeros(len(stops), bool)
-    last = -1
-    for k, (at, need) in enumerate(zip(stops.tolist(), least[stops].tolist(), strict=True)):
-        if at - last >= need:
-            take[k] = True
-            last = at
-    return starts, ends, np.concatenate([[0], stops[take] + 1])
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """``docs``: doc (long, not null), text. Returns one row per line: hash, doc, place (line number), words."""
+#: Words that a winnowed place is chosen by.
+GRAM_WORDS = 8
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+class Winnowed:
+    """The words of all rows, and of every window of ``min_words`` words (in one row) the place of its least gram.
+
+    starts, ends: bytes of each word. at: first word of every window. lo, hi: the first and the last window (places in at)
+    of each group, a run of neighbouring windows with the same least gram. place: the word that gram begins with.
+    The least gram depends on the words of its window only, so equal windows have equal grams wherever they stand.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, min_words: int) -> None:
+        self.starts, self.ends = starts, ends = tb.spans(~tb.SPACE[raw], offsets)
+        self.min_words, n = min_words, len(starts)
+        self.at = self.lo = self.hi = self.place = np.zeros(0, np.int64)
+        self.gram = np.zeros(0, np.uint64)
+        row = np.searchsorted(offsets, starts, "right")
+        if n < min_words:
+            return
+        word = tb.PrefixHash(raw).of(starts, ends)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(word * _powers(_BASE, n), out=self._sums[1:])
+        self._back = _powers(_INVERSE, n)
+        size = min(GRAM_WORDS, min_words)
+        first = np.arange(n - size + 1)
+        self.gram = least = self.hashes(first, first + size)
+        place, have, want = first, 1, min_words - size + 1
+        while have < want:  # the least of `have` grams from each place, the first of equal ones
+            step = min(have, want - have)
+            later = least[step:] < least[:-step]
+            place = np.where(later, place[step:], place[:-step])
+            least = np.where(later, least[step:], least[:-step])
+            have += step
+        self.at = np.flatnonzero(row[:n - min_words + 1] == row[min_words - 1:])
+        if not len(self.at):
+            return
+        place, row = place[self.at], row[self.at]
+        cut = np.flatnonzero((place[1:] != place[:-1]) | (row[1:] != row[:-1])) + 1
+        self.lo, self.hi = np.append(0, cut), np.append(cut, len(self.at)) - 1
+        self.place, self.row = place[self.lo], row[self.lo] - 1
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the words first (inclusive) to last (exclusive), whatever white space is between them."""
+        return _mixed((self._sums[last] - self._sums[first]) * self._back[first])
+
+    def windows(self) -> np.ndarray:
+        return self.hashes(self.at, self.at + self.min_words) if len(self.at) else np.zeros(0, np.uint64)
+
+
+def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs``: doc (long, not null), text. One row per group of windows: hash of its least gram, doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches):
-            raw, offsets = tb.utf8(piece.column("text"))
-            starts, ends, first = split_lines(raw, offsets)
-            if not len(starts):
-                continue
-            starts, ends, words = starts[first[:-1]], ends[first[1:] - 1], np.diff(first)
-            first = tb.rows_of(starts, offsets)
-            count = np.diff(first)
-            doc = np.repeat(piece.column("doc").to_numpy(), count)
-            place = np.arange(len(starts)) - np.repeat(first[:-1], count)
-            hashes = tb.PrefixHash(raw).of(starts, ends).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(words.astype(np.int32))],
-                names=["hash", "doc", "place", "words"])
+            w = Winnowed(*tb.utf8(piece.column("text")), min_words)
+            if len(w.lo):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.gram[w.place].view(np.int64)), piece.column("doc").take(pa.array(w.row))],
+                    names=["hash", "doc"])
 
-    return docs.select("doc", "text").mapInArrow(run, "hash long, doc long, place int, words int")
+    return docs.select("doc", "text").mapInArrow(run, "hash long, doc long")
 
 
-def nominate(lines: DataFrame, rare: int) -> DataFrame:
-    """Pairs doc, owner (an earlier document) whose alignment can have a long block.
+def _first_holders(rows: DataFrame, key: str) -> DataFrame:
+    """``key``, owner: the first document of each key that several documents have. Written out, so that a join deals both
+    sides anew and the rows of a very common key can be split over tasks."""
+    return materialize(rows.groupBy(key).agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+                       .where(F.col("last") > F.col("owner")).select(key, "owner"))
 
-    A run is a stretch of consecutive lines of a document that all occur in earlier documents. Of the runs with
-    MIN_RUN_WORDS words, every rare line (in at most ``rare`` documents) nominates the first document that has it;
-    a common line does so if the common lines around it make up MIN_RUN_WORDS words by themselves. So a passage of
-    common lines only is found as surely as one with rare lines.
-    """
-    shared = (lines.groupBy("hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"),
-                                        F.count(F.lit(1)).alias("n"))
-              .where(F.col("last") > F.col("owner")).select("hash", "owner", (F.col("n") <= rare).alias("rare")))
-    # written out, so that the join deals both sides anew and the rows of a very common line can be split over tasks
-    shared = materialize(shared)
-    seen = lines.join(shared, "hash").where(F.col("doc") > F.col("owner")).drop("hash")
-    in_doc = Window.partitionBy("doc").orderBy("place")
-    runs = seen.withColumn("run", F.col("place") - F.row_number().over(in_doc))
-    of_kind = Window.partitionBy("doc", "run").orderBy("place")
-    runs = runs.withColumn("turn", F.when(F.col("rare") != F.lag("rare", 1).over(of_kind), 1).otherwise(0))
-    runs = runs.withColumn("part", F.sum("turn").over(of_kind))
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc", "run")))
-    runs = runs.withColumn("part_words", F.sum("words").over(Window.partitionBy("doc", "run", "part")))
-    named = runs.where((F.col("run_words") >= MIN_RUN_WORDS)
-                       & (F.col("rare") | (F.col("part_words") >= MIN_RUN_WORDS)))
-    return named.select("doc", "owner").distinct()
+
+def nominate(docs: DataFrame, min_words: int) -> DataFrame:
+    """Pairs doc, owner (an earlier document): the first document that has one of the grams of doc."""
+    lines = line_table(docs, min_words)
+    seen = lines.join(_first_holders(lines, "hash"), "hash").where(F.col("doc") > F.col("owner"))
+    return seen.select("doc", "owner").distinct()
 
 
 class _Lines:
-    """A text cut into words and lines, as patience diff wants it."""
+    """A text cut into words and chosen grams, as patience diff wants it."""
 
-    def __init__(self, text: bytes) -> None:
+    def __init__(self, text: bytes, min_words: int = 25) -> None:
         raw = np.frombuffer(text, np.uint8)
-        starts, ends, first = split_lines(raw, np.array([0, len(raw)]))
+        w = Winnowed(raw, np.array([0, len(raw)]), min_words)
         self.text, self.words = text, text.split()
-        self.start, self.end = starts, ends
-        self.first = first.tolist()  # the first word of every line, and the number of words
-        edges = zip(starts[first[:-1]].tolist(), ends[first[1:] - 1].tolist(), strict=True)
-        self.line = [text[a:b] for a, b in edges]
-        counts = Counter(self.line)
-        self.once = {x: i for i, x in enumerate(self.line) if counts[x] == 1}
+        self.start, self.end, self.winnowed = w.starts, w.ends, w
+        place = np.unique(w.place)
+        self.first = place.tolist()  # the first word of every chosen gram
+        line, at, counts = np.unique(w.gram[place], return_index=True, return_counts=True)
+        self.once = dict(zip(line[counts == 1].tolist(), at[counts == 1].tolist(), strict=True))
 
 
 def _anchors(a: _Lines, b: _Lines) -> list[tuple[int, int]]:
-    """The longest chain of lines that occur once in both, in the order of both."""
+    """The longest chain of chosen grams that occur once in both, in the order of both."""
     small, large = (a.once, b.once) if len(a.once) <= len(b.once) else (b.once, a.once)
     common = sorted((a.once[x], b.once[x]) for x in small if x in large)
     tails: list[int] = []
@@ -147,33 +154,22 @@ def _anchors(a: _Lines, b: _Lines) -> list[tuple[int, int]]:
 
 
 def common_blocks(later: _Lines, earlier: _Lines) -> list[tuple[int, int, int]]:
-    """(start, end, number of words) of the common blocks in the later text, by patience diff: each anchor, widened by the
-    equal words before and behind it, up to the neighbouring blocks."""
-    anchors = _anchors(later, earlier)
+    """(start, end, number of words) of the common blocks in the later text, by patience diff: each anchor that no block has
+    yet, widened by the equal words before it, up to the block before, and from it on."""
     x, y = later.words, earlier.words
     blocks = []
     done_a = done_b = 0  # words before these belong to blocks that are finished
-    k = 0
-    while k < len(anchors):
-        i, j = anchors[k]
-        k += 1
-        if later.first[i] < done_a or earlier.first[j] < done_b:
+    for i, j in _anchors(later, earlier):
+        a, b = end_a, end_b = later.first[i], earlier.first[j]
+        if a < done_a or b < done_b:
             continue
-        a, b = later.first[i], earlier.first[j]
-        end_a, end_b = later.first[i + 1], earlier.first[j + 1]
         while a > done_a and b > done_b and x[a - 1] == y[b - 1]:
             a, b = a - 1, b - 1
-        while True:
-            next_a = later.first[anchors[k][0]] if k < len(anchors) else len(x)
-            next_b = earlier.first[anchors[k][1]] if k < len(anchors) else len(y)
-            while end_a < next_a and end_b < next_b and x[end_a] == y[end_b]:
-                end_a, end_b = end_a + 1, end_b + 1
-            if k == len(anchors) or (end_a, end_b) != (next_a, next_b):
-                break
-            end_a, end_b = later.first[anchors[k][0] + 1], earlier.first[anchors[k][1] + 1]  # the next anchor follows at once
-            k += 1
-        blocks.append((int(later.start[a]), int(later.end[end_a - 1]), end_a - a))
-        done_a, done_b = end_a, end_b
+        while end_a < len(x) and end_b < len(y) and x[end_a] == y[end_b]:
+            end_a, end_b = end_a + 1, end_b + 1
+        if end_a > a:
+            blocks.append((int(later.start[a]), int(later.end[end_a - 1]), end_a - a))
+            done_a, done_b = end_a, end_b
     return blocks
 
 
@@ -227,12 +223,13 @@ def delete_repeats(docs: DataFrame, min_words: int = 25, rare: int = 50, doc_id:
     are not compared with each other. Of two documents with a common block of at least ``min_words`` words the later
     one loses it, together with the white space before it; the first document that has a block keeps it. An exact copy
     is left with an empty text. Rows without repeats, null and empty texts come back as they were. An empty table gives
-    an empty one. Columns of ``docs`` with the name of a result column are replaced. Equal rows get equal results.
+    an empty one. Columns of ``docs`` with the name of a result column are replaced. Equal rows get equal results. ``rare``
+    is not used any more: the result does not depend on how common a line is.
     """
     docs = docs.drop("deleted_spans", "deleted_words")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     keyed = docs.select(key.alias("doc"), "text")
-    pairs = nominate(line_table(keyed), rare)
+    pairs = nominate(keyed, min_words)
     # the text of the earlier document of each pair goes to the later one
     owners = _packed(keyed).withColumnRenamed("doc", "owner")
     sent = pairs.join(owners, "owner").select("doc", F.lit(1).alias("kind"), "packed")
@@ -273,8 +270,8 @@ def _align(min_words: int):
                     words.append(0)
                     continue
                 text = _open(packed[i])
-                later = _Lines(text)
-                found = _merged([(a, b) for other in earlier for a, b, n in common_blocks(later, _Lines(_open(other)))
+                later = _Lines(text, min_words)
+                found = _merged([(a, b) for other in earlier for a, b, n in common_blocks(later, _Lines(_open(other), min_words))
                                  if n >= min_words])
                 texts.append(without(text, found) if found else text)
                 spans.append([{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in found])

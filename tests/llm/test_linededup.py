@@ -100,3 +100,31 @@ def test_blocks_are_maximal_common_runs(seed):
     runs = longest_common(a.split(), b.split())
     got = {(len(a.encode()[:s].split()), n) for s, _, n in blocks}
     assert {r for r in runs if r[1] >= 30} <= got <= runs
+
+
+def words(rng, n, tag="w"):
+    return [f"{tag}{rng.randint(0, 10**6)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("ends", [(4, 7), (10**6, 10**6)])
+def test_passages_of_short_sentences_and_without_ends_at_all_offsets(spark, ends):
+    rng = random.Random(8)
+
+    def stream(n):
+        out, left = words(rng, n), rng.randint(*ends)
+        for i in range(n):
+            left -= 1
+            if not left:
+                out[i] += "."
+                left = rng.randint(*ends)
+        return out
+
+    docs, passages = {}, {}
+    for i in range(150):
+        passage = passages[i] = stream(25 + i % 6)
+        for doc in (i, 1000 + i):
+            docs[doc] = " ".join(stream(rng.randint(0, 40)) + passage + stream(rng.randint(0, 40)))
+    got = run(spark, docs)
+    for i, passage in passages.items():
+        assert got[i]["deleted_words"] == 0
+        assert got[1000 + i]["deleted_words"] == len(passage)
