@@ -1,8 +1,8 @@
 """Operator 10, line dedup by pairwise alignment.
 
-Places that occur in several documents nominate pairs (later document, first document with the place); each pair is
-aligned with patience diff, common blocks are widened word by word at both ends, and the later document loses the
-blocks that are long enough.
+Places that occur in several documents tell which windows of min_words words can be repeats, and each such window
+nominates a pair (later document, first document that has the window); each pair is aligned with patience diff, common
+blocks are widened word by word at both ends, and the later document loses the blocks that are long enough.
 
 Places are chosen by winnowing: of every window of min_words words the least hash of GRAM_WORDS words. The choice depends on
 nothing outside the window, so documents with a common run of min_words words have a common place, whatever stands before
@@ -46,7 +46,8 @@ class Winnowed:
     """The words of all rows, and of every window of ``min_words`` words (in one row) the place of its least gram.
 
     starts, ends: bytes of each word. at: first word of every window. lo, hi: the first and the last window (places in at)
-    of each group, a run of neighbouring windows with the same least gram. place: the word that gram begins with.
+    of each group, a run of neighbouring windows with the same least gram. place: the word that gram begins with. row, number:
+    the row of each group, and its number in the row.
     The least gram depends on the words of its window only, so equal windows have equal grams wherever they stand.
     """
 
@@ -79,6 +80,8 @@ class Winnowed:
         cut = np.flatnonzero((place[1:] != place[:-1]) | (row[1:] != row[:-1])) + 1
         self.lo, self.hi = np.append(0, cut), np.append(cut, len(self.at)) - 1
         self.place, self.row = place[self.lo], row[self.lo] - 1
+        first = tb.rows_of(self.row, np.arange(len(offsets) - 1))
+        self.number = (np.arange(len(self.lo)) - first[self.row]).astype(np.int32)
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the words first (inclusive) to last (exclusive), whatever white space is between them."""
@@ -89,17 +92,39 @@ class Winnowed:
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs``: doc (long, not null), text. One row per group of windows: hash of its least gram, doc."""
+    """``docs``: doc (long, not null), text. One row per group of windows: hash of its least gram, extent (hash of all words
+    of its windows), doc, number (of the group in its row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches):
             w = Winnowed(*tb.utf8(piece.column("text")), min_words)
             if len(w.lo):
+                extent = w.hashes(w.at[w.lo], w.at[w.hi] + min_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.gram[w.place].view(np.int64)), piece.column("doc").take(pa.array(w.row))],
-                    names=["hash", "doc"])
+                    [pa.array(w.gram[w.place].view(np.int64)), pa.array(extent.view(np.int64)),
+                     piece.column("doc").take(pa.array(w.row)), pa.array(w.number)],
+                    names=["hash", "extent", "doc", "number"])
 
-    return docs.select("doc", "text").mapInArrow(run, "hash long, doc long")
+    return docs.select("doc", "text").mapInArrow(run, "hash long, extent long, doc long, number int")
+
+
+def _window_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs``: doc, packed, numbers (of groups). One row per distinct window of these groups: window (hash), doc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = _open(batch.column("packed")[i].as_py())
+                w = Winnowed(np.frombuffer(text, np.uint8), np.array([0, len(text)]), min_words)
+                wanted = np.zeros(len(w.lo), bool)
+                numbers = batch.column("numbers")[i].values.to_numpy()
+                wanted[numbers[numbers < len(wanted)]] = True  # another row of the same document may have more groups
+                found = np.unique(w.windows()[np.repeat(wanted, w.hi - w.lo + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)),
+                                                  pa.array(np.full(len(found), batch.column("doc")[i].as_py()))],
+                                                 names=["window", "doc"])
+
+    return docs.select("doc", "packed", "numbers").mapInArrow(run, "window long, doc long")
 
 
 def _first_holders(rows: DataFrame, key: str) -> DataFrame:
@@ -110,10 +135,23 @@ def _first_holders(rows: DataFrame, key: str) -> DataFrame:
 
 
 def nominate(docs: DataFrame, min_words: int) -> DataFrame:
-    """Pairs doc, owner (an earlier document): the first document that has one of the grams of doc."""
+    """Pairs doc, owner such that every window of ``min_words`` words of doc that an earlier document has is in one of its
+    owners. ``docs``: doc, text.
+
+    Only groups whose gram several documents have can hold such a window. A group whose extent an earlier document has is
+    done with the first of those. The windows of the other groups (at the ends of common runs, and in the first document
+    that has a run) are looked up one by one. The first holder of a window is always among them: if an earlier
+    document had the extent of its group, that one would hold the window too.
+    """
     lines = line_table(docs, min_words)
-    seen = lines.join(_first_holders(lines, "hash"), "hash").where(F.col("doc") > F.col("owner"))
-    return seen.select("doc", "owner").distinct()
+    seen = materialize(lines.join(_first_holders(lines, "hash").drop("owner"), "hash").drop("hash"))
+    whole = seen.join(_first_holders(seen, "extent"), "extent", "left")
+    whole = materialize(whole.withColumn("done", F.coalesce(F.col("owner") < F.col("doc"), F.lit(False))).drop("extent"))
+    left = whole.where(~F.col("done")).groupBy("doc").agg(F.collect_set("number").alias("numbers"))
+    texts = _packed(docs.where(F.col("text").isNotNull()))
+    windows = materialize(_window_table(texts.join(left, "doc"), min_words))
+    held = windows.join(_first_holders(windows, "window"), "window").where(F.col("owner") < F.col("doc"))
+    return whole.where("done").select("doc", "owner").unionByName(held.select("doc", "owner")).distinct()
 
 
 class _Lines:

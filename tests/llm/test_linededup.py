@@ -128,3 +128,12 @@ def test_passages_of_short_sentences_and_without_ends_at_all_offsets(spark, ends
     for i, passage in passages.items():
         assert got[i]["deleted_words"] == 0
         assert got[1000 + i]["deleted_words"] == len(passage)
+
+
+def test_blocks_whose_lines_have_different_first_holders(spark):
+    rng = random.Random(4)
+    s1, s2, s3, s4 = (" ".join(words(rng, 10)) + "." for _ in range(4))
+    docs = {1: f"{s1} {s2}", 2: f"{s3} {s4}", 3: f"{s1} {s2} {s3} {s4}", 4: f"{s1} {s2} {s3} {s4}",
+            5: " ".join([*words(rng, 30), s1, s2, s3, s4, *words(rng, 7)])}
+    got = run(spark, docs)
+    assert [got[i]["deleted_words"] for i in docs] == [0, 0, 0, 40, 40] and got[4]["text"] == ""
