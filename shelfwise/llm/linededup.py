@@ -2,7 +2,8 @@
 
 Places that occur in several documents tell which windows of min_words words can be repeats, and each such window
 nominates a pair (later document, first document that has the window); each pair is aligned with patience diff, common
-blocks are widened word by word at both ends, and the later document loses the blocks that are long enough.
+blocks are widened word by word at both ends, the rest is compared window by window, and the later document loses the
+blocks that are long enough.
 
 Places are chosen by winnowing: of every window of min_words words the least hash of GRAM_WORDS words. The choice depends on
 nothing outside the window, so documents with a common run of min_words words have a common place, whatever stands before
@@ -164,6 +165,7 @@ class _Lines:
         self.start, self.end, self.winnowed = w.starts, w.ends, w
         place = np.unique(w.place)
         self.first = place.tolist()  # the first word of every chosen gram
+        self.windows = w.windows()
         line, at, counts = np.unique(w.gram[place], return_index=True, return_counts=True)
         self.once = dict(zip(line[counts == 1].tolist(), at[counts == 1].tolist(), strict=True))
 
@@ -193,9 +195,13 @@ def _anchors(a: _Lines, b: _Lines) -> list[tuple[int, int]]:
 
 def common_blocks(later: _Lines, earlier: _Lines) -> list[tuple[int, int, int]]:
     """(start, end, number of words) of the common blocks in the later text, by patience diff: each anchor that no block has
-    yet, widened by the equal words before it, up to the block before, and from it on."""
+    yet, widened by the equal words before it, up to the block before, and from it on. Then every window of later that no
+    such block has is looked up among all windows of earlier, and runs of those found are blocks too: repeated grams and
+    blocks in another order have no anchor. So the blocks have every common run of min_words words."""
     x, y = later.words, earlier.words
+    size = later.winnowed.min_words
     blocks = []
+    open_ = np.ones(len(later.winnowed.at), bool)  # windows of later without a block
     done_a = done_b = 0  # words before these belong to blocks that are finished
     for i, j in _anchors(later, earlier):
         a, b = end_a, end_b = later.first[i], earlier.first[j]
@@ -206,9 +212,16 @@ def common_blocks(later: _Lines, earlier: _Lines) -> list[tuple[int, int, int]]:
         while end_a < len(x) and end_b < len(y) and x[end_a] == y[end_b]:
             end_a, end_b = end_a + 1, end_b + 1
         if end_a > a:
-            blocks.append((int(later.start[a]), int(later.end[end_a - 1]), end_a - a))
+            blocks.append((a, end_a))
+            open_[a:max(a, end_a - size + 1)] = False
             done_a, done_b = end_a, end_b
-    return blocks
+    rest = np.flatnonzero(open_)
+    if len(rest) and len(earlier.windows):
+        rest = rest[np.isin(later.windows[rest], earlier.windows)]
+        for run in np.split(rest, np.flatnonzero(np.diff(rest) != 1) + 1):
+            if len(run):
+                blocks.append((int(run[0]), int(run[-1]) + size))
+    return [(int(later.start[a]), int(later.end[b - 1]), b - a) for a, b in blocks]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

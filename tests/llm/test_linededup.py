@@ -137,3 +137,37 @@ def test_blocks_whose_lines_have_different_first_holders(spark):
             5: " ".join([*words(rng, 30), s1, s2, s3, s4, *words(rng, 7)])}
     got = run(spark, docs)
     assert [got[i]["deleted_words"] for i in docs] == [0, 0, 0, 40, 40] and got[4]["text"] == ""
+
+
+def repeated(docs, n=25):
+    """Per document, the number of words in runs of n words that an earlier one has, by all pairs."""
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        w = text.split()
+        runs = [tuple(w[k:k + n]) for k in range(len(w) - n + 1)]
+        out[i] = len({k + d for k, r in enumerate(runs) if r in seen for d in range(n)})
+        seen.update(runs)
+    return out
+
+
+def test_documents_put_together_from_boilerplate_against_all_pairs(spark):
+    rng = random.Random(6)
+    parts = [words(rng, rng.randint(3, 30)) for _ in range(25)]
+    docs = {}
+    for i in range(120):
+        docs[i] = " ".join(x for p in rng.sample(parts, 6) for x in [*p[rng.randint(0, 2):], *words(rng, rng.choice([0, 0, 0, 9]))])
+        if i > 20 and i % 3 == 0:
+            old = docs[rng.randint(0, i - 1)].split()
+            at = rng.randint(0, 20)
+            docs[i] += " " + " ".join(old[at:at + rng.randint(20, 60)])
+    got = run(spark, docs)
+    assert {i: r["deleted_words"] for i, r in got.items()} == repeated(docs)
+
+
+def test_passages_twice_in_either_text_and_in_another_order(spark):
+    rng = random.Random(7)
+    p, q, x = (" ".join(words(rng, 60)) for _ in range(3))
+    table = " ".join(["a b c d e f g h"] * 10)
+    for docs, left in (({1: p, 2: f"{p} {x} {p}"}, x), ({1: f"{p} {x} {p}", 2: p}, ""), ({1: f"{p} {q}", 2: f"{q} {p}"}, ""),
+                       ({1: p, 2: f"{p} {p}"}, ""), ({1: f"{x} {table}", 2: f"{q} {table}"}, q)):
+        assert run(spark, docs)[2]["text"].split() == left.split()
