@@ -31,8 +31,6 @@ SHARD_BYTES = 16 << 20
 _START = 2
 #: Unseen languages, and those with fewer unseen trusted documents, take the threshold of all languages together.
 MIN_DOCS = 20
-#: A text of n characters may lie SLACK / sqrt(n) above the limit: the mean over a few characters says little.
-SLACK = 3.0
 #: Width of the bins of log-perplexity that quantiles are counted in.
 BIN = 1e-3
 
@@ -287,11 +285,10 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = 0.99, doc_id: str
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, lang, n_chars (UTF-16 units), perplexity, threshold, keep.
 
     Trusted are the documents that ``labels`` (doc_id, quality) marks 1 and never 0. Those whose crc32(doc_id) mod 3 is
-    not 1 train the model, all of them; the others place the thresholds: with q the ``high`` quantile and m the median of
-    log-perplexity in a language, a document of n characters is kept if its own is at most q + (q - m) + SLACK / sqrt(n),
-    the log of its threshold. A language with fewer than
-    MIN_DOCS of those (a null language is one of its own) takes the quantiles over all languages, or, if there are none
-    either, has a null threshold and keeps all.
+    not 1 train the model, all of them; the others place the thresholds: a language's is the ``high`` quantile of their
+    perplexity, and a document is kept if its own is at most that. A language with fewer than MIN_DOCS of those (a null
+    language is one of its own) takes the quantile over all languages, or, if there are none either, has a null threshold
+    and keeps all.
 
     A null or empty text has null perplexity and is not kept, as there is nothing to train on. Repeated rows get equal
     results. Texts are scored whole. Other columns are not read. An empty table gives an empty one.
@@ -311,14 +308,14 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = 0.99, doc_id: str
     judged = (scored.where(F.col("log_ppl").isNotNull()).join(trusted.where(unseen), "id")
               .select("lang", "log_ppl"))
     judged = materialize(judged)
-    fence = (F.col("q1") + (F.col("q1") - F.col("q0"))).alias("fence")
-    by_lang = (_quantiles(judged, F.col("lang"), (0.5, high)).where(F.col("docs") >= MIN_DOCS)
-               .select(F.col("grp").alias("fence_lang"), fence))
-    overall = _quantiles(judged, F.lit("all"), (0.5, high)).select(fence).first()
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("fence_lang")), "left")
-    limit = (F.coalesce("fence", F.lit(overall[0] if overall else None).cast("double"))
-             + F.when(F.col("n") > 0, SLACK / F.sqrt("n")))
+    by_lang = (_quantiles(judged, F.col("lang"), (high,)).where(F.col("docs") >= MIN_DOCS)
+               .select(F.col("grp").alias("limit_lang"), F.col("q0").alias("limit")))
+    overall = _quantiles(judged, F.lit("all"), (high,)).select("q0").first()
+    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
+    limit = F.when(F.col("n") > 0, F.coalesce("limit", F.lit(overall[0] if overall else None).cast("double")))
+    # quantiles are exact to BIN only, so perplexities are compared by bin
+    inside = F.round(F.col("log_ppl") / BIN) <= F.round(limit / BIN)
     return out.select(F.col("id").alias(doc_id), "lang", F.col("n").alias("n_chars"), F.exp("log_ppl").alias("perplexity"),
                       F.exp(limit).alias("threshold"),
-                      F.coalesce(F.when(limit.isNull(), F.col("n") > 0).otherwise(F.col("log_ppl") <= limit),
+                      F.coalesce(F.when(limit.isNull(), F.col("n") > 0).otherwise(inside),
                                  F.lit(False)).alias("keep"))

@@ -6,6 +6,7 @@ from math import exp, log
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.llm import gru, langid, quality_lm, toxicity
 from tests.conftest import SF_SMALL
@@ -191,3 +192,21 @@ def test_quality_held_out(spark):
     bad = [r["keep"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.5
     assert quality_lm.classify(docs.limit(0), labels).collect() == []
+
+
+def test_quality_threshold_is_the_plain_quantile_of_the_language(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q"))
+    rows = quality_lm.classify(docs, labels).join(trusted, "doc_id", "left").where("perplexity is not null").collect()
+    langs = 0
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang]
+        unseen = sorted(log(r["perplexity"]) for r in own if r["q"] == 1 and held(r["doc_id"]))
+        if len(unseen) < quality_lm.MIN_DOCS:
+            continue
+        langs += 1
+        limit = unseen[-(-99 * len(unseen) // 100) - 1]
+        for r in own:
+            assert log(r["threshold"]) == pytest.approx(limit, abs=quality_lm.BIN)  # whatever the length
+            assert r["keep"] or log(r["perplexity"]) > limit - quality_lm.BIN
+    assert langs
