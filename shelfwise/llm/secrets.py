@@ -31,6 +31,8 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: A credential name, and the value after it: up to white space, a quote, a comma or a semicolon.
 CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?)"""
                      r"""["']?[\x20\t]*[:=][\x20\t]*["']?([^\s"',;]{6,})""", re.ASCII)
+#: The longest name with the sign after it.
+_NAME_CHARS = len("private_key:")
 #: Texts without one of these names have no match of ASSIGN or CONTEXT.
 _NAMES = r"(?i)pass|pwd|secret|token|key|credential"
 
@@ -138,16 +140,16 @@ def find_secrets(text: str, named: bool = True, access: bool = True, hexadecimal
         base = sorted((a, b) for a, b, _, _ in spans)
         ends = np.maximum.accumulate([b for _, b in base]).tolist() if base else []
         starts = [a for a, _ in base]
-        for m in CONTEXT.finditer(text):
+        m = CONTEXT.search(text)
+        while m:
             a, b = m.span(1)
             k = bisect_right(starts, b - 1)
-            if k and ends[k - 1] > a:
-                continue  # a base span has it
-            if _LETTERS.fullmatch(m[1]):
-                continue
-            cost = guess_cost(m[1])
+            # a base span may have it
+            cost = 0.0 if k and ends[k - 1] > a or _LETTERS.fullmatch(m[1]) else guess_cost(m[1])
             if cost >= MIN_COST:
                 spans.append((a, b, 3, cost))
+            # a value that is none can end in the name of the next one
+            m = CONTEXT.search(text, b if cost >= MIN_COST else max(a, b - _NAME_CHARS))
     return sorted(spans, key=lambda s: s[:3])
 
 

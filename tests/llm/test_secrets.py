@@ -88,3 +88,10 @@ def test_table(spark):
     by = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in got}
     assert by[16] == ["guess"] and by[17] == ["guess"] and by[18] == [] and by[19] == [] and by[98] == []
     assert sc.scan(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["secret: password: Xk9#mQ2$", "token = credentials: Xk9#mQ2$", "secret: pass: pwd: token: Xk9#mQ2$",
+                                  "token: abcdef123456passwd: Xk9#mQ2$"])
+def test_a_name_may_be_the_value_of_another(text):
+    a = text.rindex(" ") + 1
+    assert (a, len(text), 3) in [x[:3] for x in sc.find_secrets(text)]
