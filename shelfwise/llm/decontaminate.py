@@ -276,9 +276,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, text
 def _searched(docs: DataFrame, items: DataFrame, window: int, text: str, item_id: str, item_text: str) -> DataFrame:
     """``docs`` with the state columns after all blocks of items."""
     context = docs.sparkSession.sparkContext
-    for ids, texts in [*_blocks(items, item_id, item_text)] or [([], [])]:
-        docs = _scan(docs, context.broadcast(TestBlock.of(ids, texts, window)), text)
-    return docs
+    searched = docs
+    for ids, texts in _blocks(items, item_id, item_text):  # one block at a time is held here
+        searched = _scan(searched, context.broadcast(TestBlock.of(ids, texts, window)), text)
+    return searched if searched is not docs else _scan(docs, context.broadcast(TestBlock.of([], [], window)), text)
 
 
 def _finish(columns: list[str]):

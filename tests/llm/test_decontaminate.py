@@ -104,3 +104,20 @@ def test_a_very_long_text_is_searched_to_its_end(spark):
     docs = spark.createDataFrame([(1, long), (2, item)], "doc_id long, text string")
     got = dc.find_contamination(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
     assert [(r["n_words"], r["n_hit"], r["longest"]) for r in got] == [(1_000_012, 12, 12), (12, 12, 12)]
+
+
+def test_a_block_is_built_before_the_next_one_is_read(spark, monkeypatch):
+    events, read, build = [], dc._blocks, dc.TestBlock.of
+
+    def blocks(*args):
+        for block in read(*args):
+            events.append("read")
+            yield block
+
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(dc, "_blocks", blocks)
+    monkeypatch.setattr(dc.TestBlock, "of", lambda *args: events.append("build") or build(*args))
+    items = spark.createDataFrame([(str(i), f"one two three {i}") for i in range(3)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three 2"), (2, "one two")], "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in dc.find_contamination(docs, items).collect()}
+    assert got == {1: ["2"], 2: []} and events == ["read", "build"] * 3
