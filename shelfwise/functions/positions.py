@@ -15,8 +15,11 @@ instead:
    bits).
 
 A range partition never splits rows that are equal in all sort columns, so
-positions ask for a total order. Quantiles are full of equal values by nature:
-they count rows by value first and then look among the distinct values.
+positions ask for a total order, or for ``split_ties``: the rows are written
+out first, and a hash of each row's place in that written copy becomes the last
+sort column, which cuts a group of equal rows like any other range. Quantiles
+are full of equal values by nature: they count rows by value first and then
+look among the distinct values.
 
 The offsets table has exactly one row per partition, so its broadcast has a
 proven size bound.
@@ -45,17 +48,24 @@ def partitions_for(df: DataFrame, rows: int | None) -> int:
 
 
 def dense_position(df: DataFrame, order_cols, out: str = "position",
-                   num_partitions: int | None = None, rows: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, rows: int | None = None, split_ties: bool = False) -> DataFrame:
     """Append ``out`` = 0-based rank of each row in ``order_cols`` order.
 
     The order must be total (add tie-break columns) for a deterministic result.
     ``rows``: the number of rows where it is known or cheap (a footer count);
     it raises the number of partitions above the session's setting.
+    ``split_ties``: rows that are equal in all ``order_cols`` may be many; they
+    get consecutive positions in an arbitrary order, in several tasks.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    n = num_partitions or partitions_for(df, rows)
     exprs = _order_exprs(order_cols)
-    laid_out = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs).checkpoint(eager=True)
+    if split_ties:
+        df = materialize(df)  # the place of a row in this copy is the same whenever a task is repeated
+        rows = df.count() if rows is None else rows
+        df = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+        exprs.append(F.col("_tie").asc())
+    n = num_partitions or partitions_for(df, rows)
+    laid_out = df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs).drop("_tie").checkpoint(eager=True)
     tagged = (laid_out
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33))))
