@@ -105,4 +105,106 @@ SELECT * FROM (
 WHERE rank <= 5
 """
 
-ORACLES = {"op1_mix": OP1, "op2_decontaminate": OP2, "op5_url_filter": OP5, "op6_top_k": OP6}
+# CRC-32 as its definition has it: the table of the reversed polynomial 0xEDB88320, then one step per byte.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+        FROM range(256) AS r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """Of a not-null text; the query has crc_table among its sources."""
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT),
+                lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+
+OP11 = rf"""
+WITH {_CRC_TABLE},
+raw AS (
+  SELECT row_number() OVER () AS r, doc_id, {_crc32("doc_id::VARCHAR")} AS h,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a,
+         3 + (h // 10) % 8 AS k FROM raw),
+doc AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+         list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) END AS w
+  FROM placed),
+word AS (SELECT r, n, unnest(w) AS x, unnest(range(n)) AS i FROM doc),
+equal AS (
+  SELECT f.r, f.i, s.i - f.i AS q FROM word f JOIN word s ON f.r = s.r AND f.x = s.x AND s.i > f.i AND (s.i - f.i) * 4 <= f.n),
+islands AS (
+  SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island, i FROM equal),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island),
+run AS (
+  SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+summary AS (
+  SELECT r, count(*) AS n_runs, arg_min(start, (-(length * 1.0::DOUBLE / period), start, period)) AS start,
+         arg_min(length, (-(length * 1.0::DOUBLE / period), start, period)) AS length,
+         arg_min(period, (-(length * 1.0::DOUBLE / period), start, period)) AS period,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM run GROUP BY r),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(text, '')) AS collapsed_sha256, n::BIGINT AS n_words
+FROM doc LEFT JOIN summary USING (r) LEFT JOIN kept USING (r)
+"""
+
+# Near words by definition: a word and what is left of it without one letter; two words of one length that leave the same
+# with the same letter gone differ by a replacement there.
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {_FOLD}), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM found GROUP BY ALL),
+hashed AS (
+  SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} END AS h
+  FROM counted, crc_table),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-words.n, other)) AS other, max(words.n) AS other_n
+  FROM near JOIN words ON words.word = near.other GROUP BY near.word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+way AS (
+  SELECT word, word AS at FROM words
+  UNION ALL SELECT way.word, f.form FROM way JOIN formed f ON way.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN way ON way.word = f.word JOIN formed l ON l.word = way.at AND l.form IS NULL
+"""
+
+OP13 = rf"""
+WITH {_CRC_TABLE},
+docs AS (
+  SELECT doc_id, coalesce('=' || doc_id::VARCHAR, 'null') AS key, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
+         coalesce({_crc32("coalesce(text, '')")}, 0) AS text_crc32
+  FROM documents, crc_table),
+keys AS (SELECT DISTINCT key FROM docs),
+bids AS (
+  SELECT key, s, -ln((('0x' || substr(md5('42:' || s || ':' || key), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS bid
+  FROM keys, range(25) AS g(s)),
+dealt AS (
+  SELECT key, arg_min(s, (bid, s)) FILTER (s < 24) AS shard, arg_min(s, (bid, s)) AS grown_shard FROM bids GROUP BY key)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5('42:' || key), doc_id, size, text_crc32) - 1 AS slot,
+       grown_shard::INTEGER AS grown_shard
+FROM docs JOIN dealt USING (key)
+"""
+
+ORACLES = {"op1_mix": OP1, "op2_decontaminate": OP2, "op5_url_filter": OP5, "op6_top_k": OP6, "op11_periodic_runs": OP11,
+           "op12_spelling": OP12, "op13_sharding": OP13}
