@@ -7,6 +7,7 @@ never a cross join with a global calendar.
 """
 from __future__ import annotations
 
+import dataclasses
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +23,8 @@ TEST_DAYS = 30
 MA_WINDOW = 7
 MAPE_EPSILON = 1.0
 HORIZON = 7
-# F14 builds every feature of the day after the history: the longest window of
-# past days must be there, and the last known day itself.
-MIN_HISTORY_DAYS = 1 + max(*ROLLING_WINDOWS, *LAGS)
+# Days of history that a product needs for the model (F14); with fewer it gets the baseline.
+MIN_HISTORY_DAYS = 29
 CALENDAR_FEATURES = ["day_of_week", "day_of_month", "month", "is_weekend"]
 LAG_FEATURES = [f"lag_{k}" for k in LAGS] + [f"rolling_mean_{w}" for w in ROLLING_WINDOWS]
 
@@ -162,58 +162,126 @@ def fit_trend_seasonal(train: DataFrame, test: DataFrame, reg_param: float = 0.0
     return pred.select("ds", "y", F.greatest(F.col("prediction"), F.lit(0.0)).alias("yhat"))
 
 
+#: Days of a series whose sums one task makes; longer series are split.
+DAYS_PER_PART = 4096
+
+
+@dataclasses.dataclass(frozen=True)
+class TrendDesign:
+    """The columns of :func:`trend_seasonal_design` as a matrix, an intercept first."""
+    n_changepoints: int = 25
+    changepoint_range: float = 0.8
+    weekly_order: int = 3
+    yearly_order: int = 10
+
+    @property
+    def width(self) -> int:
+        return 2 + self.n_changepoints + 2 * self.weekly_order + 2 * self.yearly_order
+
+    def matrix(self, days, span):
+        """Rows for days since the first training day; ``span``: days from the first to the last training day."""
+        import numpy as np
+        days = np.asarray(days, dtype=np.float64)
+        t = days / np.maximum(np.asarray(span, dtype=np.float64), 1.0)
+        columns = [np.ones_like(t), t]
+        columns += [np.maximum(t - self.changepoint_range * (j + 1) / (self.n_changepoints + 1), 0.0)
+                    for j in range(self.n_changepoints)]
+        for order, length in ((self.weekly_order, 7.0), (self.yearly_order, 365.25)):
+            for k in range(1, order + 1):
+                angle = days * (2 * math.pi * k / length)
+                columns += [np.sin(angle), np.cos(angle)]
+        return np.stack(columns, 1)
+
+
+def fit_trend_seasonal_by_key(train: DataFrame, key: str = P, design: TrendDesign | None = None,
+                              reg_param: float = 0.01) -> DataFrame:
+    """F11 for every series at once: key, first_ds, span, n, coefficients (intercept first) of a ridge regression with design
+    matrix X: (X'X / n + reg_param I) b = X'y / n, the intercept without a penalty.
+
+    X'X and X'y are sums over rows. They are made for parts of a series of at most DAYS_PER_PART days and added up by key,
+    so no series has to be in one task; a key then has one matrix of a fixed size, which is solved by Cholesky.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    design = design or TrendDesign()
+    width = design.width
+    series = train.groupBy(key).agg(F.min("ds").alias("first_ds"), F.datediff(F.max("ds"), F.min("ds")).alias("span"))
+    days = (train.select(key, "ds", F.col("y").cast("double").alias("y")).join(series, key)
+            .select(key, F.datediff("ds", "first_ds").alias("day"), "span", "y"))
+    parts = days.withColumn("part", F.floor(F.col("day") / F.lit(DAYS_PER_PART)))
+    schema_of_key = train.schema[key].dataType.simpleString()
+    packed = f"`{key}` {schema_of_key}, n long, sums binary"
+
+    def sums(table: pa.Table) -> pa.Table:
+        x = design.matrix(table.column("day").to_numpy(), table.column("span").to_numpy())
+        both = np.append(x.T @ x, (x.T @ table.column("y").to_numpy())[:, None], axis=1)
+        return pa.Table.from_arrays([table.column(key).slice(0, 1), pa.array([len(x)], pa.int64()),
+                                     pa.array([both.tobytes()], pa.binary())], names=[key, "n", "sums"])
+
+    def solve(table: pa.Table) -> pa.Table:
+        n = sum(table.column("n").to_pylist())
+        both = sum(np.frombuffer(b) for b in table.column("sums").to_pylist()).reshape(width, width + 1) / n
+        penalty = np.full(width, reg_param)
+        penalty[0] = 0.0
+        low = np.linalg.cholesky(both[:, :-1] + np.diag(penalty))
+        b = np.linalg.solve(low.T, np.linalg.solve(low, both[:, -1]))
+        return pa.Table.from_arrays([table.column(key).slice(0, 1), pa.array([n], pa.int64()),
+                                     pa.array([b.tolist()], pa.list_(pa.float64()))], names=[key, "n", "coefficients"])
+
+    summed = parts.groupBy(key, "part").applyInArrow(sums, packed)
+    solved = summed.groupBy(key).applyInArrow(solve, f"`{key}` {schema_of_key}, n long, coefficients array<double>")
+    return series.join(solved, key)
+
+
+def forecast_trend_seasonal_by_key(models: DataFrame, days: DataFrame, key: str = P,
+                                   design: TrendDesign | None = None) -> DataFrame:
+    """The rows of ``days`` (key, ds and more) whose key has a model, and yhat (at least 0)."""
+    import numpy as np
+    import pyarrow as pa
+
+    design = design or TrendDesign()
+    kept = days.columns
+    data = days.join(models.select(key, "first_ds", "span", "coefficients"), key).select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.datediff("ds", "first_ds").alias("day"), "span", "coefficients")
+
+    def run(batches):
+        for batch in batches:
+            x = design.matrix(batch.column("day").to_numpy(), batch.column("span").to_numpy())
+            b = np.asarray(batch.column("coefficients").flatten()).reshape(x.shape)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.maximum((x * b).sum(1), 0.0))], names=["row", "yhat"])
+
+    return data.mapInArrow(run, data.select("row").withColumn("yhat", F.lit(0.0)).schema).select("row.*", "yhat")
+
+
 # ---------------------------------------------------------------- F12-F14
 def product_encoding(train: DataFrame) -> DataFrame:
-    """Product as one numeric feature: the train-only mean of y by product
-    (a product id categorical would need maxBins >= number of products)."""
+    """The products that a model knows, with the mean of y."""
     return train.groupBy(P).agg(F.avg("y").alias("product_level"))
 
 
-def out_of_fold_encoding(train: DataFrame, folds: int = 5) -> DataFrame:
-    """``train`` with product_level as a row that is trained on may see it: the mean of the product's other folds (days
-    are dealt by a hash), so that no row's own target is part of its feature. A product with one fold gets its mean."""
-    dealt = train.withColumn("_fold", F.pmod(F.xxhash64("ds"), F.lit(folds)))
-    parts = dealt.groupBy(P, "_fold").agg(F.sum("y").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(P)
-    rest = parts.select(P, "_fold", "_s", "_n", (F.sum("_s").over(whole) - F.col("_s")).alias("_rs"),
-                        (F.sum("_n").over(whole) - F.col("_n")).alias("_rn"))
-    level = F.when(F.col("_rn") > 0, F.col("_rs") / F.col("_rn")).otherwise(F.col("_s") / F.col("_n"))
-    return dealt.join(rest.select(P, "_fold", level.alias("product_level")), [P, "_fold"]).drop("_fold")
-
-
-GBT_FEATURES = LAG_FEATURES + CALENDAR_FEATURES + ["product_level"]
-
-
-def gbt_regressor(max_iter: int = 300, step_size: float = 0.05, max_depth: int = 5, seed: int = 42):
-    """boosted trees (300 trees, learning rate 0.05, seed 42; depth 5 ~
-    31-leaf trees)."""
-    from pyspark.ml.regression import GBTRegressor
-    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=max_iter, stepSize=step_size,
-                        maxDepth=max_depth, seed=seed, maxBins=64)
+GBT_FEATURES = LAG_FEATURES + CALENDAR_FEATURES
 
 
 def fit_global_model(features: DataFrame, max_iter: int = 300):
-    """encoder + assembler + GBT fitted on complete-feature rows.
-    Returns (pipeline_model, encoding); the encoding, a product's mean over all
-    training rows, is for rows that were not trained on."""
+    """boosted trees (300 trees of 31 leaves, learning rate 0.05) on complete-feature rows, the product as a
+    category. Returns (pipeline model, known products); the order of the products is part of the model."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
 
-    features = materialize(features)
-    enc = materialize(product_encoding(features))
-    data = out_of_fold_encoding(features)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=GBT_FEATURES, outputCol="features"),
-                            gbt_regressor(max_iter=max_iter)])
-    return pipe.fit(data), enc
+    from shelfwise.operators.boosting_ml import LeafwiseBooster
+
+    features = materialize(features.select(P, "y", *GBT_FEATURES))
+    booster = LeafwiseBooster(trees=max_iter, featureColumns=GBT_FEATURES, categoryColumn=P, labelColumn="y")
+    return Pipeline(stages=[booster]).fit(features), materialize(product_encoding(features))
 
 
 def evaluate_global_model(features: DataFrame, test_days: int = TEST_DAYS, max_iter: int = 300) -> DataFrame:
     """F12 evaluation: train before the cutoff, one-step-ahead predictions on
-    the test days (clipped at 0), metrics."""
+    the test days (clipped at 0), metrics. A product that the training days do not have counts as an average one."""
     split = materialize(temporal_split(drop_incomplete(features), test_days))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    model, enc = fit_global_model(train, max_iter)
-    pred = model.transform(test.join(enc, P, "left").fillna({"product_level": 0.0}))
+    model, _ = fit_global_model(train, max_iter)
+    pred = model.transform(test)
     pred = pred.withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
     return forecast_metrics(pred)
 
@@ -295,7 +363,7 @@ class RollingMeanModel:
 
 
 def save_global_model(model, encoding: DataFrame, path: str) -> None:
-    """The refitted model and the product levels it was fitted with."""
+    """The refitted model and the products it knows."""
     model.write().overwrite().save(f"{path}/model")
     encoding.write.mode("overwrite").parquet(f"{path}/product_level")
 

@@ -177,29 +177,41 @@ def _rotated(vectors: DataFrame, matrix) -> DataFrame:
     return vectors.mapInArrow(run, "ix long, vec array<double>")
 
 
-def _orthonormal(vectors: DataFrame, width: int, passes: int = 1):
-    """(the same column space with orthonormal columns, the eigenvalues of the Gram matrix found first). Directions that
-    are not there become zero; a second pass removes what rounding left in the first."""
+def _beside(left: DataFrame, right: DataFrame, widths: tuple[int, int]) -> DataFrame:
+    """Two tables of vectors as one: the vectors of an ix one after the other, zeros where a table has none."""
+    def zeros(n):
+        return F.array_repeat(F.lit(0.0), n)
+    both = left.withColumnRenamed("vec", "_l").join(right.withColumnRenamed("vec", "_r"), "ix", "full")
+    return both.select("ix", F.concat(F.coalesce("_l", zeros(widths[0])), F.coalesce("_r", zeros(widths[1]))).alias("vec"))
+
+
+def _head(vectors: DataFrame, n: int) -> DataFrame:
+    """The first n numbers of every vector."""
+    return vectors.select("ix", F.slice("vec", 1, n).alias("vec"))
+
+
+def _independent(gram):
+    """Coefficients of orthonormal directions that span the same space as columns with this Gram matrix; directions that are
+    there by rounding only are left out."""
     import numpy as np
-    first = None
-    for _ in range(passes):
-        values, q = np.linalg.eigh(_gram(vectors, width))
-        first = values if first is None else first
-        scale = np.where(values > 1e-13 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        vectors = materialize(_rotated(vectors, q * scale))
-    return vectors, first
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    values, q = np.linalg.eigh(gram / np.outer(scale, scale))
+    keep = values > 1e-12 * max(values.max(), 1e-300)
+    return (q[:, keep] / np.sqrt(values[keep])) / scale[:, None]
 
 
-def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, max_rounds: int = 5, tolerance: float = 1e-9):
-    """Rank r = min(n, min(shape) - 1) truncated SVD of the sparse matrix.
+def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, tolerance: float = 1e-6, max_rounds: int = 60):
+    """Rank r = min(n, min(shape) - 1) truncated SVD of the sparse matrix A.
 
     Returns (visitor_factors, item_factors) DataFrames with ``(visitor_ix, vec)`` = rows of U·Σ and
     ``(item_ix, vec)`` = rows of V; the largest entry of each column of V is positive, so the signs are fixed.
 
-    Block subspace iteration over the cells: r + OVERSAMPLE hashed start vectors are multiplied by the matrix and its
-    transpose until the singular values move by less than ``tolerance`` (``max_rounds`` at most; the exact answer after
-    one round where the block is as wide as the matrix). The factors stay distributed tables; the driver sees Gram
-    matrices of the block's width only.
+    Locally optimal block iteration over the cells: a round looks for the best r + OVERSAMPLE directions in the span of the
+    directions so far, their residuals A'u - sv and the last step, by Rayleigh and Ritz on two small Gram matrices. It ends
+    when every triple's residual |A'u - sv| is at most ``tolerance`` times the largest singular value, which bounds the error
+    of each value; a triple that is that good already is locked and asks for no new direction. A matrix that does not get
+    there in ``max_rounds`` raises an error. The factors stay distributed tables; the driver sees Gram matrices of three
+    times the block's width only, and each round is written to the shared folder.
     """
     import numpy as np
 
@@ -210,85 +222,157 @@ def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, max_round
     r = min(n_components, min(shape["m"], shape["n"]) - 1)
     width = min(r + OVERSAMPLE, min(shape["m"], shape["n"]))
     start = F.array(*[F.xxhash64(F.col("item_ix"), F.lit(i)) / F.lit(2.0 ** 63) for i in range(width)])
-    items = cells.select("item_ix").distinct().select(F.col("item_ix").alias("ix"), start.alias("vec"))
-    items, _ = _orthonormal(materialize(items), width)
-    before = np.zeros(r)
+    items = materialize(cells.select("item_ix").distinct().select(F.col("item_ix").alias("ix"), start.alias("vec")))
+    at_visitors = materialize(_times_cells(cells, "visitor_ix", "item_ix", items, width))
+    kept = had = width  # columns of the table of items: the directions first, then residuals, then the last step
     for _ in range(max_rounds):
-        visitors, _ = _orthonormal(materialize(_times_cells(cells, "visitor_ix", "item_ix", items, width)), width)
-        items, squares = _orthonormal(materialize(_times_cells(cells, "item_ix", "visitor_ix", visitors, width)), width)
-        now = np.sqrt(np.sort(np.maximum(squares, 0))[::-1][:r])
-        if np.abs(now - before).max() <= tolerance * now.max():
+        basis = _independent(_gram(items, had))
+        values, q = np.linalg.eigh(basis.T @ _gram(at_visitors, had) @ basis)
+        top = np.argsort(-values)[:width]
+        values, z = np.maximum(values[top], 0), basis @ q[:, top]
+        sigma = np.sqrt(values)
+        step = z.copy()
+        step[:kept] = 0  # the part that the old directions had not
+        moves = np.linalg.norm(step, axis=0) > 0
+        turn = np.hstack([z, step[:, moves]])
+        items, at_visitors = materialize(_rotated(items, turn)), materialize(_rotated(at_visitors, turn))
+        kept, n_steps = z.shape[1], int(moves.sum())
+        # residuals of the normal equations, A'(Av) - s^2 v = s (A'u - sv)
+        pulled = _times_cells(cells, "item_ix", "visitor_ix", _head(at_visitors, kept), kept)
+        joined = _beside(_head(items, kept), pulled, (kept, kept))
+        residual = materialize(_rotated(joined, np.vstack([-np.diag(values[:kept]), np.eye(kept)])))
+        norms = np.sqrt(np.maximum(np.diag(_gram(residual, kept)), 0)) / np.maximum(sigma, 1e-300)
+        norms[sigma <= 1e-12 * sigma[0]] = 0.0  # no triple: the matrix has a lower rank
+        if (norms[:r] <= tolerance * sigma[0]).all():
             break
-        before = now
-    items, _ = _orthonormal(items, width)
-    visitors = materialize(_times_cells(cells, "visitor_ix", "item_ix", items, width))
-    values, q = np.linalg.eigh(_gram(visitors, width))
-    top = np.argsort(-values)[:r]
-    q = q[:, top]
-    v = materialize(_rotated(items, q))
+        open_ = np.flatnonzero(norms > 0.1 * tolerance * sigma[0])
+        residual = materialize(_rotated(residual, np.eye(kept)[:, open_]))
+        pushed = _times_cells(cells, "visitor_ix", "item_ix", residual, len(open_))
+        items = materialize(_beside(items, residual, (kept + n_steps, len(open_))))
+        at_visitors = materialize(_beside(at_visitors, pushed, (kept + n_steps, len(open_))))
+        had = kept + n_steps + len(open_)
+    else:
+        raise RuntimeError(f"singular vectors not found to {tolerance} in {max_rounds} rounds, at {norms[:r].max() / sigma[0]:.1e}")
+    v = materialize(_head(items, r))
     peaks = v.agg(*[F.max(F.struct(F.abs(F.col("vec")[i]).alias("a"), F.col("vec")[i].alias("x"))).alias(f"p{i}")
                     for i in range(r)]).first()
     sign = np.array([-1.0 if peaks[f"p{i}"]["x"] < 0 else 1.0 for i in range(r)])
-    return (_rotated(visitors, q * sign).withColumnRenamed("ix", "visitor_ix"),
+    return (_rotated(_head(at_visitors, r), np.diag(sign)).withColumnRenamed("ix", "visitor_ix"),
             _rotated(v, np.diag(sign)).withColumnRenamed("ix", "item_ix"))
 
 
-def _packed_blocks(rows: DataFrame, block_rows: int, name: str) -> tuple[DataFrame, int]:
-    """(one row per block of about ``block_rows`` vectors: <name>, <name>_ids, <name>_vecs; number of blocks). Rows are
-    dealt over blocks by a hash of their id."""
+def _norm_blocks(rows: DataFrame, block_rows: int, name: str) -> DataFrame:
+    """One row per block of about ``block_rows`` vectors: <name> (the block's number), <name>_top (its greatest norm),
+    <name>_ids, <name>_vecs. Blocks hold vectors of like norms, in order: block 0 has the longest. Rows are dealt by
+    position, so that equal norms are no matter."""
     import numpy as np
     import pandas as pd
 
-    n = max(1, -(-rows.count() // block_rows))
-
     def pack(pdf):
+        pdf = pdf.sort_values("_id")
         vecs = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_vec"]])
-        return pd.DataFrame({name: [pdf["_block"].iloc[0]], f"{name}_ids": [pdf["_id"].to_numpy(np.int64).tobytes()],
-                             f"{name}_vecs": [vecs.tobytes()]})
+        return pd.DataFrame({name: [pdf["_block"].iloc[0]], f"{name}_top": [pdf["_norm"].max()],
+                             f"{name}_ids": [pdf["_id"].to_numpy(np.int64).tobytes()], f"{name}_vecs": [vecs.tobytes()]})
+
+    norm = F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda a, x: a + x * x))
+    placed = dense_position(rows.withColumn("_norm", norm), [F.desc("_norm"), F.col("_id")], out="_position")
+    dealt = placed.withColumn("_block", F.floor(F.col("_position") / F.lit(block_rows)))
+    packed = dealt.groupBy("_block").applyInPandas(
+        pack, f"{name} long, {name}_top double, {name}_ids binary, {name}_vecs binary")
+    return materialize(packed)
+
+
+def _best(scores, ids, k: int):
+    """(ids, scores) of the k best of each row of ``scores``, best first, equal ones by the smaller id; ``ids`` ascend. Columns
+    below the k-th score are put aside by a partition, so that only those that may be among the best are sorted."""
+    import numpy as np
+    n, m = scores.shape
+    if m > k:
+        kth = np.partition(scores, m - k, axis=1)[:, m - k]
+        most = int((scores >= kth[:, None]).sum(1).max())  # more than k where the k-th score is shared
+        at = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most < m else np.tile(np.arange(m), (n, 1))
+        at.sort(axis=1)
+        scores = np.take_along_axis(scores, at, axis=1)
+    else:
+        at = np.tile(np.arange(m), (n, 1))
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return ids[np.take_along_axis(at, order, axis=1)], np.take_along_axis(scores, order, axis=1)
+
+
+def _pair_scores(part: dict):
+    """(query ids, item ids, query vectors, item vectors) of one pair of blocks."""
+    import numpy as np
+    ids, asked = (np.frombuffer(part[f"{c}_ids"], np.int64) for c in ("item", "query"))
+    x, q = (np.frombuffer(part[f"{c}_vecs"], np.float64).reshape(len(i), -1) for c, i in (("item", ids), ("query", asked)))
+    return asked, ids, q, x
+
 
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(n)))
-    packed = dealt.groupBy("_block").applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_vecs binary")
-    return materialize(packed), n
+#: Room for rounding when a bound is compared with a score.
+_BOUND_SLACK = 1 + 1e-9
 
 
 def exact_top_k_inner_product(queries: DataFrame, items: DataFrame, k: int = CANDIDATE_POOL,
                               qid: str = "visitor_ix", iid: str = "item_ix", vec: str = "vec",
-                              block_rows: int = 4096) -> DataFrame:
+                              block_rows: int = 4096, skipped: list | None = None) -> DataFrame:
     """Exact maximum-inner-product top k of every query vector against
     all item vectors (the brute-force 'flat' search), in float64.
 
-    Queries and items are packed into blocks of ``block_rows`` vectors. Every
-    query block meets every item block by a join on the item block's number;
-    such a pair is one unit of work of a fixed size: a matrix product and a
-    local top k (ties: smaller item id). The local lists are merged per query.
-    Output: (qid, rank 1..k, iid, score).
+    Queries and items are packed into blocks of ``block_rows`` vectors of like norms. Every query block first meets item
+    block 0, the longest vectors; the k-th score that a query has there is the least that another item must reach. No item
+    scores above |query| times the greatest norm of its block, so a query block needs only the first so many item blocks.
+    These pairs are found from one number per block before any vector moves; a pair is one unit of work of a fixed size, a
+    matrix product and a local top k (ties: smaller item id). The local lists are merged per query.
+    Output: (qid, rank 1..k, iid, score). ``skipped``: gets (pairs of blocks, pairs not looked at).
     """
     import numpy as np
 
     def prepared(df, key):
         return df.select(F.col(key).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_vec"))
 
-    item_blocks, n = _packed_blocks(prepared(items, iid), block_rows, "item")
-    query_blocks, _ = _packed_blocks(prepared(queries, qid), block_rows, "query")
-    pairs = (query_blocks.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-             .join(item_blocks, "item").repartition("item", "query"))
+    item_blocks = _norm_blocks(prepared(items, iid), block_rows, "item")
+    query_blocks = _norm_blocks(prepared(queries, qid), block_rows, "query")
 
-    def search(batches):
+    def pilot(batches):
         import pyarrow as pa
         for batch in batches:
             for row in range(batch.num_rows):
                 part = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                ids, asked = (np.frombuffer(part[f"{c}_ids"], np.int64) for c in ("item", "query"))
-                x, q = (np.frombuffer(part[f"{c}_vecs"], np.float64).reshape(len(i), -1)
-                        for c, i in (("item", ids), ("query", asked)))
-                by_id = np.argsort(ids, kind="stable")  # a stable sort by score then keeps the smaller id first
-                ids, x = ids[by_id], x[by_id]
+                asked, ids, q, x = _pair_scores(part)
+                need = np.inf
+                for at in range(0, len(asked), 256):
+                    scores, norms = q[at:at + 256] @ x.T, np.sqrt((q[at:at + 256] ** 2).sum(1))
+                    if len(ids) < k:
+                        need = -np.inf
+                    else:
+                        kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            need = min(need, np.where(norms > 0, kth / norms, -np.inf).min())
+                yield pa.RecordBatch.from_arrays([pa.array([part["query"]]), pa.array([need])], names=["query", "need"])
+
+    longest = F.broadcast(item_blocks.where("item = 0").drop("item_top"))  # one block
+    first = query_blocks.drop("query_top").withColumn("item", F.lit(0).cast("long")).join(longest, "item")
+    needs = materialize(first.mapInArrow(pilot, "query long, need double"))
+    # one number per item block, 8 bytes for block_rows vectors, stands beside each query block's need
+    tops = item_blocks.agg(F.collect_list("item_top").alias("tops")).withColumn("item", F.lit(0))
+    needs_tops = needs.withColumn("item", F.lit(0)).join(F.broadcast(tops), "item")
+    n_wanted = F.size(F.filter("tops", lambda t: t * F.lit(_BOUND_SLACK) >= F.col("need")))
+    wanted = materialize(needs_tops.select("query", n_wanted.cast("long").alias("n")).where("n > 0")
+                         .select("query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("item")))
+    if skipped is not None:
+        total = needs.count() * item_blocks.count()
+        skipped.append((total, total - wanted.count()))
+    pairs = (wanted.join(query_blocks.drop("query_top"), "query").join(item_blocks.drop("item_top"), "item")
+             .repartition("item", "query"))
+
+    def search(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked, ids, q, x = _pair_scores({c: batch.column(c)[row].as_py() for c in batch.schema.names})
                 for at in range(0, len(asked), 256):
-                    scores = q[at:at + 256] @ x.T
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    best = np.take_along_axis(scores, order, axis=1)
+                    best_ids, best = _best(q[at:at + 256] @ x.T, ids, k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(asked[at:at + 256], order.shape[1])), pa.array(ids[order].ravel()),
+                        [pa.array(np.repeat(asked[at:at + 256], best.shape[1])), pa.array(best_ids.ravel()),
                          pa.array(best.ravel())], names=[qid, iid, "score"])
 
     found = pairs.mapInArrow(search, f"{qid} long, {iid} long, score double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import round_half_up
+from shelfwise.operators import boosting
 from shelfwise.operators import forecast as fc
 from shelfwise.plans.catalog import register
 from shelfwise.plans.warehouse import Warehouse
@@ -94,6 +95,35 @@ def q_trend_seasonal_metrics(spark, sf_dir):
     return fc.forecast_metrics(q_trend_seasonal(spark, sf_dir))
 
 
+@register("f11_by_product")
+def q_trend_by_product(spark, sf_dir):
+    """The keyed fit with a trend and one weekly wave, whose four coefficients SQL can solve for."""
+    panel = materialize(_panel(Warehouse(spark, sf_dir, reuse=True)))
+    models = fc.fit_trend_seasonal_by_key(panel, design=fc.TrendDesign(n_changepoints=0, weekly_order=1, yearly_order=0))
+    models = models.select("product_id", "first_ds", "span", "n", *[F.col("coefficients")[i].alias(f"b{i}") for i in range(4)])
+    return _r6(models, *[f"b{i}" for i in range(4)])
+
+
+@register("f11_by_product_metrics")
+def q_trend_by_product_metrics(spark, sf_dir):
+    """The full design for every product: fitted before the test days, errors on them."""
+    split = materialize(fc.temporal_split(_panel(Warehouse(spark, sf_dir, reuse=True))))
+    models = fc.fit_trend_seasonal_by_key(split.where(~F.col("is_test")))
+    pred = fc.forecast_trend_seasonal_by_key(models, split.where("is_test").select("product_id", "ds", "y"))
+    return fc.forecast_metrics(pred, keys=("product_id",))
+
+
+@register("f12_first_tree")
+def q_first_tree(spark, sf_dir):
+    """The nodes of the first boosted tree over all complete rows: splits, values and numbers of rows."""
+    features = fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir, reuse=True))))
+    tree = boosting.fit(features, fc.GBT_FEATURES, "product_id", "y", boosting.exact(trees=1)).trees[0]
+    rows = [(i, *(x if tree.feature[i] >= 0 else None for x in (tree.feature[i], tree.bin[i], tree.left[i], tree.right[i])),
+             float(tree.value[i]), tree.rows[i]) for i in range(len(tree.feature))]
+    schema = "node int, feature int, bin int, left_node int, right_node int, value double, n_rows long"
+    return _r6(spark.createDataFrame(rows, schema), "value")
+
+
 @register("f12_gbt_metrics")
 def q_gbt_metrics(spark, sf_dir):
     f = materialize(fc.drop_incomplete(fc.add_time_series_features(_panel(Warehouse(spark, sf_dir, reuse=True)))))

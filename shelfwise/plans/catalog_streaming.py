@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.plans.catalog import register
+from shelfwise.streaming import numbering
 from shelfwise.streaming import sessions as st
 
 
@@ -20,3 +21,13 @@ def q_stream_hourly(spark, sf_dir):
     ev = st.clickstream_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet")
     out = st.run_to_files(st.stream_hourly_counts(ev), "t2_hourly")
     return out.select("hour", "event_type", F.col("n").cast("long").alias("n"))
+
+
+@register("t1_stream_session_numbers")
+def q_stream_session_numbers(spark, sf_dir):
+    """The session ids of E3 given on the stream, for the sessions that the watermark has closed."""
+    ev = st.clickstream_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet")
+    numbered, _ = numbering.run_numbering(numbering.number_sessions(ev))
+    return (numbered.groupBy("visitor_id", "session_id")
+            .agg(F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"),
+                 F.count(F.lit(1)).alias("n_events")))

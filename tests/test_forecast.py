@@ -139,3 +139,98 @@ def test_saved_model_predicts_the_same_and_beats_the_baseline(spark, tmp_path):
     flat = 20 + 20 / 7
     base = np.mean([abs(y - flat) for _, d, y in rows if d >= day(100)])
     assert mae < 0.5 * base
+
+
+def test_keyed_trend_fits_are_ridge_regressions(spark, monkeypatch):
+    """Every series against NumPy on the columns of the single-series design, a long one split over parts."""
+    monkeypatch.setattr(fc, "DAYS_PER_PART", 50)
+    rows = series(21, 170, "a") + series(22, 400, "b")[::3] + [("one", day(7), 4.0)]
+    train = spark.createDataFrame(rows, PANEL)
+    models = {r["product_id"]: r for r in fc.fit_trend_seasonal_by_key(train).collect()}
+    assert set(models) == {"a", "b", "one"} and models["a"]["n"] == 170
+    design = fc.TrendDesign()
+    for name, r in models.items():
+        own = sorted((d, y) for p, d, y in rows if p == name)
+        span = (own[-1][0] - own[0][0]).days
+        assert (r["first_ds"], r["span"]) == (own[0][0], span)
+        one = spark.createDataFrame(own, "ds date, y double")
+        wide = fc.trend_seasonal_design(one, F.lit(own[0][0]), F.lit(span)).orderBy("ds").drop("ds", "y").collect()
+        x = np.array([[1.0, *w] for w in wide])
+        assert design.matrix([(d - own[0][0]).days for d, _ in own], span) == pytest.approx(x)
+        penalty = np.diag([0.0] + [0.01 * len(own)] * (design.width - 1))
+        want = np.linalg.solve(x.T @ x + penalty, x.T @ np.array([y for _, y in own]))
+        assert r["coefficients"] == pytest.approx(want, abs=1e-6)
+    days = spark.createDataFrame([("a", day(171), "x"), ("nobody", day(1), "x")], "product_id string, ds date, note string")
+    got = fc.forecast_trend_seasonal_by_key(fc.fit_trend_seasonal_by_key(train), days).collect()
+    assert [(r["product_id"], r["note"]) for r in got] == [("a", "x")]
+    assert got[0]["yhat"] == pytest.approx(max(0.0, design.matrix([171], 169)[0] @ np.array(models["a"]["coefficients"])))
+
+
+def _tree_by_definition(bins, residual, s):
+    """Best-first growth over plain index sets."""
+    from shelfwise.operators import boosting as bo
+
+    leaves, out = [(0, 0, np.arange(len(residual)))], []
+
+    def split_of(rows):
+        return bo.best_split(bo.histogram(bins, rows, residual, s.bins), s)
+    while len(out) < s.leaves - 1:
+        able = [(*split_of(rows), no, depth, rows) for no, depth, rows in leaves if depth < s.max_depth]
+        able = [a for a in able if a[1] is not None]
+        if not able:
+            break
+        top = max(a[0] for a in able)
+        gain, (f, b), no, depth, rows = next(a for a in able if a[0] >= top * (1 - bo.TIE))
+        left = bins[f][rows] <= b
+        k = len(out)
+        out.append((no, f, b))
+        leaves = [x for x in leaves if x[0] != no] + [(2 * k + 1, depth + 1, rows[left]), (2 * k + 2, depth + 1, rows[~left])]
+    return out
+
+
+def test_boosted_trees_by_definition(spark):
+    """Exact trees grown over several blocks against growth over index sets, tree by tree, with the category among the columns."""
+    from shelfwise.operators import boosting as bo
+
+    rng = np.random.default_rng(3)
+    n = 1500
+    a, b, product = rng.integers(0, 40, n), rng.integers(0, 3, n) * 1.5, rng.integers(0, 30, n)
+    y = (a > 20) * 5.0 + b * (product % 3) + rng.integers(0, 3, n)
+    rows = spark.createDataFrame([(f"p{p}", float(i), float(j), float(v)) for p, i, j, v in zip(product, a, b, y, strict=True)],
+                                 "product string, a double, b double, y double")
+    s = bo.exact(trees=4, leaves=9, bins=16, block_rows=200)
+    model = bo.fit(rows, ["a", "b"], "product", "y", s)
+    residual, prediction = y - y.mean(), np.full(n, y.mean())
+    numeric = [np.searchsorted(e, x, "left") for e, x in zip(model.edges, (a, b), strict=True)]
+    assert len(model.trees) == 4 and len(model.edges[1]) == 2 and 10 < len(model.edges[0]) < 16
+    steps = {r["category"]: np.frombuffer(r["steps"], np.int16) for r in model.steps.collect()}
+    for k, tree in enumerate(model.trees):
+        sums = np.bincount(product, residual) / (np.bincount(product) + s.smooth)
+        step = bo.fine_step(sums)
+        assert all(steps[f"p{p}"][k] == step[p] for p in range(30))
+        bins = np.vstack([*numeric, np.searchsorted(tree.cuts, step, "left")[product]]).astype(np.uint8)
+        want = _tree_by_definition(bins, residual, s)
+        got = [(i, tree.feature[i], tree.bin[i]) for i in range(len(tree.feature)) if tree.feature[i] >= 0]
+        assert sorted(got) == sorted(want)
+        prediction = prediction + tree.predict(bins)
+        residual = y - prediction
+    out = {(r["product"], r["a"], r["b"]): r["prediction"] for r in model.transform(rows).collect()}
+    assert all(out[f"p{p}", float(i), float(j)] == pytest.approx(v) for p, i, j, v in zip(product, a, b, prediction, strict=True))
+    odd = spark.createDataFrame([("never seen", 3.0, 0.0), (None, None, None)], "product string, a double, b double")
+    assert all(math.isfinite(r["prediction"]) for r in model.transform(odd).collect())
+
+
+def test_proposed_trees_come_as_near(spark):
+    """With a few rounds a tree the error falls about as with exact trees."""
+    from shelfwise.operators import boosting as bo
+
+    rng = np.random.default_rng(9)
+    a, b, p = rng.random(2000) * 10, rng.random(2000), rng.integers(0, 8, 2000)
+    y = np.sin(a) * 4 + (b > 0.7) * 3 + p
+    rows = spark.createDataFrame([(str(k), float(i), float(j), float(v)) for k, i, j, v in zip(p, a, b, y, strict=True)],
+                                 "product string, a double, b double, y double")
+
+    def error(s):
+        return bo.fit(rows, ["a", "b"], "product", "y", s).transform(rows).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+    quick, slow, none = error(bo.Settings(trees=30)), error(bo.exact(trees=30)), np.abs(y - y.mean()).mean()
+    assert none - quick > 0.9 * (none - slow)

@@ -188,3 +188,50 @@ def test_svd_is_that_of_numpy(spark, m, n, k):
     assert np.abs(u @ v.T - (left[:, :rank] * s[:rank]) @ right[:rank]).max() < 1e-6 * s[0]
     assert np.abs(v.T @ v - np.eye(rank)).max() < 1e-8
     assert (np.abs(v).max(0) == v.max(0)).all()  # the largest entry of each column is positive
+
+
+def test_svd_beyond_the_width_of_its_block(spark):
+    """Shapes in which the iteration has to converge: the values, and what the factors multiply to, against NumPy."""
+    rng = np.random.default_rng(4)
+    a = (rng.random((90, 60)) < 0.15) * rng.integers(1, 6, (90, 60)).astype(float)
+    cells = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    matrix = spark.createDataFrame(cells, "visitor_ix long, item_ix long, weight double")
+    u, v = rec.truncated_svd(matrix, n_components=4, tolerance=1e-4)
+    left = np.zeros((90, 4))
+    for r in u.collect():
+        left[r["visitor_ix"]] = r["vec"]
+    right = np.zeros((60, 4))
+    for r in v.collect():
+        right[r["item_ix"]] = r["vec"]
+    sigma = np.linalg.svd(a, compute_uv=False)
+    assert np.sqrt((left ** 2).sum(0)) == pytest.approx(sigma[:4], rel=1e-4)
+    assert right.T @ right == pytest.approx(np.eye(4), abs=1e-9)
+    best = np.linalg.norm(a) ** 2 - (sigma[:4] ** 2).sum()
+    assert np.linalg.norm(a - left @ right.T) ** 2 == pytest.approx(best, rel=1e-4)
+    with pytest.raises(RuntimeError, match="not found"):
+        rec.truncated_svd(matrix, n_components=4, tolerance=1e-9, max_rounds=1)
+
+
+def test_search_looks_at_long_vectors_first(spark):
+    """Norms that fall off: most pairs of blocks are never scored, and the lists are those of all scores; ties by id."""
+    rng = np.random.default_rng(8)
+    items = rng.normal(size=(400, 6)) * (0.97 ** np.arange(400))[:, None]
+    items[200] = items[3]  # equal vectors
+    items[399] = 0.0
+    asked = rng.normal(size=(120, 6))
+    asked[5] = 0.0  # every score is 0: all items must be looked at
+    it = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_ix long, vec array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "visitor_ix long, vec array<double>")
+    skipped = []
+    got = rec.exact_top_k_inner_product(q, it, k=7, block_rows=50, skipped=skipped).collect()
+    scores = asked @ items.T
+    for i in range(120):
+        want = sorted(range(400), key=lambda j: (-scores[i, j], j))[:7]
+        mine = sorted((r for r in got if r["visitor_ix"] == i), key=lambda r: r["rank"])
+        assert [r["score"] for r in mine] == pytest.approx([scores[i, j] for j in want])
+        if i != 5:
+            assert [r["item_ix"] for r in mine] == want
+        else:
+            assert [r["item_ix"] for r in mine] == list(range(7))
+    pairs, left_out = skipped[0]
+    assert pairs == 3 * 8 and left_out > 6  # the block with the zero vector needs all
