@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from shelfwise.llm import textbytes as tb
-from shelfwise.session import materialize
+from shelfwise.llm.membership import Members, members
+from shelfwise.session import scratch_path
 
 #: Words that a winnowed place is chosen by.
 GRAM_WORDS = 8
@@ -92,18 +93,27 @@ class Winnowed:
         return self.hashes(self.at, self.at + self.min_words) if len(self.at) else np.zeros(0, np.uint64)
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder, in columns, and read from there."""
+    path = scratch_path(df.sparkSession, f"lines-{name}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def line_table(docs: DataFrame, min_words: int, only: Members | None = None) -> DataFrame:
     """``docs``: doc (long, not null), text. One row per group of windows: hash of its least gram, extent (hash of all words
-    of its windows), doc, number (of the group in its row)."""
+    of its windows), doc, number (of the group in its row). ``only``: hashes whose rows are wanted; a few others may come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in tb.pieces(batches):
             w = Winnowed(*tb.utf8(piece.column("text")), min_words)
             if len(w.lo):
-                extent = w.hashes(w.at[w.lo], w.at[w.hi] + min_words)
+                line = w.gram[w.place].view(np.int64)
+                at = np.arange(len(line)) if only is None else np.flatnonzero(only.may_have(line))
+                extent = w.hashes(w.at[w.lo[at]], w.at[w.hi[at]] + min_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.gram[w.place].view(np.int64)), pa.array(extent.view(np.int64)),
-                     piece.column("doc").take(pa.array(w.row)), pa.array(w.number)],
+                    [pa.array(line[at]), pa.array(extent.view(np.int64)),
+                     piece.column("doc").take(pa.array(w.row[at])), pa.array(w.number[at])],
                     names=["hash", "extent", "doc", "number"])
 
     return docs.select("doc", "text").mapInArrow(run, "hash long, extent long, doc long, number int")
@@ -131,8 +141,8 @@ def _window_table(docs: DataFrame, min_words: int) -> DataFrame:
 def _first_holders(rows: DataFrame, key: str) -> DataFrame:
     """``key``, owner: the first document of each key that several documents have. Written out, so that a join deals both
     sides anew and the rows of a very common key can be split over tasks."""
-    return materialize(rows.groupBy(key).agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-                       .where(F.col("last") > F.col("owner")).select(key, "owner"))
+    return _written(rows.groupBy(key).agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+                    .where(F.col("last") > F.col("owner")).select(key, "owner"), f"first-{key}")
 
 
 def nominate(docs: DataFrame, min_words: int) -> DataFrame:
@@ -144,13 +154,15 @@ def nominate(docs: DataFrame, min_words: int) -> DataFrame:
     that has a run) are looked up one by one. The first holder of a window is always among them: if an earlier
     document had the extent of its group, that one would hold the window too.
     """
-    lines = line_table(docs, min_words)
-    seen = materialize(lines.join(_first_holders(lines, "hash").drop("owner"), "hash").drop("hash"))
+    shared = _first_holders(line_table(docs.select("doc", "text"), min_words).select("hash", "doc"), "hash").drop("owner")
+    lines = line_table(docs, min_words, members(shared))
+    seen = _written(lines.join(shared, "hash").drop("hash"), "seen")
     whole = seen.join(_first_holders(seen, "extent"), "extent", "left")
-    whole = materialize(whole.withColumn("done", F.coalesce(F.col("owner") < F.col("doc"), F.lit(False))).drop("extent"))
-    left = whole.where(~F.col("done")).groupBy("doc").agg(F.collect_set("number").alias("numbers"))
-    texts = _packed(docs.where(F.col("text").isNotNull()))
-    windows = materialize(_window_table(texts.join(left, "doc"), min_words))
+    whole = _written(whole.withColumn("done", F.coalesce(F.col("owner") < F.col("doc"), F.lit(False))).drop("extent"), "whole")
+    open_ = whole.where(~F.col("done")).select("doc", "number")
+    left = open_.groupBy("doc").agg(F.collect_set("number").alias("numbers"))
+    texts = _packed(docs.where(F.col("text").isNotNull()), "doc", members(open_.select("doc")))
+    windows = _written(_window_table(texts.join(left, "doc"), min_words), "windows")
     held = windows.join(_first_holders(windows, "window"), "window").where(F.col("owner") < F.col("doc"))
     return whole.where("done").select("doc", "owner").unionByName(held.select("doc", "owner")).distinct()
 
@@ -245,14 +257,21 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return out if any(kept) else out.lstrip(b" \t\r\n\x0b\x0c")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``docs`` (any columns and text) with the text compressed in column packed; a null text stays null."""
+def _split(batches: Iterator[pa.RecordBatch], key: str, only: Members, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose key may be a member (inside), or the others."""
+    for batch in batches:
+        yield batch.filter(pa.array(only.may_have(batch.column(key).to_numpy()) == inside))
+
+
+def _packed(docs: DataFrame, key: str, only: Members) -> DataFrame:
+    """``docs`` (any columns and text) with the text compressed in column packed, those whose key may be a member; a null
+    text stays null."""
     fields = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*fields, StructField("packed", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
-        for piece in tb.pieces(batches, max_bytes=4 << 20):
+        press = zstandard.ZstdCompressor(level=3).compress
+        for piece in tb.pieces(_split(batches, key, only, True), max_bytes=4 << 20):
             texts = piece.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [*(piece.column(f.name) for f in fields),
@@ -280,21 +299,25 @@ def delete_repeats(docs: DataFrame, min_words: int = 25, rare: int = 50, doc_id:
     docs = docs.drop("deleted_spans", "deleted_words")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
     keyed = docs.select(key.alias("doc"), "text")
-    pairs = nominate(keyed, min_words)
+    pairs = _written(nominate(keyed, min_words), "pairs")
+    with_pairs = members(pairs.select("doc"))
     # the text of the earlier document of each pair goes to the later one
-    owners = _packed(keyed).withColumnRenamed("doc", "owner")
+    owners = _packed(keyed, "doc", members(pairs.select("owner"))).withColumnRenamed("doc", "owner")
     sent = pairs.join(owners, "owner").select("doc", F.lit(1).alias("kind"), "packed")
     rest = [c for c in docs.columns if c != "text"]
-    own = _packed(docs.select(key.alias("__doc"), *[F.col(f"`{c}`") for c in rest], "text"))
-    own = own.select(F.col("__doc").alias("doc"), F.lit(0).alias("kind"), "packed", F.struct(*[F.col(f"`{c}`") for c in rest])
-                     .alias("rest"))
+    rows = docs.select(key.alias("__doc"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
+    own = _packed(rows, "__doc", with_pairs).select(F.col("__doc").alias("doc"), F.lit(0).alias("kind"), "packed", "rest")
     both = own.unionByName(sent, allowMissingColumns=True)
     # the earlier texts of a document arrive before its own rows, one at a time
     lined_up = both.repartition("doc").sortWithinPartitions("doc", F.col("kind").desc())
-    schema = StructType([StructField("rest", own.schema["rest"].dataType, True), StructField("text", StringType()),
+    schema = StructType([StructField("rest", rows.schema["rest"].dataType, True), StructField("text", StringType()),
                          StructField("deleted_spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))),
                          StructField("deleted_words", LongType())])
-    done = lined_up.mapInArrow(_align(min_words), schema)
+    # documents without a pair stay where they are
+    alone = rows.mapInArrow(lambda batches: _split(batches, "__doc", with_pairs, False), rows.schema)
+    alone = alone.select("rest", "text", F.array().cast(schema["deleted_spans"].dataType).alias("deleted_spans"),
+                         F.lit(0).cast("long").alias("deleted_words"))
+    done = lined_up.mapInArrow(_align(min_words), schema).unionByName(alone)
     columns = [F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return done.select(*columns, "deleted_spans", "deleted_words")
 
