@@ -6,7 +6,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import extras, kpi, quality
+from shelfwise.functions.numeric import round_half_up
+from shelfwise.operators import extras, kpi, quality, sketches, star, temporal
 from shelfwise.operators import forecast as fc
 from shelfwise.operators import recommend as rec
 from shelfwise.plans.catalog import register
@@ -112,3 +113,35 @@ def q_risk_by_product(spark, sf_dir):
     wh = Warehouse(spark, sf_dir, reuse=True)
     risk = kpi.inventory_risk(wh.fact_inventory, wh.dim_product, wh.sales, limit=None, exact=True)
     return risk.withColumn("risk", kpi.stock_risk_label(F.col("days_of_stock_estimated")))
+
+
+@register("d1_overlapping_promotions")
+def q_overlapping_promotions(spark, sf_dir):
+    """Sales with the best of several promotions that run at their time: each drawn one, one that begins three days later with
+    half the discount, and one that begins six days later with a fifth more."""
+    wh = Warehouse(spark, sf_dir, reuse=True)
+    draws = star.promotion_draws(wh.dim_product.select("product_id"), wh.sales)
+    shifts = F.array(*[F.struct(F.lit(days).alias("days"), F.lit(times).alias("times"), F.lit(name).alias("name"))
+                       for days, times, name in ((0, 1.0, "a"), (3, 0.5, "b"), (6, 1.2, "c"))])
+    later = F.make_interval(days=F.col("s.days"))
+    windows = draws.withColumn("s", F.explode(shifts)).select(
+        "product_id", (F.col("start_date") + later).alias("start_date"), (F.col("end_date") + later).alias("end_date"),
+        round_half_up(F.col("discount_percentage") * F.col("s.times"), 4).alias("promotion_discount"),
+        F.concat("product_id", F.lit(":"), F.col("s.name")).alias("promotion"))
+    sales = wh.sales.select("order_id", "product_id", "invoice_date", "quantity", "unit_price")
+    return temporal.best_window(sales, windows, "product_id", "invoice_date", "promotion_discount", "promotion")
+
+
+@register("k1_monthly_from_daily_sketches")
+def q_monthly_sketches(spark, sf_dir):
+    """Monthly lines and units, added up from daily rows, and whether the distinct orders and products estimated from the
+    days' sketches lie within three standard errors of the exact counts."""
+    facts = Warehouse(spark, sf_dir).fact_sales.select("date_id", "quantity", "order_id", "product_id")
+    keys = ["order_id", "product_id"]
+    months = sketches.rolled_up(sketches.daily(facts, F.col("date_id"), ["quantity"], keys),
+                                F.floor(F.col("day") / 100).cast("int"), "year_month", ["quantity"], keys)
+    exact = facts.groupBy(F.floor(F.col("date_id") / 100).cast("int").alias("year_month")).agg(
+        *[F.count_distinct(F.col(c)).alias(c) for c in keys])
+    near = [(F.abs(F.col(f"{c}_distinct") - F.col(c)) <= F.greatest(F.lit(1.0), 3 * sketches.STANDARD_ERROR * F.col(c)))
+            .alias(f"{c}_within") for c in keys]
+    return months.join(exact, "year_month").select("year_month", "n", "quantity", *near)

@@ -53,3 +53,17 @@ FROM fact_web_events GROUP BY visitor_id, session_id""")
 oracle("e5_event_type_counts", "SELECT event_type, count(*) AS n FROM fact_web_events GROUP BY event_type")
 oracle("e6_item_categories", "SELECT * FROM item_categories")
 oracle("c11_interactions", "SELECT * FROM interactions")
+
+oracle("e6_category_as_of", """
+SELECT e.visitor_id, e.item_id, e.event_type, e.event_time, p.value AS category_id
+FROM mapped_events e ASOF LEFT JOIN (
+  SELECT CAST(itemid AS VARCHAR) AS item_id, make_timestamp("timestamp" * 1000) AS said_at, max(value) AS value
+  FROM item_props WHERE property = 'categoryid' GROUP BY itemid, "timestamp") p
+ON e.item_id = p.item_id AND e.event_time >= p.said_at""")
+
+oracle("c11_interactions_strict", """
+SELECT visitor_id, item_id, event_type, event_time,
+       CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'add_to_cart' THEN 3 WHEN 'purchase' THEN 5 END AS DOUBLE) AS weight
+FROM mapped_events
+WHERE visitor_id IN (SELECT visitor_id FROM mapped_events GROUP BY visitor_id HAVING count(*) >= 40)
+  AND item_id IN (SELECT item_id FROM mapped_events GROUP BY item_id HAVING count(*) >= 60)""")

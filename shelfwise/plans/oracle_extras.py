@@ -161,3 +161,19 @@ SELECT *, CASE WHEN days_of_stock_estimated IS NULL THEN 'good'
                WHEN days_of_stock_estimated < 7 THEN 'serious'
                WHEN days_of_stock_estimated < 14 THEN 'warning' ELSE 'good' END AS risk
 FROM ({_K3_EXACT})""")
+
+oracle("d1_overlapping_promotions", f"""
+SELECT s.order_id, s.product_id, s.invoice_date, s.quantity, s.unit_price, max(w.d) AS promotion_discount,
+       arg_min(w.name, (-w.d, w.name)) AS promotion
+FROM (SELECT row_number() OVER () AS rid, * FROM sales) s
+LEFT JOIN (
+  SELECT product_id, start_date + to_days(v.days) AS lo, end_date + to_days(v.days) AS hi, product_id || ':' || v.name AS name,
+         {R('discount_percentage * v.times', 4)} AS d
+  FROM dim_promotion, (VALUES (0, 1.0::DOUBLE, 'a'), (3, 0.5::DOUBLE, 'b'), (6, 1.2::DOUBLE, 'c')) AS v(days, times, name)) w
+ON s.product_id = w.product_id AND s.invoice_date BETWEEN w.lo AND w.hi
+GROUP BY s.rid, s.order_id, s.product_id, s.invoice_date, s.quantity, s.unit_price""")
+
+oracle("k1_monthly_from_daily_sketches", """
+SELECT date_id // 100 AS year_month, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, true AS order_id_within,
+       true AS product_id_within
+FROM fact_sales GROUP BY 1""")
