@@ -28,6 +28,11 @@ from shelfwise.session import scratch_path
 #: Words that a winnowed place is chosen by.
 GRAM_WORDS = 8
 
+#: Text bytes whose word arrays a task holds at once, and rows that it hands on at once.
+_PIECE_BYTES = tb.PIECE_BYTES // 2
+_ROWS = 1000
+
+_SPACE = b" \t\r\n\x0b\x0c"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -56,7 +61,7 @@ class Winnowed:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, min_words: int) -> None:
         self.starts, self.ends = starts, ends = tb.spans(~tb.SPACE[raw], offsets)
         self.min_words, n = min_words, len(starts)
-        self.at = self.lo = self.hi = self.place = np.zeros(0, np.int64)
+        self.at = self.lo = self.hi = self.place = self.row = np.zeros(0, np.int64)
         self.gram = np.zeros(0, np.uint64)
         row = np.searchsorted(offsets, starts, "right")
         if n < min_words:
@@ -100,12 +105,25 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """``docs``: doc (long, not null), text. hash, doc: the least gram of every group of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in tb.pieces(batches, max_bytes=_PIECE_BYTES):
+            w = Winnowed(*tb.utf8(piece.column("text")), min_words)
+            if len(w.lo):
+                yield pa.RecordBatch.from_arrays([pa.array(w.gram[w.place].view(np.int64)), piece.column("doc").take(pa.array(w.row))],
+                                                 names=["hash", "doc"])
+
+    return docs.select("doc", "text").mapInArrow(run, "hash long, doc long")
+
+
 def line_table(docs: DataFrame, min_words: int, only: Members | None = None) -> DataFrame:
     """``docs``: doc (long, not null), text. One row per group of windows: hash of its least gram, extent (hash of all words
     of its windows), doc, number (of the group in its row). ``only``: hashes whose rows are wanted; a few others may come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in tb.pieces(batches):
+        for piece in tb.pieces(batches, max_bytes=_PIECE_BYTES):
             w = Winnowed(*tb.utf8(piece.column("text")), min_words)
             if len(w.lo):
                 line = w.gram[w.place].view(np.int64)
@@ -122,18 +140,34 @@ def line_table(docs: DataFrame, min_words: int, only: Members | None = None) ->
 def _window_table(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs``: doc, packed, numbers (of groups). One row per distinct window of these groups: window (hash), doc."""
 
+    def found(texts: list[bytes], numbers: list[np.ndarray], doc: list[int]) -> pa.RecordBatch:
+        w, _, group, _ = _winnowed(texts, min_words)
+        wanted = np.zeros(len(w.lo), bool)
+        for i, mine in enumerate(numbers):
+            mine = mine + group[i]
+            wanted[mine[mine < group[i + 1]]] = True  # another row of the same document may have more groups
+        each = np.repeat(wanted, w.hi - w.lo + 1)
+        window, row = w.windows()[each], np.repeat(w.row, w.hi - w.lo + 1)[each]
+        order = np.lexsort((window, row))
+        window, row = window[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (window[1:] != window[:-1]) | (row[1:] != row[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(window[new].view(np.int64)), pa.array(np.array(doc, np.int64)[row[new]])],
+                                          names=["window", "doc"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: tuple[list, list, list] = ([], [], [])
             for i in range(batch.num_rows):
-                text = _open(batch.column("packed")[i].as_py())
-                w = Winnowed(np.frombuffer(text, np.uint8), np.array([0, len(text)]), min_words)
-                wanted = np.zeros(len(w.lo), bool)
-                numbers = batch.column("numbers")[i].values.to_numpy()
-                wanted[numbers[numbers < len(wanted)]] = True  # another row of the same document may have more groups
-                found = np.unique(w.windows()[np.repeat(wanted, w.hi - w.lo + 1)])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)),
-                                                  pa.array(np.full(len(found), batch.column("doc")[i].as_py()))],
-                                                 names=["window", "doc"])
+                row = (_open(batch.column("packed")[i].as_py()), batch.column("numbers")[i].values.to_numpy(),
+                       batch.column("doc")[i].as_py())
+                for x, y in zip(held, row, strict=True):
+                    x.append(y)
+                if sum(map(len, held[0])) >= _PIECE_BYTES:
+                    yield found(*held)
+                    held = ([], [], [])
+            if held[0]:
+                yield found(*held)
 
     return docs.select("doc", "packed", "numbers").mapInArrow(run, "window long, doc long")
 
@@ -154,7 +188,7 @@ def nominate(docs: DataFrame, min_words: int) -> DataFrame:
     that has a run) are looked up one by one. The first holder of a window is always among them: if an earlier
     document had the extent of its group, that one would hold the window too.
     """
-    shared = _first_holders(line_table(docs.select("doc", "text"), min_words).select("hash", "doc"), "hash").drop("owner")
+    shared = _first_holders(lines_of(docs, min_words), "hash").drop("owner")
     lines = line_table(docs, min_words, members(shared))
     seen = _written(lines.join(shared, "hash").drop("hash"), "seen")
     whole = seen.join(_first_holders(seen, "extent"), "extent", "left")
@@ -167,17 +201,40 @@ def nominate(docs: DataFrame, min_words: int) -> DataFrame:
     return whole.where("done").select("doc", "owner").unionByName(held.select("doc", "owner")).distinct()
 
 
+def _winnowed(texts: list[bytes], min_words: int) -> tuple[Winnowed, np.ndarray, np.ndarray, np.ndarray]:
+    """(the winnowed words of all texts together; the offset of each text, its first group and its first window, each with
+    one more entry than texts)."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    w = Winnowed(raw, offsets, min_words)
+    group = np.searchsorted(w.row, np.arange(len(texts) + 1))
+    return w, offsets, group, np.searchsorted(w.at, tb.rows_of(w.starts, offsets))
+
+
 class _Lines:
     """A text cut into words and chosen grams, as patience diff wants it."""
 
     def __init__(self, text: bytes, min_words: int = 25) -> None:
-        raw = np.frombuffer(text, np.uint8)
-        w = Winnowed(raw, np.array([0, len(raw)]), min_words)
-        self.text, self.words = text, text.split()
-        self.start, self.end, self.winnowed = w.starts, w.ends, w
-        place = np.unique(w.place)
-        self.first = place.tolist()  # the first word of every chosen gram
-        self.windows = w.windows()
+        self._take(text, *_winnowed([text], min_words), 0, None)
+
+    @classmethod
+    def of(cls, texts: list[bytes], min_words: int) -> list[_Lines]:
+        """All texts at once, which takes about as many array operations as one."""
+        whole = _winnowed(texts, min_words)
+        hashes, out = whole[0].windows(), []
+        for i, text in enumerate(texts):
+            out.append(cls.__new__(cls))
+            out[-1]._take(text, *whole, i, hashes)
+        return out
+
+    def _take(self, text: bytes, w: Winnowed, offsets: np.ndarray, group: np.ndarray, window: np.ndarray, i: int,
+              hashes: np.ndarray | None) -> None:
+        a, b = np.searchsorted(w.starts, offsets[i:i + 2])
+        self.text, self.words, self.min_words = text, text.split(), w.min_words
+        self.start, self.end = w.starts[a:b] - offsets[i], w.ends[a:b] - offsets[i]
+        place = np.unique(w.place[group[i]:group[i + 1]])
+        self.first = (place - a).tolist()  # the first word of every chosen gram
+        self.windows = (w.windows() if hashes is None else hashes)[window[i]:window[i + 1]]
         line, at, counts = np.unique(w.gram[place], return_index=True, return_counts=True)
         self.once = dict(zip(line[counts == 1].tolist(), at[counts == 1].tolist(), strict=True))
 
@@ -211,9 +268,9 @@ def common_blocks(later: _Lines, earlier: _Lines) -> list[tuple[int, int, int]]:
     such block has is looked up among all windows of earlier, and runs of those found are blocks too: repeated grams and
     blocks in another order have no anchor. So the blocks have every common run of min_words words."""
     x, y = later.words, earlier.words
-    size = later.winnowed.min_words
+    size = later.min_words
     blocks = []
-    open_ = np.ones(len(later.winnowed.at), bool)  # windows of later without a block
+    open_ = np.ones(len(later.windows), bool)  # windows of later without a block
     done_a = done_b = 0  # words before these belong to blocks that are finished
     for i, j in _anchors(later, earlier):
         a, b = end_a, end_b = later.first[i], earlier.first[j]
@@ -250,11 +307,11 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the spans and without the white space before each; what is left is otherwise as it was."""
     kept, at = [], 0
     for a, b in spans:
-        kept.append(text[at:a].rstrip(b" \t\r\n\x0b\x0c"))
+        kept.append(text[at:a].rstrip(_SPACE))
         at = b
     rest = text[at:]
     out = b"".join(kept) + rest
-    return out if any(kept) else out.lstrip(b" \t\r\n\x0b\x0c")
+    return out if any(kept) else out.lstrip(_SPACE)
 
 
 def _split(batches: Iterator[pa.RecordBatch], key: str, only: Members, inside: bool) -> Iterator[pa.RecordBatch]:
@@ -322,14 +379,34 @@ def delete_repeats(docs: DataFrame, min_words: int = 25, rare: int = 50, doc_id:
     return done.select(*columns, "deleted_spans", "deleted_words")
 
 
+def _common(work: list[tuple[bytes, list[bytes]]], min_words: int) -> list[list[tuple[int, int]]]:
+    """For each (text, earlier texts) the spans of the text that an earlier one has."""
+    lines = iter(_Lines.of([t for later, earlier in work for t in (later, *earlier)], min_words))
+    out = []
+    for _, earlier in work:
+        later = next(lines)
+        out.append([(a, b) for _ in earlier for a, b, n in common_blocks(later, next(lines)) if n >= min_words])
+    return out
+
+
 def _align(min_words: int):
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, earlier = None, []
-        for batch in batches:
+        for batch in (b.slice(k, _ROWS) for b in batches for k in range(0, b.num_rows, _ROWS)):
             docs, kinds, packed = (batch.column(c).to_pylist() for c in ("doc", "kind", "packed"))
-            own, texts, spans, words = [], [], [], []
+            own, texts, found = [], [], []  # rows of the batch, their texts, and the spans that go
+            work, which, size = [], [], 0  # texts to compare with earlier ones, and whose they are
+
+            def compare() -> None:
+                nonlocal size
+                for k, spans in zip(which, _common(work, min_words) if work else [], strict=True):  # noqa: B023
+                    found[k] += spans  # noqa: B023
+                work.clear()  # noqa: B023
+                which.clear()  # noqa: B023
+                size = 0
+
             for i in range(batch.num_rows):
                 if docs[i] != doc:
                     doc, earlier = docs[i], []
@@ -337,20 +414,36 @@ def _align(min_words: int):
                     if packed[i] is not None:
                         earlier.append(packed[i])
                     continue
+                text = None if packed[i] is None else _open(packed[i])
                 own.append(i)
-                if packed[i] is None or not earlier:
-                    texts.append(None if packed[i] is None else _open(packed[i]))
-                    spans.append([])
-                    words.append(0)
+                texts.append(text)
+                found.append([])
+                if text is None or not earlier:
+                    continue
+                if packed[i] in earlier and len(text.split()) >= min_words:  # an exact copy, compressed alike
+                    found[-1].append((len(text) - len(text.lstrip(_SPACE)), len(text.rstrip(_SPACE))))
                     continue
-                text = _open(packed[i])
-                later = _Lines(text, min_words)
-                found = _merged([(a, b) for other in earlier for a, b, n in common_blocks(later, _Lines(_open(other), min_words))
-                                 if n >= min_words])
-                texts.append(without(text, found) if found else text)
-                spans.append([{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in found])
-                words.append(sum(len(text[a:b].split()) for a, b in found))
+                others: list[bytes] = []
+                for other in earlier:  # very many earlier texts come in parts
+                    others.append(_open(other))
+                    size += len(others[-1])
+                    if size + len(text) >= _PIECE_BYTES:
+                        work.append((text, others))
+                        which.append(len(own) - 1)
+                        compare()
+                        others = []
+                if others:
+                    work.append((text, others))
+                    which.append(len(own) - 1)
+                    size += len(text)
+            compare()
             if own:
+                spans, words = [], []
+                for k, text in enumerate(texts):
+                    gone = _merged(found[k])
+                    spans.append([{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in gone])
+                    words.append(sum(len(text[a:b].split()) for a, b in gone))
+                    texts[k] = without(text, gone) if gone else text
                 kept = batch.column("rest").take(pa.array(own))
                 yield pa.RecordBatch.from_arrays(
                     [kept, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(span)),
