@@ -119,8 +119,9 @@ def _sample(docs: DataFrame, settings: Settings) -> list:
                  pa.array([x[a] for x, a in zip(c, at, strict=True)], pa.list_(pa.float32()))],
                 names=["doc_id", "lang", "codes", "counts"])
 
-    # the sample is bounded by the settings and the number of languages
-    chosen = docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    # the sample is bounded by the settings and the number of languages: of rows that share both, the text with the least hash
+    chosen = (docs.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
+              .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     return chosen.mapInArrow(run, "doc_id long, lang string, codes array<int>, counts array<float>").collect()
 
 

@@ -140,7 +140,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(settings.per_label).unionByName(
         known.where("toxic = 0").orderBy(*order).limit(settings.per_label))
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # rows that share an id are one document of the sample: the row whose text has the least hash
+    text = text.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
     return text.mapInArrow(_sample_windows(settings), "toxic int, windows array<binary>")
 
 

@@ -210,3 +210,14 @@ def test_quality_threshold_is_the_plain_quantile_of_the_language(spark):
             assert log(r["threshold"]) == pytest.approx(limit, abs=quality_lm.BIN)  # whatever the length
             assert r["keep"] or log(r["perplexity"]) > limit - quality_lm.BIN
     assert langs
+
+
+def test_samples_are_bounded_by_rows_too(spark):
+    """One id on very many rows is one document of a sample, the same one whatever the order."""
+    rows = [(1, f"der Text Nummer {i}", "de") for i in range(300)] + [(2, "the text", "en"), (2, None, "en"), (3, "nur einer", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid._sample(docs, langid.Settings(per_language=2))
+    assert sorted((r["doc_id"], r["lang"]) for r in sample) == [(1, "de"), (2, "en"), (3, "de")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id long, toxic int")
+    first, again = (toxicity.training_sample(d, labels, toxicity.Settings()).collect() for d in (docs, docs.orderBy("text").repartition(3)))
+    assert sorted(map(repr, first)) == sorted(map(repr, again)) and len(first) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (1, 2, 3))
