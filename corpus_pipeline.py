@@ -19,12 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: later documents lose the blocks that earlier ones have; n_chars follows the text. Every row stays, a
-    document without anything of its own with an empty text."""
-    out = linededup.delete_repeats(docs)
+    document without anything of its own with an empty text. Columns of ``docs`` with the name of a result of the operator
+    stay as they are."""
+    aside = {c: f"__own_{c}" for c in ("deleted_spans", "deleted_words") if c in docs.columns}
+    out = linededup.delete_repeats(docs.withColumnsRenamed(aside))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("deleted_spans") > 0, F.length("text").cast("long"))
                              .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.drop("deleted_spans", "deleted_words").withColumnsRenamed({own: c for c, own in aside.items()})
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
