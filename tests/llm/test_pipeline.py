@@ -38,3 +38,13 @@ def test_run_hands_each_result_on(spark, monkeypatch):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     assert seen == [("even", 200, SF_SMALL, columns), ("third", 100, SF_SMALL, columns)]
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == list(range(0, 200, 6))
+
+
+def test_line_dedup_leaves_columns_of_its_own_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 7, "mine"), (2, text, 7, "mine"), (3, None, None, None)],
+                                 "doc_id long, text string, deleted_words int, deleted_spans string")
+    got = {r["doc_id"]: r for r in cp.delete_repeated_lines(spark, docs, SF_SMALL).collect()}
+    assert cp.delete_repeated_lines(spark, docs, SF_SMALL).schema.simpleString() == docs.schema.simpleString()
+    assert got[2]["text"] == "" and got[1]["text"] == text and got[3]["text"] is None
+    assert [(got[i]["deleted_words"], got[i]["deleted_spans"]) for i in (1, 2, 3)] == [(7, "mine"), (7, "mine"), (None, None)]
