@@ -82,9 +82,10 @@ def grouped_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Exact (interpolated) median of ``value`` by ``key`` without gathering a
     group's values in one task: values are first counted per (key, value)
     with a map-side partial aggregate, then the two middle values are located
-    by a running count over the (much smaller) distinct values of the key."""
-    freq = (df.where(F.col(value).isNotNull())
-            .groupBy(key, value).agg(F.count(F.lit(1)).alias("_c")))
+    by a running count over the (much smaller) distinct values of the key. A
+    key without any value has a NULL median."""
+    # a NULL value counts nothing; a filter instead would make another plan of ``df``, which its other readers could not share
+    freq = df.groupBy(key, value).agg(F.count(value).alias("_c"))
     w_run = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     freq = (freq.withColumn("_cum", F.sum("_c").over(w_run))
             .withColumn("_n", F.sum("_c").over(Window.partitionBy(key))))
@@ -107,7 +108,10 @@ def build_dim_product(sales: DataFrame) -> DataFrame:
     )
     med = grouped_median(sales, "product_id", "unit_price", "base_price")
     ratio = uniform_between(*COST_MARGIN_RANGE, "product_id", tag="cost")
-    return (firsts.join(med, "product_id", "left")
+    med = med.withColumnRenamed("product_id", "_mp")
+    # both sides have every product; an equality that NULLs satisfy lets no filter reach ``sales`` on one side only, so that
+    # both read the same shuffled lines
+    return (firsts.join(med, F.col("product_id").eqNullSafe(F.col("_mp")), "left")
             .select("product_id", "product_name", "base_price", "current_price",
                     round_half_up(F.col("base_price") * (1 - ratio), 2).alias("cost_price")))
 

@@ -9,12 +9,12 @@ from shelfwise.functions.numeric import round_half_up
 from shelfwise.operators import clean, pricing
 from shelfwise.plans.catalog import register
 from shelfwise.plans.warehouse import Warehouse
-from shelfwise.session import materialize
+from shelfwise.session import materialize, written
 
 
 def _history(wh: Warehouse):
     """Read twice (elasticity and mean demand), so written once."""
-    return materialize(pricing.price_history(wh.fact_sales, wh.dim_date))
+    return written(pricing.price_history(wh.fact_sales, wh.dim_date))
 
 
 def _r6(*cols):

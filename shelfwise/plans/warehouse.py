@@ -5,7 +5,7 @@ it needs, and no other. With ``reuse=False`` nothing but the promotion ids (B4)
 and event ids (E4) runs a job while the plan is built. With ``reuse=True``, for
 queries that read an intermediate several times, the cleaned sales, the
 products and the product side of the sales are written once to the shared
-checkpoint folder and read from there.
+checkpoint folder (as Parquet) and read from there.
 """
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import clean, events, star
-from shelfwise.session import apply_base_conf, ensure_checkpoint_dir, materialize
+from shelfwise.session import apply_base_conf, ensure_checkpoint_dir, written
 from shelfwise.sources import adapters
 
 
@@ -28,7 +28,7 @@ class Warehouse:
         ensure_checkpoint_dir(spark)
 
     def _shared(self, df: DataFrame) -> DataFrame:
-        return materialize(df) if self.reuse else df
+        return written(df, "warehouse") if self.reuse else df
 
     def table(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)

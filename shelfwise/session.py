@@ -96,3 +96,13 @@ def materialize(df):
     survives executor loss (a reliable checkpoint, never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str = "table"):
+    """Like :func:`materialize`, but as Parquet files in the shared folder: compressed, and a reader takes the columns that it
+    needs. For tables of plain columns that are large or read several times. The layout of ``df`` is not kept; where it
+    matters (positions, blocks) a checkpoint does."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -38,9 +38,11 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     # nation (25 rows) is a fixed-size dimension: broadcast is size-safe.
     cust_country = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey)
-    lines = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-             .join(part, li.l_partkey == part.p_partkey)
-             .join(cust_country, orders.o_custkey == cust_country.c_custkey, "left"))
+    # An order gets its customer before its lines do: orders are fewer and narrower than lines, which then move twice, the
+    # second time for the wide product name.
+    placed = orders.join(cust_country.select("c_custkey", "n_name"), orders.o_custkey == cust_country.c_custkey, "left")
+    lines = (li.join(placed.drop("c_custkey"), li.l_orderkey == placed.o_orderkey)
+             .join(part, li.l_partkey == part.p_partkey))
     return lines.select(
         F.concat(F.when(F.col("l_returnflag") == "R", F.lit("C")).otherwise(F.lit("")),
                  F.col("l_orderkey").cast("string")).alias("Invoice"),

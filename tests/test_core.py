@@ -213,3 +213,39 @@ def test_sinks_roundtrip(spark, tmp_path):
     assert spark.read.parquet(paths["fact_sales"]).count() == wh.fact_sales.count()
     assert dict(spark.read.parquet(paths["dim_product"]).dtypes)["cost_price"] == "decimal(12,2)"
     assert sinks.check_lake(spark, base).first()["objects"] > 0
+
+
+def _executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_products_read_the_lines_once(spark):
+    """First names, last prices and medians share one shuffled set of lines, also where no table is small enough to be sent."""
+    from shelfwise.plans.catalog import queries
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _executed(queries()["b2_dim_product"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("lineitem.parquet" in line for line in plan.splitlines()) == 1
+
+
+def test_products_without_a_price_or_an_id(spark):
+    from shelfwise.operators.star import build_dim_product, grouped_median
+    at = dt.datetime(2022, 1, 1)
+    rows = [("a", "n", None, at, "1"), (None, "x", 2.0, at, "1"), (None, "x", 3.0, at, "2"), ("b", "m", 4.0, at, "1")]
+    sales = spark.createDataFrame(rows, "product_id string, product_name string, unit_price double, invoice_date timestamp, order_id string")
+    got = {r["product_id"]: r["base_price"] for r in build_dim_product(sales).collect()}
+    assert got == {"a": None, None: 2.5, "b": 4.0}
+    assert {r["product_id"]: r["m"] for r in grouped_median(sales, "product_id", "unit_price", "m").collect()} == got
+
+
+def test_shared_tables_are_columns_on_disk(spark):
+    """A table that is read several times is written as files whose columns can be taken singly, with the same rows."""
+    from shelfwise.plans.warehouse import Warehouse
+    sales = Warehouse(spark, SF_SMALL, reuse=True).sales
+    assert sales.inputFiles() and all(f.endswith(".parquet") for f in sales.inputFiles())
+    plain = Warehouse(spark, SF_SMALL).sales
+    assert sales.columns == plain.columns and sales.count() == plain.count() and not sales.exceptAll(plain).count()
