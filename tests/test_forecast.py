@@ -234,3 +234,14 @@ def test_proposed_trees_come_as_near(spark):
         return bo.fit(rows, ["a", "b"], "product", "y", s).transform(rows).agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
     quick, slow, none = error(bo.Settings(trees=30)), error(bo.exact(trees=30)), np.abs(y - y.mean()).mean()
     assert none - quick > 0.9 * (none - slow)
+
+
+def test_days_are_filled_without_a_join(spark):
+    """One window finds the missing days; a day that is there twice stays twice, a null day adds none."""
+    rows = [("a", day(4), 3.0), ("a", day(1), None), ("a", day(4), 5.0), ("a", None, 9.0), ("b", day(2), 1.0)]
+    out = fc.fill_missing_dates(spark.createDataFrame(rows, PANEL), group_col="product_id")
+    got = sorted((r["product_id"], r["ds"], r["y"]) for r in out.collect())
+    assert got == [("a", day(1), 0.0), ("a", day(2), 0.0), ("a", day(3), 0.0), ("a", day(4), 3.0), ("a", day(4), 5.0), ("b", day(2), 1.0)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    total = fc.fill_missing_dates(spark.createDataFrame([(day(0), 2), (day(2), 4)], "ds date, y long"))
+    assert sorted((r["ds"], r["y"]) for r in total.collect()) == [(day(0), 2.0), (day(1), 0.0), (day(2), 4.0)]
