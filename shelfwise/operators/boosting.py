@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.positions import value_ranks
-from shelfwise.session import ensure_checkpoint_dir, materialize
+from shelfwise.session import ensure_checkpoint_dir, materialize, written
 
 #: Steps of the category scale for one doubling, and steps on each side of zero.
 _FINE_PER_DOUBLING, _FINE_SIDE = 16, 512
@@ -147,15 +148,47 @@ class Block:
         return dataclasses.replace(self, yhat=yhat, past=[*self.past, step])
 
 
-def histogram(bins: np.ndarray, rows: np.ndarray | None, residual: np.ndarray, width: int) -> np.ndarray:
-    """2 x features x width: sums of residuals and counts."""
+#: Most cells of a joint count of features, and how many rows a cell must stand for so that it pays.
+_JOINT_CELLS, _ROWS_PER_CELL = 1 << 13, 2
+
+
+def joint_features(widths: Sequence[int]) -> list[list[int]]:
+    """Neighbouring features that are counted together: one pass over the rows then serves all of a group."""
+    groups: list[list[int]] = []
+    cells = 0
+    for f, width in enumerate(widths):
+        if groups and cells * width <= _JOINT_CELLS:
+            groups[-1].append(f)
+            cells *= width
+        else:
+            groups.append([f])
+            cells = width
+    return groups
+
+
+def histogram(bins: np.ndarray, rows: np.ndarray | None, residual: np.ndarray, width: int,
+              widths: Sequence[int] | None = None) -> np.ndarray:
+    """2 x features x width: sums of residuals and counts. ``widths``: numbers of bins of the features where they are known;
+    several features are then counted by their bins together, if the rows are many, and the sums of each are read off that."""
     out = np.zeros((2, len(bins), width))
     if rows is not None:
         residual = residual[rows]
-    for f, of_feature in enumerate(bins):
-        b = of_feature if rows is None else of_feature[rows]
-        out[0, f] = np.bincount(b, residual, width)[:width]
-        out[1, f] = np.bincount(b, minlength=width)[:width]
+    for group in joint_features(widths) if widths else [[f] for f in range(len(bins))]:
+        shape = [widths[f] for f in group] if widths else [width]
+        cells = math.prod(shape)
+        if len(group) == 1 or cells * _ROWS_PER_CELL > len(residual):
+            for f in group:
+                b = (bins[f] if rows is None else bins[f][rows]).astype(np.intp)
+                out[0, f] = np.bincount(b, residual, width)[:width]
+                out[1, f] = np.bincount(b, minlength=width)[:width]
+            continue
+        code = np.zeros(len(residual), np.intp)
+        for f in group:
+            code *= widths[f]
+            code += bins[f] if rows is None else bins[f][rows]
+        both = np.stack([np.bincount(code, residual, cells), np.bincount(code, minlength=cells)]).reshape(2, *shape)
+        for i, f in enumerate(group):
+            out[:, f, :widths[f]] = both.sum(tuple(k for k in range(1, len(group) + 1) if k != i + 1))
     return out
 
 
@@ -278,15 +311,15 @@ def proposed(tree: Tree, node: int = 0, depth: int = 0) -> _Leaf:
     return _Leaf(depth, ((tree.feature[node], tree.bin[node]), children))
 
 
-def leaf_histograms(block: Block, tree: Tree, s: Settings) -> np.ndarray:
-    """Sums and counts of the rows in every leaf of ``tree``: leaves x 2 x features x bins, leaves by number."""
+def leaf_histograms(block: Block, tree: Tree, s: Settings, leaves: Sequence[int], widths: Sequence[int] | None = None) -> np.ndarray:
+    """Sums and counts of the rows in the given leaves of ``tree``: leaves x 2 x features x bins."""
     bins = block.bins(tree.cuts, s.smooth)
-    number = {node: i for i, node in enumerate(i for i, f in enumerate(tree.feature) if f < 0)}
+    number = {node: i for i, node in enumerate(leaves)}
     out = np.zeros((len(number), 2, len(bins), s.bins))
     residual = block.y - block.yhat
-    for node, rows in tree.places(bins):
+    for node, rows in tree.places(bins, leaves):
         if len(rows):
-            out[number[node]] = histogram(bins, rows, residual, s.bins)
+            out[number[node]] = histogram(bins, rows, residual, s.bins, widths)
     return out
 
 
@@ -304,16 +337,19 @@ def add_up(blocks: RDD, per_block, n_tasks: int) -> np.ndarray:
     return parts.treeReduce(np.add, 3) if n_tasks > 64 else sum(parts.collect())
 
 
-def grow(blocks: RDD, n_tasks: int, cuts: list[int], s: Settings, like: Tree) -> tuple[Tree, np.ndarray]:
-    """(a tree of up to ``leaves`` leaves, grown best first; rows by step of the category scale). ``like``: the proposal."""
+def grow(blocks: RDD, n_tasks: int, cuts: list[int], s: Settings, like: Tree,
+         widths: Sequence[int] | None = None) -> tuple[Tree, np.ndarray]:
+    """(a tree of up to ``leaves`` leaves, grown best first; rows by step of the category scale). ``like``: the proposal.
+    A round after the first looks only at the rows of leaves that no round has counted."""
     root, steps, rounds = proposed(like), None, 0
     while True:
         rounds += 1
         tree, leaves = sketch(root, cuts)
         first = steps is None
+        new = [i for i, leaf in enumerate(leaves) if leaf.hist is None and tree.feature[i] < 0]
 
-        def count(block: Block, tree: Tree = tree, first: bool = first) -> np.ndarray:
-            out = leaf_histograms(block, tree, s).ravel()
+        def count(block: Block, tree: Tree = tree, first: bool = first, new: list[int] = new) -> np.ndarray:
+            out = leaf_histograms(block, tree, s, new, widths).ravel()
             if not first:
                 return out
             at, n = block.steps(s.smooth)
@@ -322,11 +358,9 @@ def grow(blocks: RDD, n_tasks: int, cuts: list[int], s: Settings, like: Tree) ->
         got = add_up(blocks, count, n_tasks)
         if first:
             got, steps = got[:-(2 * _FINE_SIDE + 1)], got[-(2 * _FINE_SIDE + 1):]
-        hists: list = [None] * len(leaves)
-        of_leaves = iter(got.reshape(tree.feature.count(-1), 2, -1, s.bins))
-        for i, f in enumerate(tree.feature):
-            if f < 0:
-                hists[i] = next(of_leaves)
+        hists = [leaf.hist for leaf in leaves]
+        for i, hist in zip(new, got.reshape(len(new), 2, -1, s.bins), strict=True):
+            hists[i] = hist
         for i in range(len(leaves) - 1, -1, -1):  # a node has the rows of its children, which have higher numbers
             if hists[i] is None:
                 hists[i] = hists[tree.left[i]] + hists[tree.right[i]]
@@ -462,7 +496,7 @@ def fit(rows: DataFrame, features: Sequence[str], category: str, target: str, s:
     s = s or Settings()
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
-    rows = materialize(rows.select(category, *features, target))
+    rows = written(rows.select(category, *features, target), "gbt-rows")
     start = rows.agg(F.avg(F.col(target).cast("double"))).first()[0]
     if start is None:
         raise ValueError("no rows to fit")
@@ -472,9 +506,10 @@ def fit(rows: DataFrame, features: Sequence[str], category: str, target: str, s:
     held, before = packed.rdd.map(_unpacked).persist(StorageLevel.MEMORY_AND_DISK), None
     counts = add_up(held, lambda block: np.bincount(*block.steps(s.smooth), 2 * _FINE_SIDE + 1), n_tasks)
     cuts, trees, tree = scale_cuts(counts, s.bins), [], Tree()
+    widths = [len(e) + 1 for e in edges] + [s.bins]
     while len(trees) < s.trees:
         limits = s if trees else dataclasses.replace(s, rounds=None)  # nothing is proposed for the first one
-        tree, steps = grow(held, n_tasks, cuts, limits, tree)  # its first job fills the held blocks
+        tree, steps = grow(held, n_tasks, cuts, limits, tree, widths)  # its first job fills the held blocks
         if before is not None:
             before.unpersist()
         trees.append(tree)

@@ -245,3 +245,34 @@ def test_days_are_filled_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     total = fc.fill_missing_dates(spark.createDataFrame([(day(0), 2), (day(2), 4)], "ds date, y long"))
     assert sorted((r["ds"], r["y"]) for r in total.collect()) == [(day(0), 2.0), (day(1), 0.0), (day(2), 4.0)]
+
+
+def test_joint_counts_and_rounds_over_uncounted_leaves_only(spark, monkeypatch):
+    """Features counted together give the sums of each, and no node is counted in two rounds."""
+    from shelfwise.operators import boosting as bo
+
+    rng = np.random.default_rng(5)
+    widths = [7, 3, 16, 2, 9]
+    bins = np.vstack([rng.integers(0, w, 9000) for w in widths]).astype(np.uint8)
+    residual, rows = rng.normal(size=9000), np.arange(0, 9000, 2)
+    assert bo.joint_features(widths) == [[0, 1, 2, 3, 4]] and bo.joint_features([64, 64, 64]) == [[0, 1], [2]]
+    for some in (None, rows, rows[:30]):
+        n = 9000 if some is None else len(some)
+        joint, single = (bo.histogram(bins, some, residual, 16, w) for w in (widths, None))
+        assert joint == pytest.approx(single, abs=1e-9) and (joint[1] == single[1]).all() and joint[1, 4].sum() == n
+    counted = []
+
+    def add_up(blocks, per_block, n_tasks, whole=bo.add_up):
+        out = whole(blocks, per_block, n_tasks)
+        counted.append(len(out) // (2 * 3 * 16))
+        return out
+    monkeypatch.setattr(bo, "add_up", add_up)
+    a, b, p = rng.random(1500), rng.random(1500), rng.integers(0, 6, 1500)
+    y = np.floor(a * 8) * (b > 0.5) + p
+    table = spark.createDataFrame([(str(k), float(i), float(j), float(v)) for k, i, j, v in zip(p, a, b, y, strict=True)],
+                                  "product string, a double, b double, y double")
+    model = bo.fit(table, ["a", "b"], "product", "y", bo.exact(trees=1, leaves=9, bins=16, block_rows=300))
+    rounds = counted[2:]  # after the counts of the scale and the root, which come with the steps of the scale
+    assert len(model.trees[0].feature) == 17 and len(rounds) > 2
+    assert sum(rounds) <= 2 * (len(rounds) * 8) and max(rounds) <= 16
+    assert sum(rounds) <= 32  # the 16 nodes below the root and the halves that were looked at but not split
