@@ -12,14 +12,14 @@ from shelfwise.operators import forecast as fc
 from shelfwise.operators import recommend as rec
 from shelfwise.plans.catalog import register
 from shelfwise.plans.warehouse import Warehouse
-from shelfwise.session import materialize
+from shelfwise.session import written
 
 
 def _written(spark, sf_dir):
     """The seven tables, each written once: the report reads them several times."""
     wh = Warehouse(spark, sf_dir, reuse=True)
-    tables = {name: materialize(df) for name, df in wh.star.items()}
-    return tables, materialize(wh.web_events)
+    tables = {name: written(df) for name, df in wh.star.items()}
+    return tables, written(wh.web_events)
 
 
 @register("q1_q8_quality_report")
