@@ -299,6 +299,16 @@ def _best(scores, ids, k: int):
     return ids[np.take_along_axis(at, order, axis=1)], np.take_along_axis(scores, order, axis=1)
 
 
+def _merged(one, two, k: int):
+    """The k best of two lists of (ids, scores) per row, in the order of :func:`_best`."""
+    import numpy as np
+    if one is None:
+        return two
+    ids, scores = (np.concatenate(x, axis=1) for x in zip(one, two, strict=True))
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+
 def _pair_scores(part: dict):
     """(query ids, item ids, query vectors, item vectors) of one pair of blocks."""
     import numpy as np
@@ -307,6 +317,9 @@ def _pair_scores(part: dict):
     return asked, ids, q, x
 
 
+#: Item blocks that a partition holds, so that a task has that many at most in memory.
+ITEM_BLOCKS = 8
+
 #: Room for rounding when a bound is compared with a score.
 _BOUND_SLACK = 1 + 1e-9
 
@@ -321,7 +334,8 @@ def exact_top_k_inner_product(queries: DataFrame, items: DataFrame, k: int = CAN
     block 0, the longest vectors; the k-th score that a query has there is the least that another item must reach. No item
     scores above |query| times the greatest norm of its block, so a query block needs only the first so many item blocks.
     These pairs are found from one number per block before any vector moves; a pair is one unit of work of a fixed size, a
-    matrix product and a local top k (ties: smaller item id). The local lists are merged per query.
+    matrix product and a local top k (ties: smaller item id). A query block meets its item blocks one after the other in one
+    task, which merges the lists as it goes, so the work is quadratic but what is shuffled is not.
     Output: (qid, rank 1..k, iid, score). ``skipped``: gets (pairs of blocks, pairs not looked at).
     """
     import numpy as np
@@ -356,24 +370,34 @@ def exact_top_k_inner_product(queries: DataFrame, items: DataFrame, k: int = CAN
     tops = item_blocks.agg(F.collect_list("item_top").alias("tops")).withColumn("item", F.lit(0))
     needs_tops = needs.withColumn("item", F.lit(0)).join(F.broadcast(tops), "item")
     n_wanted = F.size(F.filter("tops", lambda t: t * F.lit(_BOUND_SLACK) >= F.col("need")))
-    wanted = materialize(needs_tops.select("query", n_wanted.cast("long").alias("n")).where("n > 0")
-                         .select("query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("item")))
+    wanted = materialize(needs_tops.select("query", n_wanted.cast("long").alias("n")).where("n > 0"))
     if skipped is not None:
         total = needs.count() * item_blocks.count()
-        skipped.append((total, total - wanted.count()))
-    pairs = (wanted.join(query_blocks.drop("query_top"), "query").join(item_blocks.drop("item_top"), "item")
-             .repartition("item", "query"))
+        skipped.append((total, total - (wanted.agg(F.sum("n")).first()[0] or 0)))
+    # Every query block is a partition, which walks past the item blocks that it needs: they are read from the shared folder by
+    # a product of partitions, so no vector is shuffled, and only the k best of each query leave a task.
+    asking = query_blocks.drop("query_top").join(F.broadcast(wanted), "query")
+    n_blocks = max(1, needs.count())
+    laid_out = materialize(asking.repartitionByRange(n_blocks, "query"))
+    stock = materialize(item_blocks.drop("item_top").repartitionByRange(max(1, -(-item_blocks.count() // ITEM_BLOCKS)), "item"))
+    pairs = (laid_out.hint("shuffle_replicate_nl").join(stock, F.col("item") < F.col("n"))
+             .coalesce(laid_out.rdd.getNumPartitions()))
 
     def search(batches):
         import pyarrow as pa
+        best: dict = {}  # by query block; there is one, or a few where a partition has several
         for batch in batches:
             for row in range(batch.num_rows):
-                asked, ids, q, x = _pair_scores({c: batch.column(c)[row].as_py() for c in batch.schema.names})
-                for at in range(0, len(asked), 256):
-                    best_ids, best = _best(q[at:at + 256] @ x.T, ids, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(asked[at:at + 256], best.shape[1])), pa.array(best_ids.ravel()),
-                         pa.array(best.ravel())], names=[qid, iid, "score"])
+                part = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+                asked, ids, q, x = _pair_scores(part)
+                lists = best.setdefault(part["query"], (asked, [None] * -(-len(asked) // 256)))[1]
+                for no, at in enumerate(range(0, len(asked), 256)):
+                    lists[no] = _merged(lists[no], _best(q[at:at + 256] @ x.T, ids, k), k)
+        for asked, lists in best.values():
+            for no, (ids, scores) in enumerate(lists):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(asked[no * 256:no * 256 + 256], ids.shape[1])), pa.array(ids.ravel()),
+                     pa.array(scores.ravel())], names=[qid, iid, "score"])
 
     found = pairs.mapInArrow(search, f"{qid} long, {iid} long, score double")
     w = Window.partitionBy(qid).orderBy(F.desc("score"), iid)

@@ -235,3 +235,24 @@ def test_search_looks_at_long_vectors_first(spark):
             assert [r["item_ix"] for r in mine] == list(range(7))
     pairs, left_out = skipped[0]
     assert pairs == 3 * 8 and left_out > 6  # the block with the zero vector needs all
+
+
+def test_search_shuffles_no_pairs(spark, monkeypatch):
+    """Blocks of queries meet blocks of items in a product of partitions; the lists that leave it have k rows a query."""
+    import numpy as np
+
+    from shelfwise.operators import recommend as rec
+    monkeypatch.setattr(rec, "ITEM_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    q, x = rng.integers(-4, 5, (90, 3)).astype(float), rng.integers(-4, 5, (130, 3)).astype(float)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "visitor_ix long, vec array<double>")
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_ix long, vec array<double>")
+    out = rec.exact_top_k_inner_product(queries, items, k=6, block_rows=20)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "vecs" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line)
+    got = sorted((r["visitor_ix"], r["rank"], r["item_ix"], r["score"]) for r in out.collect())
+    want = [(i, n + 1, int(j), float(s[j])) for i, s in enumerate(q @ x.T)
+            for n, j in enumerate(sorted(range(130), key=lambda j: (-s[j], j))[:6])]
+    assert got == want
+    assert out.count() == 540
