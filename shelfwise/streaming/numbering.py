@@ -60,16 +60,15 @@ class SessionNumbers(StatefulProcessor):
                     late.append((int(us), item, kind, None))
                 else:
                     early.append((int(us), item, kind))
-        for row in early:
-            self.pending.appendValue(row)
         if early:
+            self.pending.appendList(early)  # one call of the state store, not one per row
             self._wake(min(r[0] for r in early) + self.gap_us)
         yield from self._rows(key, late, True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = self._passed_us(timerValues)
         events = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[1] or "", r[2] or ""))
-        before, number = self.last.get() if self.last.exists() else (None, 0)
+        before, number = self.last.get() or (None, 0)
         out, session = [], []
         for i, event in enumerate(events):
             if before is not None and event[0] - before > self.gap_us:

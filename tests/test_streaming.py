@@ -44,3 +44,22 @@ def test_numbers_go_on_after_a_restart_and_late_events_are_kept(spark, tmp_path)
     got = sorted((r["visitor_id"], minutes(r["event_time"]), r["session_id"]) for r in new.collect())
     assert got == [("a", 290, "a_S2"), ("b", 241, "b_S1"), ("clock", 300, "clock_S0"), ("clock", 900, "clock_S1")]
     assert second.count() == 5 + 4
+
+
+def test_rows_of_a_visitor_reach_the_state_in_one_call():
+    """Each call of the state store is a round trip, so waiting rows go there together."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from shelfwise.streaming.numbering import SessionNumbers
+    processor, timers = SessionNumbers(30, 0), MagicMock()
+    timers.getCurrentWatermarkInMs.return_value = 0
+    processor.init(MagicMock())
+    processor.pending, processor.last = MagicMock(), MagicMock()
+    frames = [pd.DataFrame({"event_us": [5_000_000, 9_000_000], "item_id": ["a", "b"], "event_type": ["view", "view"]}),
+              pd.DataFrame({"event_us": [7_000_000], "item_id": [None], "event_type": ["purchase"]})]
+    assert list(processor.handleInputRows(("v",), iter(frames), timers)) == []
+    (rows,), _ = processor.pending.appendList.call_args
+    assert rows == [(5_000_000, "a", "view"), (9_000_000, "b", "view"), (7_000_000, None, "purchase")]
+    assert processor.pending.appendList.call_count == 1 and not processor.pending.appendValue.called
