@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import RANDOM_SEED
 from shelfwise.functions.positions import dense_position, exact_quantile
-from shelfwise.session import materialize
+from shelfwise.session import materialize, written
 
 # Fixed values from the reference.
 TEST_FRACTION = 0.2
@@ -137,31 +137,97 @@ def interaction_matrix(train: DataFrame) -> DataFrame:
 OVERSAMPLE = 10
 
 
-def _times_cells(cells: DataFrame, to: str, along: str, vectors: DataFrame, width: int) -> DataFrame:
-    """The product of the sparse matrix (or its transpose) with ``vectors`` (ix, vec): one row per value of ``to``.
-    A join on ``along`` and sums that are combined before the shuffle."""
-    pairs = cells.join(vectors.select(F.col("ix").alias(along), "vec"), along)
-    sums = pairs.groupBy(to).agg(*[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"c{i}") for i in range(width)])
-    return sums.select(F.col(to).alias("ix"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("vec"))
+#: Cells that a block of visitors holds, about. A block is one unit of work: its cells and the vectors of their items.
+BLOCK_CELLS = 200_000
 
 
-def _gram(vectors: DataFrame, width: int):
-    """The width x width matrix of inner products of the columns; the one thing that comes to the driver, and its size
-    does not depend on the data."""
+def _visitor_blocks(cells: DataFrame, n_cells: int) -> tuple[DataFrame, DataFrame]:
+    """The cells as (block, visitors, items, weights), one row per block of whole visitors, dealt by hash; and the items that
+    each block has, (block, item_ix). Both are written once and read by every product."""
     import numpy as np
+    spark = cells.sparkSession
+    n = max(-(-n_cells // BLOCK_CELLS), min(spark.sparkContext.defaultParallelism, -(-n_cells // 1000)))
+
+    def pack(table):
+        import pyarrow as pa
+        v, i, w = (table.column(c).to_numpy() for c in ("visitor_ix", "item_ix", "weight"))
+        order = np.lexsort((i, v))
+        return pa.table({"block": table.column("block")[:1], "visitors": pa.array([v[order].tobytes()], pa.binary()),
+                         "items": pa.array([i[order].tobytes()], pa.binary()),
+                         "weights": pa.array([w[order].tobytes()], pa.binary())})
+
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("visitor_ix"), F.lit(n)).cast("long"))
+    packed = dealt.groupBy("block").applyInArrow(pack, "block long, visitors binary, items binary, weights binary")
+    return written(packed, "visitor-blocks"), written(dealt.select("block", "item_ix").distinct(), "block-items")
+
+
+def _sums(at, weights, along, vectors):
+    """(keys, sums): for each value of ``at``, which ascends, the sum of weights x vectors[along]; a bounded number of cells at
+    a time."""
+    import numpy as np
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sums = np.zeros((len(starts), vectors.shape[1]))
+    for lo in range(0, len(at), 16384):
+        hi = min(lo + 16384, len(at))
+        first = np.searchsorted(starts, lo, side="right") - 1  # the key that the piece begins in
+        last = np.searchsorted(starts, hi, side="left")
+        cuts = np.maximum(starts[first:last], lo) - lo
+        sums[first:last] += np.add.reduceat(vectors[along[lo:hi]] * weights[lo:hi, None], cuts, axis=0)
+    return at[starts], sums
+
+
+def _times_cells(blocks: tuple[DataFrame, DataFrame], vectors: DataFrame, width: int, back: bool) -> DataFrame:
+    """The sparse matrix A times ``vectors`` (ix, vec), which have a row per item: one row (ix, vec) per visitor, or with
+    ``back`` one per item of A'A times the vectors.
+
+    Every block gets the vectors of its items by a join. A block has all cells of its visitors, so their rows of the product
+    are whole there and need not leave the task on the way back; sums by item are combined before the last shuffle."""
+    import numpy as np
+    packed, wanted = blocks
+
+    def product(left, right):
+        import pyarrow as pa
+        empty = pa.table({"ix": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float64()))})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        v, i, w = (np.frombuffer(left.column(c)[0].as_py(), t) for c, t in
+                   (("visitors", np.int64), ("items", np.int64), ("weights", np.float64)))
+        ids = right.column("item_ix").to_numpy()
+        vecs = right.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        order = np.argsort(ids)
+        keys, sums = _sums(v, w, order[np.searchsorted(ids, i, sorter=order)], vecs)
+        if back:
+            by_item = np.argsort(i, kind="stable")
+            keys, sums = _sums(i[by_item], w[by_item], np.searchsorted(keys, v)[by_item], sums)
+        offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width, pa.int32())
+        return pa.table({"ix": pa.array(keys), "vec": pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))})
+
+    near = wanted.join(vectors.select(F.col("ix").alias("item_ix"), "vec"), "item_ix")
+    out = packed.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(product, "ix long, vec array<double>")
+    if not back:
+        return out
+    sums = out.groupBy("ix").agg(*[F.sum(F.col("vec")[k]).alias(f"c{k}") for k in range(width)])
+    return sums.select("ix", F.array(*[F.col(f"c{k}") for k in range(width)]).alias("vec"))
+
+
+def _gram(vectors: DataFrame, width: int, left: int | None = None):
+    """The inner products of the first ``left`` columns (all, if None) with all ``width``; the one thing that comes to the
+    driver, and its size does not depend on the data."""
+    import numpy as np
+    left = width if left is None else left
 
     def part(batches):
         import pyarrow as pa
-        total = np.zeros((width, width))
+        total = np.zeros((left, width))
         for b in batches:
             x = np.asarray(b.column("vec").flatten(), dtype=np.float64).reshape(-1, width)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["at", "v"])
+            total += x[:, :left].T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(left * width)), pa.array(total.ravel())], names=["at", "v"])
 
-    out = np.zeros(width * width)
+    out = np.zeros(left * width)
     for r in vectors.select("vec").mapInArrow(part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         out[r["at"]] = r["v"]
-    return out.reshape(width, width)
+    return out.reshape(left, width)
 
 
 def _rotated(vectors: DataFrame, matrix) -> DataFrame:
@@ -177,17 +243,9 @@ def _rotated(vectors: DataFrame, matrix) -> DataFrame:
     return vectors.mapInArrow(run, "ix long, vec array<double>")
 
 
-def _beside(left: DataFrame, right: DataFrame, widths: tuple[int, int]) -> DataFrame:
-    """Two tables of vectors as one: the vectors of an ix one after the other, zeros where a table has none."""
-    def zeros(n):
-        return F.array_repeat(F.lit(0.0), n)
-    both = left.withColumnRenamed("vec", "_l").join(right.withColumnRenamed("vec", "_r"), "ix", "full")
-    return both.select("ix", F.concat(F.coalesce("_l", zeros(widths[0])), F.coalesce("_r", zeros(widths[1]))).alias("vec"))
-
-
-def _head(vectors: DataFrame, n: int) -> DataFrame:
-    """The first n numbers of every vector."""
-    return vectors.select("ix", F.slice("vec", 1, n).alias("vec"))
+def _columns(vectors: DataFrame, first: int, n: int) -> DataFrame:
+    """``n`` columns of the vectors from column ``first``."""
+    return vectors.select("ix", F.slice("vec", first + 1, n).alias("vec"))
 
 
 def _independent(gram):
@@ -206,28 +264,44 @@ def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, tolerance
     Returns (visitor_factors, item_factors) DataFrames with ``(visitor_ix, vec)`` = rows of U·Σ and
     ``(item_ix, vec)`` = rows of V; the largest entry of each column of V is positive, so the signs are fixed.
 
-    Locally optimal block iteration over the cells: a round looks for the best r + OVERSAMPLE directions in the span of the
-    directions so far, their residuals A'u - sv and the last step, by Rayleigh and Ritz on two small Gram matrices. It ends
+    Locally optimal block iteration on A'A: a round looks for the best r + OVERSAMPLE directions in the span of the
+    directions so far, their residuals s (A'u - sv) and the last step, by Rayleigh and Ritz on two small Gram matrices. It ends
     when every triple's residual |A'u - sv| is at most ``tolerance`` times the largest singular value, which bounds the error
     of each value; a triple that is that good already is locked and asks for no new direction. A matrix that does not get
-    there in ``max_rounds`` raises an error. The factors stay distributed tables; the driver sees Gram matrices of three
-    times the block's width only, and each round is written to the shared folder.
+    there in ``max_rounds`` raises an error.
+
+    The iteration holds one row per item, the directions and beside them A'A times each; only new directions are multiplied,
+    the others turn along, and the end is checked on a product made anew. Visitors get vectors once, at the end. The driver
+    sees Gram matrices of three times the block's width only. Each round is written to the shared folder as Parquet: a
+    checkpoint would hand on the planner's estimate of its size, a product over all joins before, whose digits double with
+    every round.
     """
     import numpy as np
 
-    cells = materialize(matrix.select("visitor_ix", "item_ix", F.col("weight").cast("double").alias("weight")))
-    shape = cells.agg((F.max("visitor_ix") + 1).alias("m"), (F.max("item_ix") + 1).alias("n")).first()
+    cells = written(matrix.select("visitor_ix", "item_ix", F.col("weight").cast("double").alias("weight")), "cells")
+    shape = cells.agg((F.max("visitor_ix") + 1).alias("m"), (F.max("item_ix") + 1).alias("n"), F.count(F.lit(1)).alias("c")).first()
     if not shape["m"] or min(shape["m"], shape["n"]) < 2:
         raise ValueError("interaction matrix too small for a factorisation")
     r = min(n_components, min(shape["m"], shape["n"]) - 1)
     width = min(r + OVERSAMPLE, min(shape["m"], shape["n"]))
+    blocks = _visitor_blocks(cells, shape["c"])
+
+    def with_images(vectors, had, new):
+        """Rows (ix, the ``had`` directions, their images, ``new`` directions) as (ix, all directions, all images)."""
+        fresh = _columns(vectors, 2 * had, new)
+        images = _times_cells(blocks, fresh, new, back=True).withColumnRenamed("vec", "_image")
+        vec = F.concat(F.slice("vec", 1, had), F.slice("vec", 2 * had + 1, new), F.slice("vec", had + 1, had), "_image")
+        return written(vectors.join(images, "ix").select("ix", vec.alias("vec")), "svd-round")
+
     start = F.array(*[F.xxhash64(F.col("item_ix"), F.lit(i)) / F.lit(2.0 ** 63) for i in range(width)])
-    items = materialize(cells.select("item_ix").distinct().select(F.col("item_ix").alias("ix"), start.alias("vec")))
-    at_visitors = materialize(_times_cells(cells, "visitor_ix", "item_ix", items, width))
-    kept = had = width  # columns of the table of items: the directions first, then residuals, then the last step
+    items = with_images(written(cells.select("item_ix").distinct().select(F.col("item_ix").alias("ix"), start.alias("vec")),
+                                "svd-start"), 0, width)
+    kept = had = width  # columns of the table of items: the directions first, then the last step, then residuals
     for _ in range(max_rounds):
-        basis = _independent(_gram(items, had))
-        values, q = np.linalg.eigh(basis.T @ _gram(at_visitors, had) @ basis)
+        gram = _gram(items, 2 * had, had)
+        basis = _independent(gram[:, :had])
+        small = basis.T @ gram[:, had:] @ basis
+        values, q = np.linalg.eigh((small + small.T) / 2)
         top = np.argsort(-values)[:width]
         values, z = np.maximum(values[top], 0), basis @ q[:, top]
         sigma = np.sqrt(values)
@@ -235,30 +309,40 @@ def truncated_svd(matrix: DataFrame, n_components: int = N_COMPONENTS, tolerance
         step[:kept] = 0  # the part that the old directions had not
         moves = np.linalg.norm(step, axis=0) > 0
         turn = np.hstack([z, step[:, moves]])
-        items, at_visitors = materialize(_rotated(items, turn)), materialize(_rotated(at_visitors, turn))
-        kept, n_steps = z.shape[1], int(moves.sum())
+        kept, had = z.shape[1], turn.shape[1]
         # residuals of the normal equations, A'(Av) - s^2 v = s (A'u - sv)
-        pulled = _times_cells(cells, "item_ix", "visitor_ix", _head(at_visitors, kept), kept)
-        joined = _beside(_head(items, kept), pulled, (kept, kept))
-        residual = materialize(_rotated(joined, np.vstack([-np.diag(values[:kept]), np.eye(kept)])))
-        norms = np.sqrt(np.maximum(np.diag(_gram(residual, kept)), 0)) / np.maximum(sigma, 1e-300)
-        norms[sigma <= 1e-12 * sigma[0]] = 0.0  # no triple: the matrix has a lower rank
+        none = np.zeros_like(turn)
+        items = written(_rotated(items, np.block([[turn, none, -z * values], [none, turn, z]])), "svd-turned")
+        residual = _columns(items, 2 * had, kept)
+
+        def norms_of(residual):
+            norms = np.sqrt(np.maximum(np.diag(_gram(residual, kept)), 0)) / np.maximum(sigma, 1e-300)
+            norms[sigma <= 1e-12 * sigma[0]] = 0.0  # no triple: the matrix has a lower rank
+            return norms
+
+        norms = norms_of(residual)
         if (norms[:r] <= tolerance * sigma[0]).all():
-            break
+            # images turned along carry rounding errors: the answer rests on a product made anew
+            items = with_images(written(_columns(items, 0, kept), "svd-last"), 0, kept)
+            norms = norms_of(_rotated(items, np.vstack([-np.diag(values), np.eye(kept)])))
+            if (norms[:r] <= tolerance * sigma[0]).all():
+                break
+            had = kept
+            items = written(_rotated(items, np.block([[np.eye(kept), np.zeros((kept, kept)), -np.diag(values)],
+                                                      [np.zeros((kept, kept)), np.eye(kept), np.eye(kept)]])), "svd-turned")
         open_ = np.flatnonzero(norms > 0.1 * tolerance * sigma[0])
-        residual = materialize(_rotated(residual, np.eye(kept)[:, open_]))
-        pushed = _times_cells(cells, "visitor_ix", "item_ix", residual, len(open_))
-        items = materialize(_beside(items, residual, (kept + n_steps, len(open_))))
-        at_visitors = materialize(_beside(at_visitors, pushed, (kept + n_steps, len(open_))))
-        had = kept + n_steps + len(open_)
+        asked = F.transform(F.array(*[F.lit(int(k) + 2 * had) for k in open_]), lambda k: F.col("vec")[k])
+        items = with_images(items.select("ix", F.concat(F.slice("vec", 1, 2 * had), asked).alias("vec")), had, len(open_))
+        had += len(open_)
     else:
         raise RuntimeError(f"singular vectors not found to {tolerance} in {max_rounds} rounds, at {norms[:r].max() / sigma[0]:.1e}")
-    v = materialize(_head(items, r))
+    v = written(_columns(items, 0, r), "svd-items")
     peaks = v.agg(*[F.max(F.struct(F.abs(F.col("vec")[i]).alias("a"), F.col("vec")[i].alias("x"))).alias(f"p{i}")
                     for i in range(r)]).first()
     sign = np.array([-1.0 if peaks[f"p{i}"]["x"] < 0 else 1.0 for i in range(r)])
-    return (_rotated(_head(at_visitors, r), np.diag(sign)).withColumnRenamed("ix", "visitor_ix"),
-            _rotated(v, np.diag(sign)).withColumnRenamed("ix", "item_ix"))
+    v = written(_rotated(v, np.diag(sign)), "svd-items")
+    u = written(_times_cells(blocks, v, r, back=False), "svd-visitors")
+    return u.withColumnRenamed("ix", "visitor_ix"), v.withColumnRenamed("ix", "item_ix")
 
 
 def _norm_blocks(rows: DataFrame, block_rows: int, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numeric import round_half_up
-from shelfwise.operators import kpi
+from shelfwise.operators import events, kpi
 from shelfwise.operators import recommend as rec
 from shelfwise.plans.catalog import register
 from shelfwise.plans.warehouse import Warehouse
@@ -18,12 +18,16 @@ class Recsys:
     """The recommendation plan of one data folder; the split, the matrix and the lists are each written once."""
 
     def __init__(self, spark, sf_dir):
-        self.wh = Warehouse(spark, sf_dir)
+        self.wh = Warehouse(spark, sf_dir, reuse=True)
+
+    @cached_property
+    def interactions(self):
+        return materialize(self.wh.interactions)
 
     @cached_property
     def split(self):
         # written once: every branch starts from it
-        marked = materialize(rec.temporal_split(materialize(self.wh.interactions)))
+        marked = materialize(rec.temporal_split(self.interactions))
         return marked.where(~F.col("is_test")).drop("is_test"), marked.where(F.col("is_test")).drop("is_test")
 
     @property
@@ -52,7 +56,8 @@ class Recsys:
 
     @cached_property
     def item_categories(self):
-        return materialize(self.wh.item_categories)
+        wanted = self.interactions.select("item_id").distinct()
+        return materialize(events.latest_item_property(self.wh.item_properties, wanted))
 
     @cached_property
     def fused_recs(self):

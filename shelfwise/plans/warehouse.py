@@ -4,8 +4,8 @@ Every table is a property of its own: asking for one builds that one and what
 it needs, and no other. With ``reuse=False`` nothing but the promotion ids (B4)
 and event ids (E4) runs a job while the plan is built. With ``reuse=True``, for
 queries that read an intermediate several times, the cleaned sales, the
-products and the product side of the sales are written once to the shared
-checkpoint folder (as Parquet) and read from there.
+products, the product side of the sales and the mapped events are written once
+to the shared checkpoint folder (as Parquet) and read from there.
 """
 from __future__ import annotations
 
@@ -89,8 +89,8 @@ class Warehouse:
 
     @cached_property
     def mapped_events(self) -> DataFrame:
-        """What needs no session and no event id reads this."""
-        return events.map_event_types(self.clicks)
+        """What needs no session and no event id reads this; the activity rule reads it three times."""
+        return self._shared(events.map_event_types(self.clicks))
 
     @cached_property
     def web_events(self) -> DataFrame:

@@ -256,3 +256,46 @@ def test_search_shuffles_no_pairs(spark, monkeypatch):
             for n, j in enumerate(sorted(range(130), key=lambda j: (-s[j], j))[:6])]
     assert got == want
     assert out.count() == 540
+
+
+def test_svd_rounds_hand_on_no_estimates(spark):
+    """The planner's estimate of the factors' size stays that of small files, however many rounds there were; a checkpoint hands
+    on the product over the joins of all rounds."""
+    rng = np.random.default_rng(4)
+    a = (rng.random((90, 60)) < 0.15) * rng.integers(1, 6, (90, 60)).astype(float)
+    cells = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    matrix = spark.createDataFrame(cells, "visitor_ix long, item_ix long, weight double")
+    for factors in rec.truncated_svd(matrix, n_components=4, tolerance=1e-6):
+        assert factors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
+
+
+@pytest.mark.parametrize("block_cells", [5, 60, 10_000])
+def test_products_by_blocks_are_those_of_the_matrix(spark, monkeypatch, block_cells):
+    """Blocks of few cells, also fewer than one visitor has; products with vectors, and with A'A."""
+    monkeypatch.setattr(rec, "BLOCK_CELLS", block_cells)
+    rng = np.random.default_rng(block_cells)
+    a = (rng.random((40, 25)) < 0.2) * rng.integers(1, 6, (40, 25)).astype(float)
+    a[7] = 1.0  # a visitor of every item, so that no row of the result is missing
+    cells = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    matrix = spark.createDataFrame(cells, "visitor_ix long, item_ix long, weight double")
+    x = rng.normal(size=(25, 3))
+    vectors = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(x)], "ix long, vec array<double>")
+    blocks = rec._visitor_blocks(matrix, len(cells))
+    assert blocks[0].select("block").distinct().count() == blocks[0].count()
+    for back, want in ((False, a @ x), (True, a.T @ (a @ x))):
+        got = rec._times_cells(blocks, vectors, 3, back).collect()
+        there = [k for k in range(len(want)) if back or a[k].any()]
+        assert sorted(r["ix"] for r in got) == there
+        for r in got:
+            assert r["vec"] == pytest.approx(want[r["ix"]].tolist())
+
+
+def test_sums_of_a_key_that_spans_pieces():
+    rng = np.random.default_rng(2)
+    at = np.sort(np.concatenate([np.zeros(40_000, int), rng.integers(1, 50, 9_000), np.full(20_000, 50)]))
+    along, w, x = rng.integers(0, 30, len(at)), rng.normal(size=len(at)), rng.normal(size=(30, 4))
+    keys, sums = rec._sums(at, w, along, x)
+    want = np.zeros((51, 4))
+    np.add.at(want, at, x[along] * w[:, None])
+    assert keys.tolist() == list(range(51))
+    assert np.abs(sums - want).max() < 1e-9
