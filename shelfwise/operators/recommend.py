@@ -218,10 +218,13 @@ def _gram(vectors: DataFrame, width: int, left: int | None = None):
 
     def part(batches):
         import pyarrow as pa
-        total = np.zeros((left, width))
+        total, rows = np.zeros((left, width)), 0
         for b in batches:
             x = np.asarray(b.column("vec").flatten(), dtype=np.float64).reshape(-1, width)
             total += x[:, :left].T @ x
+            rows += b.num_rows
+        if not rows:  # a partition without rows adds nothing
+            return
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(left * width)), pa.array(total.ravel())], names=["at", "v"])
 
     out = np.zeros(left * width)
