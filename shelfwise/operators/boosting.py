@@ -16,15 +16,23 @@ The category is ordered anew for every tree by the residual of its rows per row
 block, so the order needs no shuffle. Its scale is cut into bins of about equal numbers of rows. A tree remembers the place of
 every category; these places grow with the data, and they stay a distributed table.
 
-The blocks are an RDD: what a round does is numpy on whole blocks, and an RDD job has a third of the latency of a DataFrame
-job (0.11 s and 0.33 s on eight cores), which is most of the time of a fit.
+What a round does is numpy on whole blocks, in jobs over an RDD, which have a third of the latency of a DataFrame job. The leaf of
+a row is found by a look into a small table for each group of features, and rows are added up by leaf and combination of bins, so
+a round costs some 50 ns a row, about the same for any tree. The blocks are files of the shared folder (_Files): as a cached RDD
+they would pass from the executor to its Python workers in every round, which takes longer than the sums.
 """
 from __future__ import annotations
 
 import dataclasses
+import gc
 import json
 import math
-from collections.abc import Sequence
+import os
+import pickle
+import shutil
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.positions import value_ranks
-from shelfwise.session import ensure_checkpoint_dir, materialize, written
+from shelfwise.session import ensure_checkpoint_dir, materialize, scratch_path, written
 
 #: Steps of the category scale for one doubling, and steps on each side of zero.
 _FINE_PER_DOUBLING, _FINE_SIDE = 16, 512
@@ -81,22 +89,14 @@ class Tree:
             getattr(self, name).append(-1 if name in ("feature", "left", "right") else 0)
         return len(self.feature) - 1
 
-    def places(self, bins: np.ndarray, wanted: Sequence[int] | None = None) -> list[tuple[int, np.ndarray]]:
-        """(node, numbers of its rows) for all leaves, or for the ``wanted`` nodes; ``bins`` is features x rows."""
-        need = None
-        if wanted is not None:
-            need = set(wanted)
-            for node in range(len(self.feature) - 1, -1, -1):  # children have higher numbers than their parent
-                if self.feature[node] >= 0 and (self.left[node] in need or self.right[node] in need):
-                    need.add(node)
+    def places(self, bins: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(node, numbers of its rows) for all leaves; ``bins`` is features x rows."""
         out, todo = [], [(0, np.arange(bins.shape[1]))]
         while todo:
             node, rows = todo.pop()
-            if need is not None and node not in need:
-                continue
-            if self.feature[node] < 0 or (wanted is not None and node in wanted):
+            if self.feature[node] < 0:
                 out.append((node, rows))
-            if self.feature[node] >= 0:
+            else:
                 goes_left = bins[self.feature[node]][rows] <= self.bin[node]
                 todo += [(self.left[node], rows[goes_left]), (self.right[node], rows[~goes_left])]
         return out
@@ -121,33 +121,6 @@ def scale_cuts(counts: np.ndarray, bins: int) -> list[int]:
     return sorted({int(np.searchsorted(upto, total * k / bins, "left")) for k in range(1, bins)}) if total else []
 
 
-@dataclasses.dataclass
-class Block:
-    """``numeric``: features x rows; ``category``: the number of each row's category in ``names``; ``past``: the place of every
-    category on the scale of each tree so far."""
-    names: list[str]
-    numeric: np.ndarray
-    category: np.ndarray
-    y: np.ndarray
-    yhat: np.ndarray
-    past: list[np.ndarray] = dataclasses.field(default_factory=list)
-
-    def steps(self, smooth: float) -> tuple[np.ndarray, np.ndarray]:
-        """(place on the scale, rows) of every category of the block."""
-        n = np.bincount(self.category, minlength=len(self.names))
-        return fine_step(np.bincount(self.category, self.y - self.yhat, len(self.names)) / (n + smooth)), n
-
-    def bins(self, cuts: Sequence[int], smooth: float) -> np.ndarray:
-        steps, _ = self.steps(smooth)
-        return np.vstack([self.numeric, np.searchsorted(cuts, steps, "left").astype(np.uint8)[self.category][None, :]])
-
-    def after(self, tree: Tree, smooth: float) -> Block:
-        """The block with the predictions after one more tree."""
-        step = self.steps(smooth)[0].astype(np.int16)
-        yhat = self.yhat + tree.predict(self.bins(tree.cuts, smooth))
-        return dataclasses.replace(self, yhat=yhat, past=[*self.past, step])
-
-
 #: Most cells of a joint count of features, and how many rows a cell must stand for so that it pays.
 _JOINT_CELLS, _ROWS_PER_CELL = 1 << 13, 2
 
@@ -166,6 +139,125 @@ def joint_features(widths: Sequence[int]) -> list[list[int]]:
     return groups
 
 
+@dataclasses.dataclass
+class Group:
+    """Numeric features that are counted together. code: for each row the number of the combination of its bins; bins: features x
+    combinations, only those that the rows have."""
+    features: list[int]
+    code: np.ndarray
+    bins: np.ndarray
+
+
+def grouped(numeric: np.ndarray, widths: Sequence[int]) -> list[Group]:
+    """The features (features x rows) in groups. Neighbours are one group as long as their bins make few combinations: by the
+    widths whatever the rows have, beyond that by the combinations that the rows have."""
+    out: list[Group] = []
+    for features in joint_features(widths):
+        code = np.zeros(numeric.shape[1], np.intp)
+        for f in features:
+            code *= widths[f]
+            code += numeric[f]
+        code, met = _renumbered(code, math.prod(widths[f] for f in features))
+        new = Group(features, code, np.vstack(np.unravel_index(met, [widths[f] for f in features])).astype(np.uint8))
+        if out:
+            last, width = out[-1], new.bins.shape[1]
+            code, met = _renumbered(last.code.astype(np.intp) * width + new.code, last.bins.shape[1] * width)
+            if len(met) <= min(_JOINT_CELLS, len(code) // _ROWS_PER_CELL):
+                out[-1] = Group(last.features + features, code, np.vstack([last.bins[:, met // width], new.bins[:, met % width]]))
+                continue
+        out.append(new)
+    return out
+
+
+def _renumbered(code: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the codes numbered without gaps, the old code of each number); all are below ``cells``."""
+    there = np.zeros(cells, bool)
+    there[code] = True
+    met = np.flatnonzero(there)
+    return (np.cumsum(there) - 1)[code].astype(np.uint16 if len(met) <= 1 << 16 else np.intp), met
+
+
+#: Rows that are worked on at a time, so that what is made of them stays in the cache of a core; leaves that one mask can hold.
+_CHUNK, _MASK = 1 << 16, 64
+
+
+def masks(tree: Tree, wanted: Sequence[int], widths: Sequence[int]) -> list[np.ndarray]:
+    """By feature and bin the ``wanted`` leaves (at most _MASK, a bit each) that rows of the bin can be in. A row is in the leaf
+    that all its bins have left, so the leaves of many rows are found by a look into a table for each feature."""
+    kind = np.uint32 if len(wanted) <= 32 else np.uint64
+    below = [0] * len(tree.feature)
+    for i, node in enumerate(wanted):
+        below[node] = 1 << i
+    for node in range(len(below) - 1, -1, -1):  # children have higher numbers than their parent
+        if tree.feature[node] >= 0:
+            below[node] = below[tree.left[node]] | below[tree.right[node]]
+    out = [np.full(width, below[0], kind) for width in widths]
+    for node, f in enumerate(tree.feature):
+        if f >= 0:
+            out[f][:tree.bin[node] + 1] &= kind(below[0] & ~below[tree.right[node]])
+            out[f][tree.bin[node] + 1:] &= kind(below[0] & ~below[tree.left[node]])
+    return out
+
+
+@dataclasses.dataclass
+class Block:
+    """``rows``: the number of rows of each category in ``names``, whose rows stand one after the other; ``groups``: their numeric
+    features; ``residual``: target less prediction; ``past``: the place of every category on the scale of each tree so far."""
+    names: list[str]
+    rows: np.ndarray
+    groups: list[Group]
+    residual: np.ndarray
+    past: list[np.ndarray] = dataclasses.field(default_factory=list)
+
+    def steps(self, smooth: float) -> np.ndarray:
+        """The place on the scale of every category of the block."""
+        return fine_step(np.add.reduceat(self.residual, np.cumsum(self.rows) - self.rows) / (self.rows + smooth))
+
+    def scale(self, smooth: float) -> np.ndarray:
+        """Rows by step of the category scale."""
+        return np.bincount(self.steps(smooth), self.rows, 2 * _FINE_SIDE + 1)
+
+    def counted(self, cuts: Sequence[int], smooth: float, bins: int) -> list[Group]:
+        """The groups, and the category as the last one."""
+        category = np.searchsorted(cuts, self.steps(smooth), "left").astype(np.uint8)
+        last = sum(len(g.features) for g in self.groups)
+        return [*self.groups, Group([last], np.repeat(category, self.rows), np.arange(bins, dtype=np.uint8)[None, :])]
+
+    def after(self, tree: Tree, smooth: float, bins: int) -> Block:
+        """The block with the residuals after one more tree."""
+        leaves = [node for node, f in enumerate(tree.feature) if f < 0]
+        values = np.append(0.0, [tree.value[node] for node in leaves])
+        residual = self.residual - values[numbers(self.counted(tree.cuts, smooth, bins), tree, leaves)]
+        return dataclasses.replace(self, residual=residual, past=[*self.past, self.steps(smooth).astype(np.int16)])
+
+
+def numbers(groups: list[Group], tree: Tree, leaves: Sequence[int]) -> np.ndarray:
+    """For each row the place of its leaf in ``leaves``, from 1; 0 where its leaf is not there."""
+    n = len(groups[0].code)
+    widths = [0] * sum(len(g.features) for g in groups)
+    for g in groups:
+        for f, bins in zip(g.features, g.bins, strict=True):
+            widths[f] = int(bins.max()) + 1
+    out = np.zeros(n, np.uint8 if len(leaves) <= _MASK else np.intp)
+    for first in range(0, len(leaves), _MASK):
+        by_feature = masks(tree, leaves[first:first + _MASK], widths)
+        tables = []
+        for g in groups:
+            table = by_feature[g.features[0]][g.bins[0]]
+            for f, bins in zip(g.features[1:], g.bins[1:], strict=True):
+                table = table & by_feature[f][bins]
+            tables.append(table)
+        for at in range(0, n, _CHUNK):
+            rows = slice(at, at + _CHUNK)
+            left = tables[0][groups[0].code[rows]]
+            for g, table in zip(groups[1:], tables[1:], strict=True):
+                left &= table[g.code[rows]]
+            # one bit at most is left: the exponent of the mask as a float is its place (the bits of 0.0 are 0)
+            place = np.maximum((left.astype(np.float32).view(np.int32) >> 23) - 126, 0)
+            out[rows] = np.where(place, place + first, out[rows]) if first else place
+    return out
+
+
 def histogram(bins: np.ndarray, rows: np.ndarray | None, residual: np.ndarray, width: int,
               widths: Sequence[int] | None = None) -> np.ndarray:
     """2 x features x width: sums of residuals and counts. ``widths``: numbers of bins of the features where they are known;
@@ -311,15 +403,32 @@ def proposed(tree: Tree, node: int = 0, depth: int = 0) -> _Leaf:
     return _Leaf(depth, ((tree.feature[node], tree.bin[node]), children))
 
 
-def leaf_histograms(block: Block, tree: Tree, s: Settings, leaves: Sequence[int], widths: Sequence[int] | None = None) -> np.ndarray:
-    """Sums and counts of the rows in the given leaves of ``tree``: leaves x 2 x features x bins."""
-    bins = block.bins(tree.cuts, s.smooth)
-    number = {node: i for i, node in enumerate(leaves)}
-    out = np.zeros((len(number), 2, len(bins), s.bins))
-    residual = block.y - block.yhat
-    for node, rows in tree.places(bins, leaves):
-        if len(rows):
-            out[number[node]] = histogram(bins, rows, residual, s.bins, widths)
+def leaf_histograms(block: Block, tree: Tree, s: Settings, leaves: Sequence[int]) -> np.ndarray:
+    """Sums and counts of the rows in the given leaves of ``tree``: leaves x 2 x features x bins. Rows are added up by the
+    combinations of a group; the sums of each feature are read off those."""
+    groups = block.counted(tree.cuts, s.smooth, s.bins)
+    out = np.zeros((len(leaves), 2, sum(len(g.features) for g in groups), s.bins))
+    number, residual, rows = numbers(groups, tree, leaves), block.residual, None
+    here = np.count_nonzero(number)
+    if here < len(number):
+        rows = np.flatnonzero(number)
+        number, residual = number[rows], residual[rows]
+    key = np.empty(here, np.intp)
+    for g in groups:
+        code, cells = g.code if rows is None else g.code[rows], g.bins.shape[1]
+        for at in range(0, here, _CHUNK):
+            part = slice(at, at + _CHUNK)
+            np.multiply(number[part], cells, out=key[part], dtype=np.intp)
+            key[part] += code[part]
+            key[part] -= cells
+        sums = np.bincount(key, residual, len(leaves) * cells)
+        counts = np.bincount(key, minlength=len(leaves) * cells)
+        met = np.flatnonzero(counts)
+        sums, counts, (leaf, cell) = sums[met], counts[met], np.divmod(met, cells)
+        for f, bins in zip(g.features, g.bins, strict=True):
+            at = leaf * s.bins + bins[cell]
+            out[:, 0, f] = np.bincount(at, sums, len(leaves) * s.bins).reshape(-1, s.bins)
+            out[:, 1, f] = np.bincount(at, counts, len(leaves) * s.bins).reshape(-1, s.bins)
     return out
 
 
@@ -327,6 +436,8 @@ def add_up(blocks: RDD, per_block, n_tasks: int) -> np.ndarray:
     """The sum over all blocks of an array of a fixed shape. A task adds up its own blocks; where there are many tasks, others
     add up their sums before the driver sees them."""
     def run(part):
+        if not gc.get_freeze_count():
+            gc.freeze()  # a worker collects garbage after each task, which looks through all loaded modules
         total = None
         for block in part:
             x = per_block(block)
@@ -337,8 +448,7 @@ def add_up(blocks: RDD, per_block, n_tasks: int) -> np.ndarray:
     return parts.treeReduce(np.add, 3) if n_tasks > 64 else sum(parts.collect())
 
 
-def grow(blocks: RDD, n_tasks: int, cuts: list[int], s: Settings, like: Tree,
-         widths: Sequence[int] | None = None) -> tuple[Tree, np.ndarray]:
+def grow(blocks: RDD, n_tasks: int, cuts: list[int], s: Settings, like: Tree) -> tuple[Tree, np.ndarray]:
     """(a tree of up to ``leaves`` leaves, grown best first; rows by step of the category scale). ``like``: the proposal.
     A round after the first looks only at the rows of leaves that no round has counted."""
     root, steps, rounds = proposed(like), None, 0
@@ -349,11 +459,8 @@ def grow(blocks: RDD, n_tasks: int, cuts: list[int], s: Settings, like: Tree,
         new = [i for i, leaf in enumerate(leaves) if leaf.hist is None and tree.feature[i] < 0]
 
         def count(block: Block, tree: Tree = tree, first: bool = first, new: list[int] = new) -> np.ndarray:
-            out = leaf_histograms(block, tree, s, new, widths).ravel()
-            if not first:
-                return out
-            at, n = block.steps(s.smooth)
-            return np.append(out, np.bincount(at, n, 2 * _FINE_SIDE + 1))
+            out = leaf_histograms(block, tree, s, new).ravel()
+            return np.append(out, block.scale(s.smooth)) if first else out
 
         got = add_up(blocks, count, n_tasks)
         if first:
@@ -399,36 +506,53 @@ def feature_edges(rows: DataFrame, features: Sequence[str], bins: int) -> list[l
 
 def pack(rows: DataFrame, features: Sequence[str], category: str, target: str, edges: list[list[float]], start: float,
          block_rows: int) -> tuple[DataFrame, int]:
-    """(blocks of whole categories, dealt by a hash, about ``block_rows`` rows each (a category with more makes a larger one):
-    names, bins, category, y, yhat; number of partitions)."""
+    """(a block of whole categories for each partition, dealt by a hash, of about 16 times ``block_rows`` rows at most (a
+    category with more makes a larger one): names, rows, bins, residual; number of tasks for them). Rows are binned before they
+    are dealt out, so a byte for each feature moves. A task has up to 16 blocks, and holds one at a time."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    n = -(-rows.count() // block_rows)
-    n_parts = cores * max(1, -(-n // (16 * cores)))
-    n = n_parts * max(1, -(-n // n_parts))
-    cast = [F.col(f).cast("double").alias(f) for f in features]
-    text = F.col(category).cast("string")
-    dealt = rows.select(F.pmod(F.xxhash64(text), F.lit(n)).alias("_block"), text.alias("_category"), *cast,
-                        F.col(target).cast("double").alias("_y"))
-    schema = "names array<string>, bins binary, category binary, y binary, yhat binary"
-
-    def block(table: pa.Table) -> pa.Table:
-        coded = table.column("_category").combine_chunks().dictionary_encode(null_encoding="encode")
-        y = table.column("_y").to_numpy()
-        binned = [np.searchsorted(e, table.column(f).to_numpy(), "left").astype(np.uint8)
-                  for f, e in zip(features, edges, strict=True)]
-        values = [[coded.dictionary.to_pylist()], [np.vstack(binned).tobytes()],
-                  [coded.indices.to_numpy().astype(np.int32).tobytes()], [y.tobytes()], [np.full(len(y), start).tobytes()]]
-        types = [pa.list_(pa.string())] + [pa.binary()] * 4
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)],
-                                    names=["names", "bins", "category", "y", "yhat"])
-
-    return dealt.repartitionByRange(n_parts, "_block").groupBy("_block").applyInArrow(block, schema), n_parts
-
-
-def _unpacked(row) -> Block:
-    y = np.frombuffer(row["y"], np.float64)
-    return Block(row["names"], np.frombuffer(row["bins"], np.uint8).reshape(-1, len(y)), np.frombuffer(row["category"], np.int32),
-                 y, np.frombuffer(row["yhat"], np.float64))
+    n = -(-rows.count() // (16 * block_rows))
+    n_tasks = cores * max(1, -(-n // (16 * cores)))
+    n_blocks = n_tasks * max(1, -(-n // n_tasks))
+    cast = [F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)]
+    wide = rows.select(F.col(category).cast("string").alias("_category"), F.col(target).cast("double").alias("_y"), *cast)
+    width = len(features)
+
+    def binned(batches):
+        for batch in batches:
+            bins = np.empty((batch.num_rows, width), np.uint8)
+            for i, e in enumerate(edges):
+                bins[:, i] = np.searchsorted(e, batch.column(f"_{i}").to_numpy(zero_copy_only=False), "left")
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * width
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(bins)])
+            yield pa.RecordBatch.from_arrays([batch.column("_category"), batch.column("_y"), packed], names=["_category", "_y", "_bins"])
+
+    def block(batches):
+        names: dict[str | None, int] = {}
+        parts = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("_category").dictionary_encode(null_encoding="encode")
+            number = np.array([names.setdefault(name, len(names)) for name in coded.dictionary.to_pylist()], np.int32)
+            column = batch.column("_bins").cast(pa.binary())
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:]
+            bins = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[batch.num_rows]]
+            parts.append((number[coded.indices.to_numpy()], bins.reshape(-1, width).copy(), batch.column("_y").to_numpy() - start))
+        if parts:
+            at, bins, residual = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(at, kind="stable")
+            values = [[list(names)], [np.bincount(at).tobytes()], [bins[order].T.tobytes()], [residual[order].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.list_(pa.string())] + [pa.binary()] * 3,
+                                                                             strict=True)], names=["names", "rows", "bins", "residual"])
+
+    slim = wide.mapInArrow(binned, "_category string, _y double, _bins binary").repartition(n_blocks, "_category")
+    return slim.mapInArrow(block, "names array<string>, rows binary, bins binary, residual binary"), n_tasks
+
+
+def _unpacked(row, widths: Sequence[int]) -> Block:
+    residual = np.frombuffer(row["residual"], np.float64)
+    numeric = np.frombuffer(row["bins"], np.uint8).reshape(-1, len(residual))
+    return Block(row["names"], np.frombuffer(row["rows"], np.int64), grouped(numeric, widths), residual)
 
 
 @dataclasses.dataclass
@@ -488,11 +612,113 @@ class Boosted:
                    steps=spark.read.parquet(f"{path}/steps"))
 
 
+class _Cached:
+    """Blocks as an RDD that the executors keep. Every ``cut_lineage`` trees it is written to spark.checkpoint.dir, so that a lost
+    executor costs that many updates of its blocks at most."""
+
+    def __init__(self, blocks: RDD, n_tasks: int, s: Settings, cut_lineage: int) -> None:
+        self.s, self.n_tasks, self.cut_lineage = s, n_tasks, cut_lineage
+        self.trees, self.before, self.blocks = 0, None, blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def add(self, tree: Tree) -> None:
+        """From now on the blocks are those after one more tree; the next job makes them."""
+        self.free()
+        self.before, s = self.blocks, self.s
+        self.blocks = self.before.map(lambda block: block.after(tree, s.smooth, s.bins)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.trees += 1
+        if self.trees % self.cut_lineage == 0:
+            self.blocks.checkpoint()
+
+    def free(self) -> None:
+        """Lets go of what the blocks were made from."""
+        if self.before is not None:
+            self.before.unpersist()
+
+    def close(self) -> None:
+        self.free()
+        self.blocks.unpersist()
+
+
+#: Bytes that make more than two packets of the loopback device.
+_PACKETS = 1 << 17
+
+
+class _Files:
+    """Blocks as files of spark.checkpoint.dir, where that is a folder that all tasks can open. A task reads them as it reads
+    memory, while a cached RDD comes to it through a pipe, which takes longer than the sums. A block has a file of what never
+    changes, and one of its residuals after each tree: the first job that asks for it makes it from the one before and puts it
+    there as a whole, so a repeated task changes nothing and a lost executor costs nothing. Two of them are kept."""
+
+    def __init__(self, blocks: RDD, folder: str, s: Settings) -> None:
+        self.s, self.folder, self.trees = s, folder, 0
+
+        def write(task: int, part: Iterator[Block]) -> list[list[str]]:
+            names = []
+            for block in part:
+                names.append(f"{folder}/{task}-{len(names)}")
+                _dump((block.names, block.rows, block.groups), names[-1])
+                _dump((block.residual, block.past), f"{names[-1]}-0")
+            return [names] if names else []
+
+        os.makedirs(folder, exist_ok=True)
+        names = blocks.mapPartitionsWithIndex(write).collect()
+        self.n_tasks = len(names)
+        # with so little data a worker would wait 40 ms for it (the pipe holds a second small packet back until the first is
+        # acknowledged); one that is larger than a packet goes at once
+        self.names = blocks.context.parallelize([(x, bytes(_PACKETS)) for x in names], self.n_tasks)
+        self.blocks = self._after(None)
+
+    def _after(self, tree: Tree | None) -> RDD:
+        trees, s = self.trees, self.s
+
+        def read(task: tuple[list[str], bytes]) -> Iterator[Block]:
+            for name in task[0]:
+                if not os.path.exists(f"{name}-{trees}"):
+                    block = Block(*_load(name), *_load(f"{name}-{trees - 1}")).after(tree, s.smooth, s.bins)
+                    _dump((block.residual, block.past), f"{name}-{trees}")
+                    if os.path.exists(old := f"{name}-{trees - 2}"):
+                        os.remove(old)
+                    yield block
+                else:
+                    yield Block(*_load(name), *_load(f"{name}-{trees}"))
+
+        return self.names.flatMap(read)
+
+    def add(self, tree: Tree) -> None:
+        """From now on the blocks are those after one more tree; the next job makes them."""
+        self.trees += 1
+        self.blocks = self._after(tree)
+
+    def free(self) -> None:
+        pass
+
+    def close(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def _dump(x, path: str) -> None:
+    """Writes a file that is there as a whole or not at all."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        pickle.dump(x, f, pickle.HIGHEST_PROTOCOL)
+    os.replace(part, path)
+
+
+def _load(path: str):
+    with open(path, "rb") as f:
+        return pickle.load(f)
+
+
+def open_folder(uri: str) -> str | None:
+    """The path of a folder that Python can open; None for any other store."""
+    at = urlsplit(uri)
+    return unquote(at.path) if at.scheme in ("", "file") and at.netloc in ("", "localhost") else None
+
+
 def fit(rows: DataFrame, features: Sequence[str], category: str, target: str, s: Settings | None = None,
         cut_lineage: int = 25) -> Boosted:
-    """Fits boosted trees to ``rows`` (features and target without nulls). The blocks go from tree to tree with their
-    predictions: kept by the executors, and every ``cut_lineage`` trees written to spark.checkpoint.dir, so that a lost
-    executor costs that many updates of its blocks at most."""
+    """Fits boosted trees to ``rows`` (features and target without nulls). The blocks go from tree to tree with their residuals:
+    as files of spark.checkpoint.dir, or where tasks cannot open that, kept by the executors (see _Files and _Cached)."""
     s = s or Settings()
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
@@ -503,26 +729,20 @@ def fit(rows: DataFrame, features: Sequence[str], category: str, target: str, s:
     edges = feature_edges(rows, features, s.bins)
     packed, n_tasks = pack(rows, features, category, target, edges, start, s.block_rows)
     packed = materialize(packed)
-    held, before = packed.rdd.map(_unpacked).persist(StorageLevel.MEMORY_AND_DISK), None
-    counts = add_up(held, lambda block: np.bincount(*block.steps(s.smooth), 2 * _FINE_SIDE + 1), n_tasks)
+    widths = [len(e) + 1 for e in edges]
+    unpacked = packed.rdd.coalesce(n_tasks).map(lambda row: _unpacked(row, widths))
+    folder = open_folder(scratch_path(spark, "gbt-blocks"))
+    held = _Cached(unpacked, n_tasks, s, cut_lineage) if folder is None else _Files(unpacked, folder, s)
+    counts = add_up(held.blocks, lambda block: block.scale(s.smooth), held.n_tasks)
     cuts, trees, tree = scale_cuts(counts, s.bins), [], Tree()
-    widths = [len(e) + 1 for e in edges] + [s.bins]
     while len(trees) < s.trees:
         limits = s if trees else dataclasses.replace(s, rounds=None)  # nothing is proposed for the first one
-        tree, steps = grow(held, n_tasks, cuts, limits, tree, widths)  # its first job fills the held blocks
-        if before is not None:
-            before.unpersist()
+        tree, steps = grow(held.blocks, held.n_tasks, cuts, limits, tree)  # its first job makes the held blocks
+        held.free()
         trees.append(tree)
         cuts = scale_cuts(steps, s.bins)  # the next tree's scale is cut by the counts at this one
-        before, held = held, _next(held, tree, s.smooth).persist(StorageLevel.MEMORY_AND_DISK)
-        if len(trees) % cut_lineage == 0:
-            held.checkpoint()
-    names = held.flatMap(lambda block: zip(block.names, (x.tobytes() for x in np.stack(block.past, 1)), strict=True))
+        held.add(tree)
+    names = held.blocks.flatMap(lambda block: zip(block.names, (x.tobytes() for x in np.stack(block.past, 1)), strict=True))
     table = materialize(spark.createDataFrame(names, "category string, steps binary"))
-    for x in (before, held):
-        x.unpersist()
+    held.close()
     return Boosted(list(features), category, float(start), edges, trees, table)
-
-
-def _next(blocks: RDD, tree: Tree, smooth: float) -> RDD:
-    return blocks.map(lambda block: block.after(tree, smooth))

@@ -276,3 +276,75 @@ def test_joint_counts_and_rounds_over_uncounted_leaves_only(spark, monkeypatch):
     assert len(model.trees[0].feature) == 17 and len(rounds) > 2
     assert sum(rounds) <= 2 * (len(rounds) * 8) and max(rounds) <= 16
     assert sum(rounds) <= 32  # the 16 nodes below the root and the halves that were looked at but not split
+
+
+def _table_of(spark, seed, n, categories):
+    rng = np.random.default_rng(seed)
+    a, b, p = rng.integers(0, 50, n), rng.integers(0, 4, n), rng.integers(0, categories, n)
+    y = np.floor(a / 7) * (b > 1) + p % 5 + rng.integers(0, 3, n)
+    return spark.createDataFrame([(f"p{k}", float(i), float(j), float(v)) for k, i, j, v in zip(p, a, b, y, strict=True)],
+                                 "product string, a double, b double, y double")
+
+
+def test_sums_by_leaf_follow_the_paths_of_rows(spark):
+    """Leaves found by tables and sums read off combinations are those of rows that go down the tree one split after the other."""
+    from shelfwise.operators import boosting as bo
+
+    rng = np.random.default_rng(8)
+    widths, sizes = [40, 40, 40, 7, 3], np.array([700, 1, 2400, 899])
+    numeric = np.vstack([rng.integers(0, w, sizes.sum()) * (rng.random(sizes.sum()) < 0.3) for w in widths]).astype(np.uint8)
+    block = bo.Block(list("abcd"), sizes, bo.grouped(numeric, widths), rng.normal(size=sizes.sum()))
+    assert sorted(f for g in block.groups for f in g.features) == list(range(5)) and len(block.groups) < 5
+    for g in block.groups:
+        assert (g.bins[:, g.code] == numeric[g.features]).all()
+    for leaves in (31, 150):  # with 150, more than one mask holds
+        tree, s = bo.Tree(cuts=[500, 512, 530]), bo.Settings(leaves=leaves)
+        while sum(f < 0 for f in tree.feature) < leaves:
+            node = int(rng.choice([i for i, f in enumerate(tree.feature) if f < 0]))
+            tree.feature[node] = int(rng.integers(0, 6))
+            tree.bin[node] = int(rng.integers(0, (*widths, 4)[tree.feature[node]]))
+            tree.left[node], tree.right[node] = tree.add(), tree.add()
+        category = np.searchsorted(tree.cuts, block.steps(s.smooth), "left")
+        bins = np.vstack([numeric, np.repeat(category, sizes)]).astype(np.uint8)
+        rows = dict(tree.places(bins))
+        wanted = [i for i, f in enumerate(tree.feature) if f < 0]
+        for some in (wanted, wanted[::3], wanted[:1]):
+            got = bo.leaf_histograms(block, tree, s, some)
+            want = np.array([bo.histogram(bins, rows[i], block.residual, s.bins) for i in some])
+            assert got == pytest.approx(want, abs=1e-9) and (got[:, 1] == want[:, 1]).all()
+        tree.value = list(rng.normal(size=len(tree.feature)))
+        after = block.after(tree, s.smooth, s.bins)
+        assert after.residual == pytest.approx(block.residual - tree.predict(bins)) and len(after.past) == 1
+
+
+def test_blocks_as_files_or_cached_give_the_same_trees(spark, monkeypatch, tmp_path):
+    """Many blocks make as many tasks as there are cores, however they are kept; a repeated task changes nothing."""
+    from shelfwise.operators import boosting as bo
+
+    table, tasks, cores = _table_of(spark, 4, 4000, 300), [], spark.sparkContext.defaultParallelism
+
+    def add_up(blocks, per_block, n_tasks, whole=bo.add_up):
+        tasks.append(n_tasks)
+        assert blocks.getNumPartitions() == n_tasks
+        assert whole(blocks, per_block, n_tasks) == pytest.approx(first := whole(blocks, per_block, n_tasks), abs=1e-9)
+        return first
+    monkeypatch.setattr(bo, "add_up", add_up)
+    s = bo.Settings(trees=6, leaves=9, bins=16, block_rows=4)
+    assert -(-4000 // (16 * s.block_rows)) > 2 * cores  # several blocks in a task
+    files = bo.fit(table, ["a", "b"], "product", "y", s)
+    n_files = len(tasks)
+    monkeypatch.setattr(bo, "open_folder", lambda uri: None)
+    cached = bo.fit(table, ["a", "b"], "product", "y", s, cut_lineage=2)
+    assert set(tasks) == {cores} and len(tasks) == 2 * n_files
+    for one, other in zip(files.trees, cached.trees, strict=True):
+        assert (one.feature, one.bin, one.rows, one.cuts) == (other.feature, other.bin, other.rows, other.cuts)
+        assert one.value == pytest.approx(other.value)
+    steps = [sorted((r["category"], bytes(r["steps"])) for r in m.steps.collect()) for m in (files, cached)]
+    assert steps[0] == steps[1] and len(steps[0]) == 300 and len(steps[0][0][1]) == 2 * 6
+
+
+def test_folders_that_python_can_open():
+    from shelfwise.operators import boosting as bo
+
+    assert bo.open_folder("file:/a/b%20c") == "/a/b c" and bo.open_folder("/a/b") == "/a/b" and bo.open_folder("file:///a") == "/a"
+    assert bo.open_folder("hdfs://host/a") is None and bo.open_folder("s3a://bucket/a") is None
